@@ -1,10 +1,12 @@
 """Source tables of the library derived from the given tables, as DataFrames and as SQL.
 
 The country of an event is the nation of its customer or supplier; its code is built from the nation key.
+Plans (not rows) are kept per session, because the same few frames start nearly every query.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,6 +21,7 @@ SNAPSHOT = "2001-06-15 00:00:00"
 SNAPSHOT_DAY = "2001-06-15"
 
 
+@functools.cache
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
@@ -30,6 +33,7 @@ def rounded(column: Column | str, digits: int = 4) -> Column:
 # --- DataFrames ---------------------------------------------------------------------------------------------
 
 
+@functools.cache
 def nations(spark: SparkSession, sf: str) -> DataFrame:
     nation, region = read(spark, sf, "nation"), read(spark, sf, "region")
     key = F.col("n_nationkey")
@@ -42,6 +46,7 @@ def nations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@functools.cache
 def conflict(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as conflict events."""
     orders, customer = read(spark, sf, "orders"), read(spark, sf, "customer")
@@ -71,6 +76,7 @@ def conflict(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@functools.cache
 def violence(spark: SparkSession, sf: str) -> DataFrame:
     """Protest rows of finished orders as organized violence."""
     return conflict(spark, sf).where((F.col("status") == "F") & (F.col("event_type_slug") == "protests")).select(
@@ -81,6 +87,7 @@ def violence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@functools.cache
 def news(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as news events of the supplier's nation."""
     lineitem, supplier = read(spark, sf, "lineitem"), read(spark, sf, "supplier")
@@ -100,6 +107,7 @@ def news(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@functools.cache
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as news documents, spread over days and nations by their keys."""
     documents = read(spark, sf, "documents")
@@ -116,6 +124,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@functools.cache
 def monthly_prices(spark: SparkSession, sf: str) -> DataFrame:
     """Global monthly series."""
     return (
@@ -125,6 +134,7 @@ def monthly_prices(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@functools.cache
 def monthly_trade(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly series per nation."""
     return (
@@ -134,6 +144,7 @@ def monthly_trade(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@functools.cache
 def yearly_macro(spark: SparkSession, sf: str) -> DataFrame:
     """Annual series per nation, even years only, so that odd years take an older value."""
     return (
@@ -143,6 +154,7 @@ def yearly_macro(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@functools.cache
 def calendar_days(spark: SparkSession, sf: str) -> DataFrame:
     """Days with a large order act as a calendar per nation."""
     return conflict(spark, sf).where(F.col("fatalities") >= CALENDAR_BOUND / 1000).select(
@@ -150,6 +162,7 @@ def calendar_days(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
+@functools.cache
 def onset_truth(spark: SparkSession, sf: str) -> DataFrame:
     """Years per nation with the smallest and largest id of the December customers as text; 0 = no onset."""
     december = F.when(F.month("event_date") == 12, F.col("conflict_new_id"))
@@ -170,6 +183,7 @@ def onset_truth(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@functools.cache
 def week_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Every nation with every week of the order dates."""
     orders = read(spark, sf, "orders")
@@ -184,6 +198,7 @@ PREDICTION_SUMS = [RangeSum("n7", grid.TRAILING_7D), RangeSum("n28", grid.TRAILI
 LABEL_SUMS = [RangeSum("v30", grid.FUTURE_30D), RangeSum("v7", grid.FUTURE_7D)]
 
 
+@functools.cache
 def prediction_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Nation-week rows with a deterministic score and a label from the following 30 days, without any training."""
     panel = week_panel(spark, sf)
@@ -208,6 +223,7 @@ def prediction_panel(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@functools.cache
 def model_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of two models in long form."""
     rows = prediction_panel(spark, sf)
@@ -218,6 +234,7 @@ def model_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("entity_id", "entity_name", "region_name", "forecast_date", "label", F.inline(models))
 
 
+@functools.cache
 def daily_users(spark: SparkSession, sf: str) -> DataFrame:
     """Event rows per user and day as a day-grain entity series."""
     return read(spark, sf, "events").groupBy(

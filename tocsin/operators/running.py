@@ -18,8 +18,8 @@ def with_score_range(df: DataFrame, score: str, ranges: int = RANGES) -> DataFra
     """Add ``_range``: number of quantile cuts below the score (0 .. ranges-1)."""
     probabilities = [step / ranges for step in range(1, ranges)]
     cuts = df.agg(F.percentile_approx(score, probabilities, 2_000).alias("cuts")).scalar()
-    above = [F.coalesce((F.col(score) > F.get(cuts, F.lit(i))).cast("int"), F.lit(0)) for i in range(ranges - 1)]
-    return df.withColumn("_range", reduce(lambda left, right: left + right, above))
+    below = F.expr(f"coalesce(size(filter(_cuts, cut -> cut < `{score}`)), 0)")
+    return df.withColumn("_cuts", cuts).withColumn("_range", below).drop("_cuts")
 
 
 def _join_starts(df: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:

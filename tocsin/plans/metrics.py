@@ -34,8 +34,9 @@ def precision_recall_curve(
     df: DataFrame, probability: str, label: str = "label", groups: Sequence[str] = (), ranges: int = RANGES
 ) -> DataFrame:
     """Threshold, precision and recall at every distinct score."""
-    curve = cumulative_scores(score_table(df, probability, label, groups), groups, ranges)
-    totals = curve.groupBy(*groups).agg(F.sum("positives").alias("_total"))
+    scores = score_table(df, probability, label, groups)
+    curve = cumulative_scores(scores, groups, ranges)
+    totals = scores.groupBy(*groups).agg(F.sum("positives").alias("_total"))
     joined = _attach(curve, totals, groups)
     found = F.col("cum_positives") + F.col("cum_negatives")
     return joined.select(
@@ -57,12 +58,10 @@ def _attach(df: DataFrame, per_group: DataFrame, groups: Sequence[str]) -> DataF
     return df.join(renamed, condition).drop(*[f"_g_{g}" for g in groups])
 
 
-def _curve_metrics(curve: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Average precision, ROC AUC and top-k hit rate per group from the cumulative table."""
-    totals = curve.groupBy(*groups).agg(
-        F.sum("positives").alias("_p"), F.sum("negatives").alias("_n"),
-    )
-    rows = _attach(curve, totals, groups)
+def _curve_metrics(scores: DataFrame, groups: Sequence[str], ranges: int) -> DataFrame:
+    """Average precision, ROC AUC and top-k hit rate per group from the score table."""
+    totals = scores.groupBy(*groups).agg(F.sum("positives").alias("_p"), F.sum("negatives").alias("_n"))
+    rows = _attach(cumulative_scores(scores, groups, ranges), totals, groups)
     tp, fp = F.col("cum_positives"), F.col("cum_negatives")
     step_precision = F.col("positives") * tp / (tp + fp)
     # Pairs won by the positives of this score: negatives below, and half of the ties.
@@ -87,7 +86,7 @@ def ranking_curve_metrics(
     Average precision is the step sum over distinct scores; ROC AUC counts ties as one half; the hit rate among
     the k highest scores (k = positives) takes a tied block at its boundary in proportion.
     """
-    return _curve_metrics(cumulative_scores(score_table(df, probability, label, groups), groups, ranges), groups)
+    return _curve_metrics(score_table(df, probability, label, groups), groups, ranges)
 
 
 def threshold_metrics(

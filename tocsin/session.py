@@ -11,6 +11,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Call sites of every column expression are only of use in a debugger and slow down wide plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

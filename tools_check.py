@@ -39,7 +39,7 @@ def main() -> int:
     names = sys.argv[2:]
     folder = f"/root/testdata/sf{sf}"
     spark = build_session(
-        "check", "local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"}
+        "check", "local[8]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
