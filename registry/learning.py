@@ -1 +1,351 @@
+"""Queries over labels, folds, trained models, calibration and explanation."""
 
+from __future__ import annotations
+
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from registry import query
+from registry.standins import daily_users, model_predictions, prediction_panel, rounded, sql
+from tocsin.operators import entity_windows as ew
+from tocsin.plans import backtest, calibrate, explain, folds, labels, models
+from tocsin.session import cut_lineage
+
+HORIZON, LOOKBACK = 7, 5
+ONSET = labels.LabelDefinition("t", labels.ONSET, "error_count", LOOKBACK, forecast_threshold=4.0, quiet_threshold=2.0)
+ESCALATION = labels.LabelDefinition(
+    "t", labels.ESCALATION, "event_count", LOOKBACK, forecast_threshold=5.0, growth_multiplier=1.5, minimum_baseline=2.0
+)
+LEVEL = labels.LabelDefinition("t", labels.THRESHOLD, "value_sum", LOOKBACK, forecast_threshold=100.0)
+
+FRAMED = """
+    SELECT entity_id, as_of_date, next_event_date,
+           CASE WHEN ahead = {h} THEN back END AS lookback_sum, CASE WHEN ahead = {h} THEN total END AS future_sum
+    FROM (SELECT entity_id, as_of_date, count(*) OVER nxt AS ahead, sum(CAST({v} AS DOUBLE)) OVER nxt AS total,
+                 coalesce(sum(CAST({v} AS DOUBLE)) OVER prev, 0) AS back,
+                 CASE WHEN count(*) OVER nxt = {h} THEN min(CASE WHEN {v} > 0 THEN as_of_date END) OVER nxt END
+                 AS next_event_date
+          FROM users
+          WINDOW nxt AS (PARTITION BY entity_id ORDER BY as_of_date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING),
+                 prev AS (PARTITION BY entity_id ORDER BY as_of_date ROWS BETWEEN {b} PRECEDING AND 1 PRECEDING))"""
+
+
+def framed(value: str) -> str:
+    return FRAMED.format(h=HORIZON, b=LOOKBACK, v=value)
+
+
+def labeled_sql(value: str, hit: str) -> str:
+    return f"""SELECT entity_id, as_of_date, CASE WHEN future_sum IS NOT NULL THEN CAST({hit} AS BIGINT) END AS label,
+                      next_event_date, lookback_sum, future_sum FROM ({framed(value)})"""
+
+
+ONSET_SQL = labeled_sql("error_count", "lookback_sum <= 2 AND future_sum >= 4")
+LABEL_COLUMNS = ["entity_id", "as_of_date", "label", "next_event_date", "lookback_sum", "future_sum"]
+
+
+@query("row_labels_onset", sql(ONSET_SQL))
+def row_labels_onset(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.build_labels(daily_users(spark, sf), ONSET, HORIZON).select(*LABEL_COLUMNS)
+
+
+@query(
+    "row_labels_escalation",
+    sql(labeled_sql("event_count", "future_sum >= greatest(5.0::DOUBLE, greatest(lookback_sum, 2.0::DOUBLE) * 1.5)")),
+)
+def row_labels_escalation(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.build_labels(daily_users(spark, sf), ESCALATION, HORIZON).select(*LABEL_COLUMNS)
+
+
+@query("row_labels_threshold", sql(labeled_sql("value_sum", "future_sum >= 100")))
+def row_labels_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.build_labels(daily_users(spark, sf), LEVEL, HORIZON).select(*LABEL_COLUMNS)
+
+
+@query(
+    "lag_roll_features",
+    sql("""
+    SELECT entity_id, as_of_date, coalesce(lag(v, 1) OVER o, 0) AS lag_1, coalesce(lag(v, 7) OVER o, 0) AS lag_7,
+           round(coalesce(avg(v) OVER p14, 0), 6) AS mean_14,
+           round(coalesce(CASE WHEN count(v) OVER p14 >= 2 THEN stddev_samp(v) OVER p14 END, 0), 6) AS std_14,
+           round(coalesce(CASE WHEN count(v) OVER p14 >= 5 THEN v - avg(v) OVER p14 END, 0), 6) AS deviation_14
+    FROM (SELECT entity_id, as_of_date, CAST(event_count AS DOUBLE) AS v FROM users)
+    WINDOW o AS (PARTITION BY entity_id ORDER BY as_of_date),
+           p14 AS (PARTITION BY entity_id ORDER BY as_of_date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)"""),
+)
+def lag_roll_features(spark: SparkSession, sf: str) -> DataFrame:
+    spec, value = ew.ordered("entity_id", "as_of_date"), F.col("event_count").cast("double")
+    return daily_users(spark, sf).select(
+        "entity_id", "as_of_date", ew.lagged(value, 1, spec).alias("lag_1"), ew.lagged(value, 7, spec).alias("lag_7"),
+        rounded(ew.rolling_mean(value, 14, spec), 6).alias("mean_14"),
+        rounded(ew.rolling_std(value, 14, spec), 6).alias("std_14"),
+        rounded(ew.deviation_from_mean(value, 14, spec), 6).alias("deviation_14"),
+    )
+
+
+SPLITS = """
+    SELECT 'split_' || lpad(CAST(CAST((k - 10) // 4 AS INT) AS VARCHAR), 2, '0') AS split_id, train_start, train_end,
+           validation_start, validation_end
+    FROM (SELECT row_number() OVER (ORDER BY d) AS k, min(d) OVER () AS train_start, d AS train_end,
+                 lead(d, 1) OVER (ORDER BY d) AS validation_start, lead(d, 5) OVER (ORDER BY d) AS validation_end
+          FROM (SELECT DISTINCT as_of_date AS d FROM users))
+    WHERE k >= 10 AND (k - 10) % 4 = 0 AND validation_end IS NOT NULL"""
+
+
+def user_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return folds.walk_forward_splits(daily_users(spark, sf), "as_of_date", 10, 5, 4)
+
+
+def labeled_users(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.labeled_rows(labels.build_labels(daily_users(spark, sf), ONSET, HORIZON))
+
+
+LABELED = {"splits": SPLITS, "labeled": f"SELECT * FROM ({ONSET_SQL}) WHERE label IS NOT NULL"}
+
+
+@query("walk_forward_splits", sql(SPLITS))
+def walk_forward_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return user_splits(spark, sf)
+
+
+@query(
+    "fold_rows",
+    sql("""
+    SELECT split_id, CASE WHEN as_of_date <= train_end THEN 'train' ELSE 'validation' END AS role, count(*) AS row_count,
+           CAST(sum(event_count) AS BIGINT) AS events
+    FROM users JOIN splits ON as_of_date BETWEEN train_start AND validation_end GROUP BY 1, 2""", splits=SPLITS),
+)
+def fold_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = folds.fold_rows(daily_users(spark, sf), user_splits(spark, sf), "as_of_date")
+    return rows.groupBy("split_id", "role").agg(F.count("*").alias("row_count"), F.sum("event_count").alias("events"))
+
+
+@query(
+    "fold_trainability",
+    sql("""
+    SELECT *, CASE WHEN validation_row_count = 0 THEN 'validation_fold_empty' WHEN train_row_count = 0 THEN 'train_fold_empty'
+                   WHEN train_positive_count = 0 OR train_negative_count = 0 THEN 'train_fold_missing_classes' END
+              AS skip_reason
+    FROM (SELECT split_id, count(*) FILTER (t AND label = 1) AS train_positive_count,
+                 count(*) FILTER (t AND label = 0) AS train_negative_count, count(*) FILTER (t) AS train_row_count,
+                 count(*) FILTER (v AND label = 1) AS validation_positive_count,
+                 count(*) FILTER (v AND label = 0) AS validation_negative_count, count(*) FILTER (v) AS validation_row_count
+          FROM (SELECT split_id, label, as_of_date BETWEEN train_start AND train_end AS t,
+                       as_of_date BETWEEN validation_start AND validation_end AS v FROM splits, labeled)
+          GROUP BY 1)""", **LABELED),
+)
+def fold_trainability(spark: SparkSession, sf: str) -> DataFrame:
+    return folds.fold_trainability(labeled_users(spark, sf), user_splits(spark, sf), "as_of_date")
+
+
+@query(
+    "prior_rate_scores",
+    sql("""
+    SELECT entity_id, as_of_date, split_id, label, round(rate, 6) AS raw_score
+    FROM labeled JOIN (SELECT s.*, (SELECT avg(label) FROM labeled WHERE as_of_date BETWEEN train_start AND train_end) AS rate
+                       FROM splits s) ON as_of_date BETWEEN validation_start AND validation_end""", **LABELED),
+)
+def prior_rate_scores(spark: SparkSession, sf: str) -> DataFrame:
+    scored = folds.prior_rate_scores(labeled_users(spark, sf), user_splits(spark, sf), "as_of_date")
+    return scored.select("entity_id", "as_of_date", "split_id", "label", rounded("raw_score", 6).alias("raw_score"))
+
+
+@query(
+    "ensemble_scores",
+    sql("""
+    SELECT entity_id, forecast_date, round((3 * calibrated_probability + second_probability) / 4, 6) AS raw_score,
+           'weighted_ensemble' AS model_name FROM pred"""),
+)
+def ensemble_scores(spark: SparkSession, sf: str) -> DataFrame:
+    found = models.ensemble_scores(
+        model_predictions(spark, sf), {"alpha": 3.0, "beta": 1.0, "absent": 2.0}, ["entity_id", "forecast_date"]
+    )
+    return found.withColumn("raw_score", rounded("raw_score", 6))
+
+
+@query(
+    "label_distribution",
+    sql("""SELECT count(*) AS row_count, count(*) FILTER (label = 1) AS positive_count,
+           count(*) FILTER (label = 0) AS negative_count, count(DISTINCT label) AS class_count FROM labeled""", **LABELED),
+)
+def label_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.label_distribution(labels.build_labels(daily_users(spark, sf), ONSET, HORIZON))
+
+
+@query(
+    "attach_labels",
+    sql("""SELECT entity_id, as_of_date, event_count, label FROM users JOIN labeled USING (entity_id, as_of_date)""",
+        **LABELED),
+)
+def attach_labels(spark: SparkSession, sf: str) -> DataFrame:
+    users = daily_users(spark, sf)
+    truth = labels.build_labels(users, ONSET, HORIZON).select("entity_id", "as_of_date", "label")
+    return labels.attach_labels(users.select("entity_id", "as_of_date", "event_count"), truth, "entity_id", "as_of_date")
+
+
+@query(
+    "precomputed_labels",
+    sql("""SELECT entity_id, forecast_date, label, next_event_date
+           FROM (SELECT entity_id, forecast_date, next_event_date, CASE WHEN n7 > 0 THEN label END AS label FROM pred)
+           WHERE label IS NOT NULL"""),
+)
+def precomputed_labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = prediction_panel(spark, sf).select(
+        "entity_id", "forecast_date", F.col("next_event_date").alias("next_day"),
+        F.when(F.col("n7") > 0, F.col("label")).alias("ready_label"),
+    )
+    found = labels.precomputed_labels(rows, "ready_label", "next_day")
+    return found.select("entity_id", "forecast_date", "label", "next_event_date")
+
+
+@query(
+    "prior_join",
+    sql("""SELECT entity_id, forecast_date, n28, round(calibrated_probability, 6) AS structural_prior_score
+           FROM pred LEFT JOIN (SELECT entity_id, forecast_date, calibrated_probability AS calibrated_probability
+                                FROM pred WHERE n28 % 3 = 0) USING (entity_id, forecast_date)""".replace(
+               "round(calibrated_probability, 6)", "round(slow, 6)").replace(
+               "calibrated_probability AS calibrated_probability", "calibrated_probability AS slow")),
+)
+def prior_join(spark: SparkSession, sf: str) -> DataFrame:
+    rows = prediction_panel(spark, sf)
+    slow = rows.where(F.col("n28") % 3 == 0).select("entity_id", "forecast_date", "calibrated_probability")
+    fast = rows.select("entity_id", "forecast_date", "n28")
+    found = labels.attach_prior(fast, slow, "entity_id", "forecast_date")
+    return found.withColumn("structural_prior_score", rounded("structural_prior_score", 6))
+
+
+@query(
+    "standardize_predictions",
+    sql("""SELECT entity_id, entity_name, forecast_date, 'label_escalation_30d' AS target_name,
+           CAST(30 AS BIGINT) AS horizon_days, 'alpha' AS model_name FROM pred"""),
+)
+def standardize_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = prediction_panel(spark, sf).select(
+        F.col("entity_id").alias("code"), F.col("entity_name").alias("title"), F.col("forecast_date").alias("week")
+    )
+    found = models.standardize_predictions(
+        rows, "code", "title", "week", target="label_escalation_30d", horizon=30, model="alpha"
+    )
+    return found.select("entity_id", "entity_name", "forecast_date", "target_name", "horizon_days", "model_name")
+
+
+# --- trained models: learned values, so rows are checked without SQL ------------------------------------------
+
+FEATURES = ("n7", "n28", "second_probability")
+SPLIT = {"min_train": 156, "validation": 52, "step": 52, "max_splits": 2}
+
+
+@functools.cache
+def training_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Nation-weeks with features and label, written once for all fits."""
+    rows = prediction_panel(spark, sf).select(
+        "entity_id", "entity_name", "region_name", F.col("forecast_date").alias("as_of_date"), *FEATURES, "label",
+        "next_event_date",
+    )
+    return cut_lineage(rows)
+
+
+def out_of_fold(spark: SparkSession, sf: str, spec: models.ModelSpec) -> DataFrame:
+    return models.out_of_fold_predictions(training_rows(spark, sf), [spec], FEATURES, "as_of_date", **SPLIT).select(
+        "entity_id", "as_of_date", "label", "split_id", "model_name", "raw_score"
+    )
+
+
+@query("logit_scores")
+def logit_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return out_of_fold(spark, sf, models.ModelSpec("logit", models.LOGISTIC))
+
+
+@query("elastic_net_scores")
+def elastic_net_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return out_of_fold(spark, sf, models.ModelSpec("elastic", models.ELASTIC_NET))
+
+
+@query("forest_scores")
+def forest_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return out_of_fold(spark, sf, models.ModelSpec("forest", models.FOREST, {"numTrees": 20, "maxDepth": 5}))
+
+
+@query("gbt_scores")
+def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return out_of_fold(spark, sf, models.ModelSpec("boosted", models.BOOSTED, {"maxIter": 10}))
+
+
+@query("isotonic_calibrated")
+def isotonic_calibrated(spark: SparkSession, sf: str) -> DataFrame:
+    scores = out_of_fold(spark, sf, models.ModelSpec("logit", models.LOGISTIC))
+    return calibrate.calibrate_model(scores, "logit", calibrate.ISOTONIC)[1]
+
+
+@query("sigmoid_calibrated")
+def sigmoid_calibrated(spark: SparkSession, sf: str) -> DataFrame:
+    scores = out_of_fold(spark, sf, models.ModelSpec("logit", models.LOGISTIC))
+    return calibrate.calibrate_model(scores, "logit", calibrate.SIGMOID)[1]
+
+
+def fitted_members(spark: SparkSession, sf: str) -> list[tuple[models.FittedModel, float]]:
+    rows = training_rows(spark, sf)
+    counts = models.class_counts(rows)
+    logit = models.fit_model(rows, models.ModelSpec("logit", models.LOGISTIC), FEATURES, counts=counts)
+    forest = models.fit_model(
+        rows, models.ModelSpec("forest", models.FOREST, {"numTrees": 10, "maxDepth": 4}), FEATURES, counts=counts
+    )
+    return [(logit, 2.0), (forest, 1.0)]
+
+
+@query("signed_drivers")
+def signed_drivers(spark: SparkSession, sf: str) -> DataFrame:
+    return explain.signed_drivers(training_rows(spark, sf), fitted_members(spark, sf), 2).select(
+        "entity_id", "as_of_date", "top_positive_drivers", "top_negative_drivers"
+    )
+
+
+@query("global_importance")
+def global_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return explain.global_importance(training_rows(spark, sf), fitted_members(spark, sf), 5)
+
+
+@query("long_contributions")
+def long_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    return explain.long_contributions(
+        training_rows(spark, sf), fitted_members(spark, sf), ["entity_id", "as_of_date"]
+    )
+
+
+@query("batch_predictions")
+def batch_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = training_rows(spark, sf)
+    members = fitted_members(spark, sf)
+    calibrator = calibrate.fit_calibrator(models.weighted_score(members, rows), calibrate.ISOTONIC)
+    return models.predict(
+        rows, members, calibrator, entity="entity_id", name="entity_name", date="as_of_date", target="label_escalation_30d",
+        horizon=30, model_name="ensemble", model_version="v1", calibration_method=calibrate.ISOTONIC,
+    )
+
+
+BACKTEST = backtest.BacktestSpec(
+    models=(models.ModelSpec("logit", models.LOGISTIC), models.ModelSpec("prior_rate", models.PRIOR_RATE)),
+    features=FEATURES, primary_model="logit", target="label_escalation_30d", horizon=30, **SPLIT,
+)
+
+
+@query("backtest_predictions")
+def backtest_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return backtest.backtest_predictions(training_rows(spark, sf), BACKTEST).select(
+        "entity_id", "forecast_date", "model_name", "split_id", "label", "raw_score", "calibrated_probability",
+        "feature_snapshot_hash",
+    )
+
+
+@query("backtest_explained")
+def backtest_explained(spark: SparkSession, sf: str) -> DataFrame:
+    rows = training_rows(spark, sf)
+    predictions = backtest.backtest_predictions(rows, BACKTEST)
+    return backtest.explain_backtest(rows, predictions, BACKTEST, "logit").select(
+        "entity_id", "forecast_date", "calibrated_probability", "top_positive_drivers", "top_negative_drivers"
+    )
+
+
+@query("backtest_summary")
+def backtest_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return backtest.run_backtest(training_rows(spark, sf), BACKTEST).summary

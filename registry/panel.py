@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from registry import query
@@ -417,6 +419,7 @@ def panel_sources(spark: SparkSession, sf: str) -> plans.PanelSources:
     )
 
 
+@functools.cache
 def full_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The whole panel over the stand-in sources."""
     return plans.country_week_features(spark, panel_sources(spark, sf), SNAPSHOT, start="1996-01-01")
@@ -497,7 +500,8 @@ FULL_TEXT = f"""
     ASOF LEFT JOIN prices pr ON b.week_start_date >= pr.observation_date
     ASOF LEFT JOIN trade tr ON b.entity_id = tr.country_iso3 AND b.week_start_date >= tr.observation_date
     ASOF LEFT JOIN macro ma ON b.entity_id = ma.country_iso3 AND year(b.week_start_date) >= ma.year"""
-FULL_SQL = sql(FULL_TEXT, base=BASE, news_day=NEWS_DAY, arts_day=ARTS_DAY, located=LOCALIZED)
+FULL_PARTS = {"base": BASE, "news_day": NEWS_DAY, "arts_day": ARTS_DAY, "located": LOCALIZED}
+FULL_SQL = sql(FULL_TEXT, **FULL_PARTS)
 
 FULL_COLUMNS = """
 country_iso3 country_name region_name week_start_date label_escalation_7d label_escalation_30d label_onset_30d

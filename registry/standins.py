@@ -130,7 +130,7 @@ def monthly_prices(spark: SparkSession, sf: str) -> DataFrame:
     return (
         read(spark, sf, "lineitem")
         .groupBy(F.trunc(F.col("l_shipdate").cast("date"), "month").alias("observation_date"))
-        .agg(F.avg("l_extendedprice").alias("food_price_index"), F.max("l_quantity").alias("food_cereal_price_index"))
+        .agg((F.avg("l_extendedprice") / 1000).alias("food_price_index"), F.max("l_quantity").alias("food_cereal_price_index"))
     )
 
 
@@ -280,7 +280,7 @@ CTES = {
         FROM documents JOIN nat ON n_chars % (SELECT count(*) FROM nat) = n_nationkey""",
     "prices": """
         SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS observation_date,
-               avg(l_extendedprice) AS food_price_index, max(l_quantity) AS food_cereal_price_index
+               avg(l_extendedprice) / 1000 AS food_price_index, max(l_quantity) AS food_cereal_price_index
         FROM lineitem GROUP BY 1""",
     "trade": """
         SELECT country_id AS country_iso3, CAST(date_trunc('month', event_date) AS DATE) AS observation_date,
