@@ -61,10 +61,9 @@ def backtest_predictions(training: DataFrame, spec: BacktestSpec) -> DataFrame:
         step=spec.step, max_splits=spec.max_splits, seed=spec.seed, calibrated=calibrate,
     )
     hashed = folds.withColumn("feature_snapshot_hash", feature_hash(list(spec.features)))
-    identified = standardize_predictions(
-        hashed, spec.entity, spec.name, spec.date, target=spec.target, horizon=spec.horizon, model=""
+    return standardize_predictions(
+        hashed, spec.entity, spec.name, spec.date, target=spec.target, horizon=spec.horizon
     )
-    return identified.withColumn("model_name", hashed["model_name"])
 
 
 def explain_backtest(training: DataFrame, predictions: DataFrame, spec: BacktestSpec, model_name: str) -> DataFrame:

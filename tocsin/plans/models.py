@@ -192,19 +192,19 @@ def ensemble_scores(
 
 
 def standardize_predictions(
-    df: DataFrame, entity: str, name: str, date: str, *, target: str, horizon: int, model: str
+    df: DataFrame, entity: str, name: str, date: str, *, target: str, horizon: int, model: str | None = None
 ) -> DataFrame:
-    """Unified identity columns and constants of a prediction table."""
-    return df.withColumns(
-        {
-            "entity_id": F.col(entity),
-            "entity_name": F.col(name),
-            "forecast_date": F.col(date).cast("date"),
-            "target_name": F.lit(target),
-            "horizon_days": F.lit(horizon).cast("long"),
-            "model_name": F.lit(model),
-        }
-    )
+    """Unified identity columns and constants of a prediction table; ``model`` None keeps its own model_name."""
+    columns = {
+        "entity_id": F.col(entity),
+        "entity_name": F.col(name),
+        "forecast_date": F.col(date).cast("date"),
+        "target_name": F.lit(target),
+        "horizon_days": F.lit(horizon).cast("long"),
+    }
+    if model is not None:
+        columns["model_name"] = F.lit(model)
+    return df.withColumns(columns)
 
 
 def weighted_score(models: Sequence[tuple[FittedModel, float]], df: DataFrame, column: str = "raw_score") -> DataFrame:
