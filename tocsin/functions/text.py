@@ -84,7 +84,7 @@ def leading_number(text: Column | str, separator: str = ",") -> Column:
 def ints_in_text(text: Column | str) -> Column:
     """Distinct integers that occur in the text, in order of appearance."""
     found = F.regexp_extract_all(_c(text).cast("string"), F.lit(r"(\d+)"))
-    numbers = F.array_distinct(F.transform(found, lambda token: token.try_cast("long")))
+    numbers = F.array_distinct(F.array_compact(F.transform(found, lambda token: token.try_cast("long"))))
     return F.coalesce(numbers, F.array().cast("array<bigint>"))
 
 
