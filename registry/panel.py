@@ -422,7 +422,9 @@ def panel_sources(spark: SparkSession, sf: str) -> plans.PanelSources:
 @functools.cache
 def full_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The whole panel over the stand-in sources."""
-    return plans.country_week_features(spark, panel_sources(spark, sf), SNAPSHOT, start="1996-01-01")
+    return plans.country_week_features(
+        spark, panel_sources(spark, sf), SNAPSHOT, start="1996-01-01", write_cells=True
+    )
 
 
 def _in_range(table: str, lo: int, hi: int, columns: str, day: str = "d", entity: str = "country_iso3") -> str:

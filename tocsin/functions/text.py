@@ -52,9 +52,8 @@ def first_list_instant(text: Column | str, separator: str = ";") -> Column:
 
 def last_segment(text: Column | str, separator: str = ",") -> Column:
     """Last non-blank segment of a delimited text, trimmed."""
-    parts = F.transform(F.split(_c(text).cast("string"), separator), lambda part: F.trim(part))
-    kept = F.filter(parts, lambda part: part != "")
-    return F.when(F.size(kept) > 0, F.element_at(kept, -1))
+    kept = F.rtrim(_c(text).cast("string"), F.lit(separator + " \t\r\n"))
+    return F.nullif(F.trim(F.substring_index(kept, separator, -1)), F.lit(""))
 
 
 def parse_locations(text: Column | str) -> Column:

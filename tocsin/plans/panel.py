@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tocsin.functions.calendar import days_between, week_start, within_days
 from tocsin.functions.scoring import known_flag, short_long_delta
+from tocsin.functions.text import blank_to_null
 from tocsin.operators import grid
 from tocsin.operators.grid import RangeSum
 from tocsin.operators.onset import localize_onsets, stack_onsets, truth_cutoff
 from tocsin.sources.countries import country_dimension, metadata_projection
 from tocsin.sources.normalize import SERIES
+from tocsin.session import cut_lineage
 from tocsin.sources.schemas import GOVERNANCE_COMPONENTS, INDICATOR_COLUMNS
 
 # Panel columns in table order.
@@ -176,8 +178,12 @@ def conflict_cells(events: DataFrame, prefix: str = "c") -> DataFrame:
 
 
 def violence_cells(events: DataFrame, prefix: str = "v") -> DataFrame:
+    """Cells of the violence events, with a name and region of the country for the dimension."""
     rows = events.withColumn("is_state_based", (F.coalesce("type_of_violence", F.lit(0)) == 1).cast("long"))
-    return grid.sum_cells(rows, "country_iso3", "event_date_start", VIOLENCE_SUMS, prefix)
+    return grid.sum_cells(
+        rows, "country_iso3", "event_date_start", VIOLENCE_SUMS, prefix,
+        name=F.min(blank_to_null("country_name")), region=F.min(blank_to_null("region_name")),
+    )
 
 
 def onset_cells(onsets: DataFrame, prefix: str = "o") -> DataFrame:
@@ -185,21 +191,22 @@ def onset_cells(onsets: DataFrame, prefix: str = "o") -> DataFrame:
     return grid.sum_cells(rows, "country_iso3", "onset_date", ONSET_SUMS, prefix)
 
 
-def panel_dimension(sources: PanelSources, dictionary: DataFrame | None = None) -> DataFrame:
-    """Countries of the panel with the first known name and region."""
+def panel_dimension(
+    sources: PanelSources, violence: DataFrame, code_only: list[DataFrame], dictionary: DataFrame | None = None
+) -> DataFrame:
+    """Countries of the panel with the first known name and region.
+
+    The event sources enter by their cells (``violence`` and ``code_only``), which are already small.
+    """
     named = [
         sources.macro, sources.governance, sources.elections, sources.climate, sources.security,
         sources.night_lights, sources.trade, sources.shipping,
     ]
     metadata = [metadata_projection(frame) for frame in named]
-    metadata.append(metadata_projection(sources.violence_events, region="region_name"))
+    metadata.append(metadata_projection(violence, iso3=grid.ENTITY, name="vname", region="vregion"))
     metadata.append(metadata_projection(sources.displacement, iso3="country_id"))
-    code_only = [
-        sources.news_events.select(F.col("country_id").alias("country_iso3")),
-        sources.news_documents.select(F.col("document_country_id").alias("country_iso3")),
-        sources.conflict_events.select("country_iso3"),
-    ]
-    return country_dimension(metadata, dictionary, code_only)
+    keys = [cells.select(F.col(grid.ENTITY).alias("country_iso3")) for cells in code_only]
+    return country_dimension(metadata, dictionary, keys)
 
 
 def inferred_start(sources: PanelSources, current_week: Column) -> Column:
@@ -233,13 +240,24 @@ def country_week_features(
     start: str | None = None,
     end: str | None = None,
     dictionary: DataFrame | None = None,
+    write_cells: bool = False,
 ) -> DataFrame:
     """The full panel: one row per country and week with all features and labels.
 
     Each source is aggregated to weekly cells; all cells and the panel skeleton are stacked and read by one
     window pass per country. Values without a country (market, food) are searched on the calendar alone.
+
+    With ``write_cells`` the cells of the four event sources are written to the shared folder first. They are
+    tiny next to the events, the events are then scanned once although cells feed both the panel and its list of
+    countries, and a lost executor costs a read of the cells. Use it when the sources are large.
     """
     s = sources.filled(spark)
+    keep = cut_lineage if write_cells else (lambda cells: cells)
+    news = keep(grid.sum_cells(s.news_events, "country_id", "event_date", NEWS_EVENT_SUMS, "n"))
+    documents = keep(
+        grid.sum_cells(s.news_documents, "document_country_id", "document_date", NEWS_DOCUMENT_SUMS, "d")
+    )
+    conflicts, violence = keep(conflict_cells(s.conflict_events)), keep(violence_cells(s.violence_events))
     snapshot = F.lit(snapshot_ts).cast("timestamp")
     snapshot_day = snapshot.cast("date")
     current_week = week_start(snapshot_day)
@@ -248,9 +266,8 @@ def country_week_features(
     if start and end and end < start:
         raise ValueError("The panel must not end before it starts.")
 
-    panel = grid.dense_panel(panel_dimension(s, dictionary), first_week, last_week).withColumnRenamed(
-        "country_iso3", grid.ENTITY
-    )
+    dimension = panel_dimension(s, violence, [news, documents, conflicts], dictionary)
+    panel = grid.dense_panel(dimension, first_week, last_week).withColumnRenamed("country_iso3", grid.ENTITY)
     onset_frames = {"interstate": s.interstate_onsets, "intrastate": s.intrastate_onsets}
     onsets = localize_onsets(s.violence_events, stack_onsets(onset_frames))
     onset_known_until = truth_cutoff(list(onset_frames.values()), snapshot_day)
@@ -268,10 +285,10 @@ def country_week_features(
     stacked = grid.stack_cells(
         panel,
         [
-            grid.sum_cells(s.news_events, "country_id", "event_date", NEWS_EVENT_SUMS, "n"),
-            grid.sum_cells(s.news_documents, "document_country_id", "document_date", NEWS_DOCUMENT_SUMS, "d"),
-            conflict_cells(s.conflict_events),
-            violence_cells(s.violence_events),
+            news,
+            documents,
+            conflicts,
+            violence.drop("vname", "vregion"),
             onset_cells(onsets),
             dated("trade"),
             dated("shipping"),
