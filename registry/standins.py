@@ -218,7 +218,7 @@ def prediction_panel(spark: SparkSession, sf: str) -> DataFrame:
         F.col("week_start_date").alias("forecast_date"), "n7", "n28",
         ((F.col("n28") * 13 + week_no) % 97 / 97.0).alias("calibrated_probability"),
         ((F.col("n28") * 7 + F.col("n7") + week_no) % 89 / 89.0).alias("second_probability"),
-        (F.col("v30") > 3).cast("long").alias("label"),
+        (F.col("v30") * 8 > F.col("n28")).cast("long").alias("label"),
         F.when(F.col("v7") > 0, F.date_add("week_start_date", 7)).alias("next_event_date"),
     )
 
@@ -326,7 +326,7 @@ CTES = {
                AS calibrated_probability,
                (n28 * 7 + n7 + date_diff('day', DATE '1970-01-05', week_start_date) // 7) % 89 / 89.0
                AS second_probability,
-               CAST(v30 > 3 AS BIGINT) AS label,
+               CAST(v30 * 8 > n28 AS BIGINT) AS label,
                CASE WHEN v7 > 0 THEN CAST(week_start_date + 7 AS DATE) END AS next_event_date
         FROM (
             SELECT p.*, coalesce(c.n7, 0) AS n7, coalesce(c.n28, 0) AS n28, coalesce(v.v30, 0) AS v30,

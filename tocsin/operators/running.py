@@ -14,10 +14,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 RANGES = 64
 
 
-def with_score_range(df: DataFrame, score: str, ranges: int = RANGES) -> DataFrame:
-    """Add ``_range``: number of quantile cuts below the score (0 .. ranges-1)."""
+def with_score_range(df: DataFrame, score: str, ranges: int = RANGES, also_read: Sequence[str] = ()) -> DataFrame:
+    """Add ``_range``: number of quantile cuts below the score (0 .. ranges-1).
+
+    ``also_read`` names the numeric columns that the caller reads too. The cuts then need exactly the columns of the
+    other branches, so that all of them share one shuffle of the frame.
+    """
     probabilities = [step / ranges for step in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(score, probabilities, 2_000).alias("cuts")).scalar()
+    sketch = F.struct(
+        F.percentile_approx(score, probabilities, 2_000).alias("cuts"), *[F.sum(column) for column in also_read]
+    )
+    cuts = df.agg(sketch.alias("sketch")).scalar().getField("cuts")
     below = F.expr(f"coalesce(size(filter(_cuts, cut -> cut < `{score}`)), 0)")
     return df.withColumn("_cuts", cuts).withColumn("_range", below).drop("_cuts")
 
@@ -33,23 +40,28 @@ def running_totals(
     df: DataFrame, score: str, values: Sequence[str], groups: Sequence[str] = (), ranges: int = RANGES,
     descending: bool = True,
 ) -> DataFrame:
-    """Add ``cum_<value>``: inclusive running total in score order, per group.
+    """Add ``cum_<value>`` (inclusive running total in score order) and ``all_<value>`` (total), per group.
 
     Expects one row per group and score (aggregate first; see ``score_table``).
     """
-    cut = with_score_range(df, score, ranges)
+    cut = with_score_range(df, score, ranges, values)
     keys = [*groups, "_range"]
     totals = cut.groupBy(*keys).agg(*[F.sum(value).alias(value) for value in values])
     order = F.col("_range").desc() if descending else F.col("_range").asc()
-    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*(groups or [F.lit(0)]))
+    before = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        *keys, *[F.coalesce(F.sum(value).over(before), F.lit(0)).alias(f"_start_{value}") for value in values]
+        *keys,
+        *[F.coalesce(F.sum(value).over(before), F.lit(0)).alias(f"_start_{value}") for value in values],
+        *[F.sum(value).over(group).alias(f"all_{value}") for value in values],
     )
     inner = F.col(score).desc() if descending else F.col(score).asc()
     within = Window.partitionBy(*keys).orderBy(inner).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = cut.select("*", *[F.sum(value).over(within).alias(f"_within_{value}") for value in values])
     return _join_starts(summed, starts, keys).select(
-        *df.columns, *[(F.col(f"_start_{v}") + F.col(f"_within_{v}")).alias(f"cum_{v}") for v in values]
+        *df.columns,
+        *[(F.col(f"_start_{v}") + F.col(f"_within_{v}")).alias(f"cum_{v}") for v in values],
+        *[f"all_{v}" for v in values],
     )
 
 

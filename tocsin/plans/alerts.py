@@ -157,10 +157,10 @@ def threshold_sweep(predictions: DataFrame, gap_days: int, ranges: int = RANGES)
     values = ["true_alerts", "false_alerts", "recalled"]
     table = rows.select(F.inline(steps)).groupBy("score").agg(*[F.sum(value).alias(value) for value in values])
     counted = running_totals(table, "score", values, ranges=ranges)
-    episode_count = rows.agg(F.count_if(F.col("_episode_start"))).scalar()
+    # Every episode is recalled at the lowest threshold, so the total of the recall steps is the episode count.
     return counted.select(
         F.col("score").alias("threshold"),
-        F.when(episode_count > 0, F.col("cum_recalled") / episode_count).alias("episode_recall"),
+        F.when(F.col("all_recalled") > 0, F.col("cum_recalled") / F.col("all_recalled")).alias("episode_recall"),
         F.col("cum_true_alerts").alias("true_alert_count"),
         F.col("cum_false_alerts").alias("false_alert_count"),
     )

@@ -34,16 +34,13 @@ def precision_recall_curve(
     df: DataFrame, probability: str, label: str = "label", groups: Sequence[str] = (), ranges: int = RANGES
 ) -> DataFrame:
     """Threshold, precision and recall at every distinct score."""
-    scores = score_table(df, probability, label, groups)
-    curve = cumulative_scores(scores, groups, ranges)
-    totals = scores.groupBy(*groups).agg(F.sum("positives").alias("_total"))
-    joined = _attach(curve, totals, groups)
+    curve = cumulative_scores(score_table(df, probability, label, groups), groups, ranges)
     found = F.col("cum_positives") + F.col("cum_negatives")
-    return joined.select(
+    return curve.select(
         *groups,
         F.col("score").alias("threshold"),
         (F.col("cum_positives") / found).alias("precision"),
-        F.when(F.col("_total") > 0, F.col("cum_positives") / F.col("_total")).alias("recall"),
+        F.when(F.col("all_positives") > 0, F.col("cum_positives") / F.col("all_positives")).alias("recall"),
     )
 
 
@@ -58,24 +55,25 @@ def _attach(df: DataFrame, per_group: DataFrame, groups: Sequence[str]) -> DataF
     return df.join(renamed, condition).drop(*[f"_g_{g}" for g in groups])
 
 
-def _curve_metrics(scores: DataFrame, groups: Sequence[str], ranges: int) -> DataFrame:
-    """Average precision, ROC AUC and top-k hit rate per group from the score table."""
-    totals = scores.groupBy(*groups).agg(F.sum("positives").alias("_p"), F.sum("negatives").alias("_n"))
-    rows = _attach(cumulative_scores(scores, groups, ranges), totals, groups)
+def _curve_aggregates() -> list[Column]:
+    """Average precision, ROC AUC and top-k hit rate as aggregates over the cumulative table."""
     tp, fp = F.col("cum_positives"), F.col("cum_negatives")
+    tied = F.col("positives") + F.col("negatives")
     step_precision = F.col("positives") * tp / (tp + fp)
     # Pairs won by the positives of this score: negatives below, and half of the ties.
-    won = F.col("positives") * ((F.col("_n") - fp) + F.col("negatives") / 2.0)
-    k = F.greatest(F.col("_p"), F.lit(1))
-    before = tp + fp - F.col("positives") - F.col("negatives")
-    taken = F.greatest(F.least(k - before, F.col("positives") + F.col("negatives")), F.lit(0))
-    hits = taken * F.col("positives") / (F.col("positives") + F.col("negatives"))
-    p, n = F.max("_p"), F.max("_n")
-    return rows.groupBy(*groups).agg(
+    won = F.col("positives") * ((F.col("all_negatives") - fp) + F.col("negatives") / 2.0)
+    k = F.greatest(F.col("all_positives"), F.lit(1))
+    taken = F.greatest(F.least(k - (tp + fp - tied), tied), F.lit(0))
+    hits = taken * F.col("positives") / tied
+    p, n = F.max("all_positives"), F.max("all_negatives")
+    return [
         F.when(p > 0, F.sum(step_precision) / p).alias("pr_auc"),
         F.when((p > 0) & (n > 0), F.sum(won) / (p.cast("double") * n.cast("double"))).alias("roc_auc"),
         (F.sum(hits) / F.least(F.greatest(p, F.lit(1)), p + n)).alias("top_k_risk_hit_rate"),
-    )
+    ]
+
+
+CURVE_METRICS = ["pr_auc", "roc_auc", "top_k_risk_hit_rate"]
 
 
 def ranking_curve_metrics(
@@ -86,7 +84,8 @@ def ranking_curve_metrics(
     Average precision is the step sum over distinct scores; ROC AUC counts ties as one half; the hit rate among
     the k highest scores (k = positives) takes a tied block at its boundary in proportion.
     """
-    return _curve_metrics(score_table(df, probability, label, groups), groups, ranges)
+    curve = cumulative_scores(score_table(df, probability, label, groups), groups, ranges)
+    return curve.groupBy(*groups).agg(*_curve_aggregates())
 
 
 def threshold_metrics(
@@ -106,17 +105,22 @@ def threshold_metrics(
     if next_event and date:
         lead = F.when(predicted, F.datediff(F.col(next_event), F.col(date)))
         aggregates += [F.avg(lead).alias("mean_lead_days"), F.median(lead).alias("median_lead_days")]
-    counted = df.groupBy(*groups).agg(*aggregates)
-    tp, fp = F.col("true_positives"), F.col("false_positives")
-    positives = F.col("positive_count")
-    found = tp + fp
-    precision = F.when(found > 0, tp / found).otherwise(0.0)
-    recall = F.when(positives > 0, tp / positives).otherwise(0.0)
-    f1 = F.when(found + positives > 0, 2.0 * tp / (found + positives)).otherwise(0.0)
     lead_columns = ["mean_lead_days", "median_lead_days"] if next_event and date else []
+    return _rates(df.groupBy(*groups).agg(*aggregates), [*lead_columns], groups)
+
+
+def _rates(counted: DataFrame, keep: Sequence[str], groups: Sequence[str]) -> DataFrame:
+    """Rates from the counts; a rate without cases is 0."""
+    tp, fp = F.col("true_positives"), F.col("false_positives")
+    positives, found = F.col("positive_count"), F.col("true_positives") + F.col("false_positives")
     return counted.select(
-        *groups, "row_count", "positive_count", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
-        "brier_score", F.when(tp > 0, fp / tp).alias("false_positives_per_true_positive"), *lead_columns,
+        *groups, "row_count", "positive_count",
+        F.when(found > 0, tp / found).otherwise(0.0).alias("precision"),
+        F.when(positives > 0, tp / positives).otherwise(0.0).alias("recall"),
+        F.when(found + positives > 0, 2.0 * tp / (found + positives)).otherwise(0.0).alias("f1"),
+        "brier_score",
+        F.when(tp > 0, fp / tp).alias("false_positives_per_true_positive"),
+        *keep,
     )
 
 
@@ -124,9 +128,26 @@ def classification_metrics(
     df: DataFrame, probability: str, label: str = "label", threshold: float = 0.5, groups: Sequence[str] = (),
     next_event: str | None = None, date: str | None = None, ranges: int = RANGES,
 ) -> DataFrame:
-    """One row per group with all metrics but the calibration curve."""
-    counts = threshold_metrics(df, probability, label, threshold, groups, next_event, date)
-    return _attach(counts, ranking_curve_metrics(df, probability, label, groups, ranges), groups)
+    """One row per group with all metrics but the calibration curve.
+
+    All of them come from one score table; only lead times, if asked for, read the rows once more.
+    """
+    curve = cumulative_scores(score_table(df, probability, label, groups), groups, ranges)
+    predicted = F.col("score") >= threshold
+    squares = F.col("positives") * F.pow(1 - F.col("score"), F.lit(2)) + F.col("negatives") * F.pow("score", F.lit(2))
+    counted = curve.groupBy(*groups).agg(
+        F.max(F.col("all_positives") + F.col("all_negatives")).alias("row_count"),
+        F.max("all_positives").alias("positive_count"),
+        F.sum(F.when(predicted, F.col("positives")).otherwise(0)).alias("true_positives"),
+        F.sum(F.when(predicted, F.col("negatives")).otherwise(0)).alias("false_positives"),
+        (F.sum(squares) / F.max(F.col("all_positives") + F.col("all_negatives"))).alias("brier_score"),
+        *_curve_aggregates(),
+    )
+    measured = _rates(counted, CURVE_METRICS, groups)
+    if not (next_event and date):
+        return measured
+    lead = threshold_metrics(df, probability, label, threshold, groups, next_event, date)
+    return _attach(measured, lead.select(*groups, "mean_lead_days", "median_lead_days"), groups)
 
 
 def grouped_metrics(
@@ -154,12 +175,9 @@ def calibration_curve(
     task ever holds all scores.
     """
     scores = score_table(df, probability, label, groups).withColumn("rows", F.col("positives") + F.col("negatives"))
-    counted = running_totals(scores, "score", ["rows"], groups, ranges, descending=False)
-    totals = scores.groupBy(*groups).agg(
-        F.sum("rows").alias("_all"),
-        ((F.sum("positives") > 0) & (F.sum("negatives") > 0)).alias("_two_classes"),
-    )
-    placed = _attach(counted, totals, groups)
+    placed = running_totals(
+        scores, "score", ["rows", "positives", "negatives"], groups, ranges, descending=False
+    ).withColumn("_two_classes", (F.col("all_positives") > 0) & (F.col("all_negatives") > 0))
 
     def order_statistic(position: Column) -> Column:
         inside = (F.col("cum_rows") - F.col("rows") <= position) & (position < F.col("cum_rows"))
@@ -167,7 +185,7 @@ def calibration_curve(
 
     edges: list[Column] = []
     for step in range(1, bins):
-        position = (F.col("_all") - 1) * F.lit(step / bins)
+        position = (F.col("all_rows") - 1) * F.lit(step / bins)
         low = F.floor(position)
         edges += [
             order_statistic(low).alias(f"_low_{step}"),

@@ -14,6 +14,7 @@ from tocsin.functions.scoring import (
 from tocsin.operators.entity_windows import latest_and_previous, latest_per_key
 from tocsin.operators.quality import require_columns
 from tocsin.operators.running import ranked
+from tocsin.session import cut_lineage
 
 PREDICTION_COLUMNS = [
     "country_iso3", "country_name", "forecast_date", "calibrated_probability", "model_name", "model_version",
@@ -42,14 +43,15 @@ def ranked_snapshot(
         "country_iso3", "country_name", region.alias("region_name"), "forecast_date", "calibrated_probability",
         secondary.alias("_secondary"),
     )
-    newest = latest_and_previous(slim, "country_iso3", "forecast_date", ["calibrated_probability"])
+    # One row per country, written once: ranking reads it several times, the predictions only here.
+    newest = cut_lineage(latest_and_previous(slim, "country_iso3", "forecast_date", ["calibrated_probability"]))
     order = [
         F.coalesce("_secondary", F.lit(float("-inf"))).desc(),
         F.coalesce("country_name", F.lit("")).asc(),
         F.coalesce("country_iso3", F.lit("")).asc(),
     ]
     score = F.col("calibrated_probability")
-    taken = snapshot_time(predictions)
+    taken = snapshot_time(predictions) if "snapshot_ts_utc" in predictions.columns else snapshot_time(newest)
     reference = taken if published_at is None else published_at
     return ranked(newest, "calibrated_probability", order).select(
         "rank",
@@ -58,7 +60,7 @@ def ranked_snapshot(
         "region_name",
         F.bround(score, 4).alias("score"),
         F.bround(score - F.coalesce("previous_calibrated_probability", score), 4).alias("delta"),
-        predictions.agg(F.max("forecast_date").cast("date")).scalar().alias("forecast_as_of"),
+        newest.agg(F.max("forecast_date").cast("date")).scalar().alias("forecast_as_of"),
         freshness_by_hours(reference, taken, fresh_days, stale_days).alias("freshness_tier"),
         score.alias("calibrated_probability"),
     )
