@@ -6,6 +6,7 @@ The dimension is an input with ``iso3``, ``name`` and, if known, ``iso2``, ``off
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -108,20 +109,15 @@ def resolve_country(df: DataFrame, name_column: str, dimension: DataFrame, out:
 
 
 def alias_map(dimension: DataFrame) -> Column:
-    """All aliases as one map value, for lookups inside arrays without a shuffle of the array rows.
+    """All aliases as one constant map, for lookups inside arrays without a shuffle of the array rows.
 
-    The map goes to every task, so its size is checked: beyond ``MAX_ALIASES`` the job stops.
+    The map is part of every task, so its size is checked: with more than ``MAX_ALIASES`` entries (a dimension that
+    holds more than countries) this is an error, and names have to go through :func:`resolve_country`.
     """
-    aliases = alias_table(dimension)
-    packed = aliases.agg(
-        F.when(
-            F.count("*") <= MAX_ALIASES,
-            F.map_from_entries(F.collect_list(F.struct("alias", "iso3"))),
-        )
-        .otherwise(F.raise_error(F.lit("The alias table is too large to attach to every task.")).cast("map<string,string>"))
-        .alias("aliases")
-    )
-    return packed.scalar()
+    aliases = alias_table(dimension).limit(MAX_ALIASES + 1).collect()
+    if len(aliases) > MAX_ALIASES:
+        raise ValueError("The alias table is too large to be part of every task; use resolve_country.")
+    return F.from_json(F.lit(json.dumps({row["alias"]: row["iso3"] for row in aliases})), "map<string,string>")
 
 
 def is_country_code(code: Column | str) -> Column:

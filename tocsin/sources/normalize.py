@@ -72,19 +72,19 @@ def news_documents(raw: DataFrame, dimension: DataFrame) -> DataFrame:
     prepared = raw.select(
         "gkg_record_id", "document_identifier", "date", "source_common_name", "themes", "v2_themes", "v2_tone",
         parse_locations("v2_locations").alias("locations"),
-        alias_map(dimension).alias("aliases"),
     )
+    aliases = alias_map(dimension)
     whole_name = F.transform(
         "locations",
         lambda place: F.element_at(
-            F.col("aliases"),
+            aliases,
             lookup_key(
                 F.when(place["geo_type"] == "1", place["location_name"]).otherwise(last_segment(place["location_name"]))
             ),
         ),
     )
     tail_name = F.transform(
-        "locations", lambda place: F.element_at(F.col("aliases"), lookup_key(last_segment(place["location_name"])))
+        "locations", lambda place: F.element_at(aliases, lookup_key(last_segment(place["location_name"])))
     )
     first_choice, second_choice = distinct_in_order(whole_name), distinct_in_order(tail_name)
     published = parse_instant("date", NEWS_INSTANT)
