@@ -432,8 +432,11 @@ def _in_range(table: str, lo: int, hi: int, columns: str, day: str = "d", entity
             f"AND {day} BETWEEN week_start_date + ({lo}) AND week_start_date + ({hi}) GROUP BY 1, 2)")
 
 
+# Only the violence source knows regions.
 BASE = f"""
-    SELECT country_iso3 AS entity_id, country_name, region_name, CAST(w AS DATE) AS week_start_date
+    SELECT country_iso3 AS entity_id, country_name,
+           CASE WHEN country_iso3 IN (SELECT country_iso3 FROM viol) THEN region_name END AS region_name,
+           CAST(w AS DATE) AS week_start_date
     FROM nat CROSS JOIN (SELECT unnest(generate_series(DATE '1996-01-01',
         CAST(date_trunc('week', DATE '{SNAPSHOT_DAY}') AS DATE), INTERVAL 7 DAY)) AS w)"""
 NEWS_DAY = """
