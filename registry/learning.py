@@ -271,6 +271,19 @@ def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     return out_of_fold(spark, sf, models.ModelSpec("boosted", models.BOOSTED, {"maxIter": 10}))
 
 
+@query("structural_prior_scores")
+def structural_prior_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold scores of a slow model become a feature of a faster one."""
+    rows = training_rows(spark, sf)
+    slow = out_of_fold(spark, sf, models.ModelSpec("slow", models.LOGISTIC))
+    features = [*FEATURES, "structural_prior_score"]
+    fast = labels.attach_prior(
+        rows, cut_lineage(slow), "entity_id", "as_of_date", score_date="as_of_date", score="raw_score"
+    )
+    model = models.fit_model(fast, models.ModelSpec("fast", models.LOGISTIC), features)
+    return model.score(fast).select("entity_id", "as_of_date", "structural_prior_score", "raw_score")
+
+
 @query("isotonic_calibrated")
 def isotonic_calibrated(spark: SparkSession, sf: str) -> DataFrame:
     scores = out_of_fold(spark, sf, models.ModelSpec("logit", models.LOGISTIC))

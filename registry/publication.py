@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from registry import query
 from registry.learning import BACKTEST, training_rows
-from registry.panel import full_panel, panel_sources
+from registry.panel import FULL_PARTS, full_panel
 from registry.standins import conflict, model_predictions, prediction_panel, read, rounded, sql, week_panel
 from tocsin.functions.scoring import alert_band, freshness_by_days, freshness_by_hours, target_family
 from tocsin.operators import quality
 from tocsin.operators.entity_windows import latest_and_previous, latest_per_key
-from tocsin.plans import alerts, backtest, metrics, panel, publish
+from tocsin.plans import alerts, backtest, metrics, publish, serving
+from tocsin.plans.contracts import CONTRACTS, checked
 from tocsin.streaming.ingest import ingest_daily_counts
 
 TARGET = "label_onset_30d"
@@ -325,20 +326,29 @@ def dense_panel_check(spark: SparkSession, sf: str) -> DataFrame:
     return quality.dense_panel_check(week_panel(spark, sf), "entity_id", "week_start_date")
 
 
-@query("contract_check")
+@query(
+    "contract_check",
+    sql("""
+    SELECT 'country_week_features' AS table_name, count(*) AS row_count FROM base
+    UNION ALL SELECT 'entity_day_features', count(*) * 7 FROM base
+    UNION ALL SELECT 'entity_day_labels', count(*) * 21 FROM base
+    UNION ALL SELECT 'report_inputs', count(DISTINCT entity_id) FROM base
+    UNION ALL SELECT 'social_inputs', count(DISTINCT entity_id) FROM base""", **FULL_PARTS),
+)
 def contract_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Row counts of the tables whose schemas meet their contracts; a missing column stops the query."""
-    gold = quality.require_columns(full_panel(spark, sf), panel.PANEL_COLUMNS, "panel")
-    predictions = quality.require_columns(published_predictions(spark, sf), publish.PREDICTION_COLUMNS, "predictions")
-    sources = panel_sources(spark, sf)
-    events = quality.require_columns(sources.conflict_events, ["country_iso3", "event_date", "event_type_slug"], "events")
-    return quality.profile_tables(
-        {
-            "panel": (gold, ["country_iso3", "week_start_date"]),
-            "predictions": (predictions, ["country_iso3", "forecast_date"]),
-            "events": (events, ["country_iso3", "event_date"]),
-        }
+    """Row counts of the serving tables that meet their contracts; a missing column stops the query."""
+    gold = full_panel(spark, sf)
+    tables = {
+        "country_week_features": gold,
+        "entity_day_features": serving.entity_day_features(gold),
+        "entity_day_labels": serving.entity_day_labels(gold),
+        "report_inputs": serving.report_inputs(gold),
+        "social_inputs": serving.social_inputs(gold),
+    }
+    profiles = quality.profile_tables(
+        {name: (checked(frame, name), CONTRACTS[name].keys) for name, frame in tables.items()}
     )
+    return profiles.select("table_name", "row_count")
 
 
 @query(

@@ -167,6 +167,20 @@ def test_days_and_horizons(gold):
     assert labeled.where("horizon_days = 30 and label_onset_30d is not null").count() > 0
 
 
+def test_serving_tables_meet_their_contracts(gold):
+    from tocsin.plans.contracts import checked
+
+    checked(gold, "country_week_features", unique=True)
+    checked(serving.entity_day_features(gold), "entity_day_features", unique=True)
+    checked(serving.entity_day_labels(gold), "entity_day_labels", unique=True)
+    checked(serving.report_inputs(gold), "report_inputs", unique=True)
+    checked(serving.social_inputs(gold), "social_inputs", unique=True)
+    with pytest.raises(ValueError, match="missing columns macro_cpi_yoy"):
+        checked(gold.drop("macro_cpi_yoy"), "country_week_features")
+    with pytest.raises(ValueError, match="not unique"):
+        checked(gold.unionByName(gold), "country_week_features", unique=True)
+
+
 def test_live_signals_keep_the_unknown_country(spark):
     events = spark.createDataFrame(
         [("1", "A", day("2024-01-10"), 1.0, 1.0), ("2", None, day("2024-01-10"), 3.0, 1.0), ("3", "B", day("2024-01-05"), 2.0, 1.0)],
