@@ -364,6 +364,6 @@ def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
     # The watermark needs an instant; the files hold local times, which the session zone (UTC) reads unchanged.
     return ingest_daily_counts(
-        spark, sf, schema, "user_id", "ts", glob="events.parquet",
+        spark, sf, schema, "user_id", "ts", glob="events.parquet", state_partitions=8,
         whole_value=F.sum(F.floor("value")).cast("double"),
     )

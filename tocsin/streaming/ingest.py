@@ -62,14 +62,23 @@ def current_rows(spark: SparkSession, table: str, keys: list[str], schema: T.Str
 
 def ingest_daily_counts(
     spark: SparkSession, folder: str, schema: T.StructType, entity: str, ts: str, *, glob: str | None = None,
-    lateness: str = "40 days", base: str | None = None, **aggregates: Column,
+    lateness: str = "40 days", base: str | None = None, state_partitions: int | None = None, **aggregates: Column,
 ) -> DataFrame:
     """Process all files at hand and return the daily counts so far.
 
     ``base`` keeps table and checkpoint between runs; without it a fresh folder of the shared scratch area is used.
+    ``state_partitions`` fixes the number of state partitions at the first run (default: the shuffle partitions of
+    the session); it stays the same for the life of the checkpoint.
     """
     home = base or f"{scratch_dir(spark)}/daily-counts-{uuid.uuid4().hex}"
     counts = daily_counts(file_stream(spark, folder, schema, glob=glob), entity, ts, lateness, **aggregates)
-    query = write_updates(counts, f"{home}/table", f"{home}/checkpoint")
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    try:
+        if state_partitions is not None:
+            spark.conf.set(setting, str(state_partitions))
+        query = write_updates(counts, f"{home}/table", f"{home}/checkpoint")  # the stream takes the setting at its start
+    finally:
+        spark.conf.set(setting, before)
     query.awaitTermination()
     return current_rows(spark, f"{home}/table", [entity, "event_date"], counts.schema)
