@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tocsin.llm import exact_dedup, mixing
+from tocsin.llm import exact_dedup, mixing, sentence_pieces
 from tocsin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(fn=None, *, sql: str | None = None):
     return register(fn) if fn else register
 
 
+@query
+def op1_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded with merge-dropout and decoded again."""
+    return sentence_pieces.round_trip(table(spark, folder, "documents"))
+
+
 @query(sql=exact_dedup.SQL)
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document judged against a new, empty index."""
