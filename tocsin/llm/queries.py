@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tocsin.llm import exact_dedup, mixing, sentence_pieces
+from tocsin.llm import exact_dedup, mixing, quality_neighbours, quality_rules, sentence_pieces
 from tocsin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op1_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_pieces.round_trip(table(spark, folder, "documents"))
 
 
+@query
+def op4_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document scored by its labelled neighbours."""
+    return quality_neighbours.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query(sql=exact_dedup.SQL)
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document judged against a new, empty index."""
@@ -37,6 +43,12 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, folder, "documents"), index)
 
 
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document judged by base counts and the n-gram regression."""
+    return quality_rules.apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query(sql=mixing.SQL)
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed to the contract's weights."""
