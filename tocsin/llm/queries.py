@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tocsin.llm import exact_dedup, mixing, quality_neighbours, quality_rules, sentence_pieces
+from tocsin.llm import exact_dedup, mixing, quality_neighbours, quality_rules, sentence_pieces, url_reputation
 from tocsin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,14 @@ def op1_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_pieces.round_trip(table(spark, folder, "documents"))
 
 
+@query(sql=url_reputation.SQL)
+def op3_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's url judged; a page is bad when the label of the same number has quality 0."""
+    labels = table(spark, folder, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return url_reputation.judge(table(spark, folder, "pages"), outcomes)
+
+
 @query
 def op4_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """Every document scored by its labelled neighbours."""
