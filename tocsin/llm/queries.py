@@ -8,7 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import exact_dedup, mixing, quality_neighbours, quality_rules, sentence_pieces, url_reputation
+from tocsin.llm import (
+    exact_dedup,
+    jaccard_join,
+    mixing,
+    quality_neighbours,
+    quality_rules,
+    sentence_pieces,
+    url_reputation,
+)
 from tocsin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +70,9 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed to the contract's weights."""
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@query(sql=jaccard_join.SQL)
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the component of its near duplicates."""
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"))
