@@ -12,6 +12,7 @@ from tocsin.llm import (
     exact_dedup,
     jaccard_join,
     mixing,
+    page_text,
     quality_neighbours,
     quality_rules,
     sentence_pieces,
@@ -76,3 +77,9 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the component of its near duplicates."""
     return jaccard_join.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return page_text.main_text(table(spark, folder, "pages"))
