@@ -13,6 +13,7 @@ from tocsin.llm import (
     jaccard_join,
     mixing,
     page_text,
+    personal_data,
     quality_neighbours,
     quality_rules,
     sentence_pieces,
@@ -79,6 +80,12 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """All spans of personal data of every document."""
+    return personal_data.find(table(spark, folder, "documents"))
+
+
 @query
 def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
