@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tocsin.llm import (
     exact_dedup,
     jaccard_join,
+    license_scan,
     mixing,
     page_text,
     personal_data,
@@ -41,6 +42,18 @@ def op1_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_pieces.round_trip(table(spark, folder, "documents"))
 
 
+@query
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document scanned for licenses. The table has no paths: a document is a file in a folder of a thousand ids,
+    under its language and source."""
+    docs = table(spark, folder, "documents")
+    number = F.col("doc_id").cast("string")
+    block = F.floor(F.col("doc_id") / 1000).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), block, number)
+    found = license_scan.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
+    return found.withColumnRenamed("file_id", "doc_id")
+
+
 @query(sql=url_reputation.SQL)
 def op3_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's url judged; a page is bad when the label of the same number has quality 0."""
