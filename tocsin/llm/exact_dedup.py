@@ -97,12 +97,14 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def keep_first_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows repeated with the same id, one."""
-    kept = deduplicate(docs, index).where("kept").groupBy(F.col("doc_id").alias("__id")).count()
-    once = kept.where("count = 1").select("__id")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    again = docs.join(kept.where("count > 1").select("__id"), same, "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(once, same, "left_semi").unionByName(again)
+    """The rows of docs that stay, with all their columns; of rows repeated with the same id and text, one."""
+    kept = deduplicate(docs, index).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of"))
+    kept = kept.agg(F.count("*").alias("__n"))
+    named = docs.withColumn("__text", F.sha2(F.regexp_replace(text_or_empty(), f"{WHITE}+", ""), 256))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__of"))
+    once = named.join(kept.where("__n = 1"), same, "left_semi")
+    again = named.join(kept.where("__n > 1"), same, "left_semi").dropDuplicates(["__text"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 #: DuckDB SQL for deduplicate() against an empty index.

@@ -198,7 +198,7 @@ def notices(files: DataFrame, templates: Templates) -> DataFrame:
 
 
 def _directory(path: Column) -> Column:
-    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), "")
 
 
 def inherit(scanned: DataFrame) -> DataFrame:
