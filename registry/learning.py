@@ -232,7 +232,7 @@ def standardize_predictions(spark: SparkSession, sf: str) -> DataFrame:
 # --- trained models: learned values, so rows are checked without SQL ------------------------------------------
 
 FEATURES = ("n7", "n28", "second_probability")
-SPLIT = {"min_train": 156, "validation": 52, "step": 52, "max_splits": 2}
+SPLIT = {"min_train": 156, "validation": 52, "step": 52, "max_splits": None}
 
 
 @functools.cache
@@ -263,12 +263,12 @@ def elastic_net_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("forest_scores")
 def forest_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return out_of_fold(spark, sf, models.ModelSpec("forest", models.FOREST, {"numTrees": 20, "maxDepth": 5}))
+    return out_of_fold(spark, sf, models.ModelSpec("forest", models.FOREST))
 
 
 @query("gbt_scores")
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return out_of_fold(spark, sf, models.ModelSpec("boosted", models.BOOSTED, {"maxIter": 10}))
+    return out_of_fold(spark, sf, models.ModelSpec("boosted", models.BOOSTED))
 
 
 @query("structural_prior_scores")
@@ -301,7 +301,7 @@ def fitted_members(spark: SparkSession, sf: str) -> list[tuple[models.FittedMode
     counts = models.class_counts(rows)
     logit = models.fit_model(rows, models.ModelSpec("logit", models.LOGISTIC), FEATURES, counts=counts)
     forest = models.fit_model(
-        rows, models.ModelSpec("forest", models.FOREST, {"numTrees": 10, "maxDepth": 4}), FEATURES, counts=counts
+        rows, models.ModelSpec("forest", models.FOREST), FEATURES, counts=counts
     )
     return [(logit, 2.0), (forest, 1.0)]
 

@@ -97,7 +97,7 @@ def panel_distinct_actors(spark: SparkSession, sf: str) -> DataFrame:
     "range_distinct_28d",
     sql("""
     SELECT entity_id, week_start_date, count(DISTINCT actor1_name) AS actors
-    FROM panel JOIN conf ON conf.country_iso3 = entity_id
+    FROM panel LEFT JOIN conf ON conf.country_iso3 = entity_id
          AND event_date BETWEEN week_start_date - 27 AND week_start_date
     GROUP BY 1, 2"""),
 )
@@ -105,14 +105,14 @@ def range_distinct_28d(spark: SparkSession, sf: str) -> DataFrame:
     counted = grid.range_distinct(
         conflict(spark, sf), "country_iso3", "event_date", "actor1_name", grid.TRAILING_28D, "actors"
     )
-    return week_panel(spark, sf).select(*KEYS).join(counted, KEYS)
+    return week_panel(spark, sf).select(*KEYS).join(counted, KEYS, "left").fillna(0, ["actors"])
 
 
 @query(
     "fan_out_30d",
     sql("""
-    SELECT entity_id, week_start_date, count(*) AS events_next_30d
-    FROM panel JOIN conf ON conf.country_iso3 = entity_id
+    SELECT entity_id, week_start_date, count(country_iso3) AS events_next_30d
+    FROM panel LEFT JOIN conf ON conf.country_iso3 = entity_id
          AND event_date BETWEEN week_start_date + 1 AND week_start_date + 30
     GROUP BY 1, 2"""),
 )
@@ -121,7 +121,7 @@ def fan_out_30d(spark: SparkSession, sf: str) -> DataFrame:
         F.count("*").alias("rows")
     )
     fanned = grid.fan_out(daily, "event_date", grid.FUTURE_30D).groupBy(*KEYS).agg(F.sum("rows").alias("events_next_30d"))
-    return week_panel(spark, sf).select(*KEYS).join(fanned, KEYS)
+    return week_panel(spark, sf).select(*KEYS).join(fanned, KEYS, "left").fillna(0, ["events_next_30d"])
 
 
 @query(

@@ -66,5 +66,26 @@ def test_top_rows_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(alerts.date_leaders(predictions, 10))
 
 
-def test_documents_are_never_shuffled(spark):
-    assert "Exchange" not in plan(QUERIES["normalize_news_documents"](spark, FOLDER))
+def test_documents_meet_aliases_in_a_join(spark):
+    """No alias table in the plan as a constant, and no job while the plan is made."""
+    text = plan(QUERIES["normalize_news_documents"](spark, FOLDER))
+    assert "from_json" not in text and "Join" in text
+
+
+def test_growing_frames(spark):
+    """One entity with many dates: frames that end at the last row would take minutes."""
+    import time
+
+    from tocsin.operators import grid
+
+    rows = spark.range(50_000).select(
+        F.lit("E").alias("entity_id"), F.expr("date_add(DATE '1900-01-01', CAST(id AS INT))").alias("forecast_date"),
+        (F.col("id") % 997 / 997.0).alias("calibrated_probability"), (F.col("id") % 5000 == 0).cast("int").alias("label"),
+    )
+    started = time.perf_counter()
+    assert alerts.alert_table(rows, 0.9, 3).count() == 50_000
+    assert alerts.threshold_sweep(rows, 3).count() == 997
+    panel = rows.select("entity_id", grid.week_start("forecast_date").alias("week_start_date")).distinct()
+    calendar = rows.where("label = 1").select("entity_id", F.col("forecast_date").alias("d"))
+    assert grid.nearest_dates(panel, calendar, "entity_id", "d").count() == panel.count()
+    assert time.perf_counter() - started < 90

@@ -201,3 +201,15 @@ def test_contract_and_profile(spark):
         require_columns(df, ["k", "w"], "table")
     row = profile_tables({"t": (df, ["k", "v", "z"])}).first()
     assert tuple(row) == ("t", 2, 2, "k=1;v=1")
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.csv").write_text(f'c,a,x\n{k},"one ""{k}""",9\n')
+    read = readers.read_csv(spark, str(tmp_path), ["a", "b", "c"], optional=["b"])
+    assert sorted(tuple(r) for r in read.collect()) == [('one "0"', None, "0"), ('one "1"', None, "1")]
+    with pytest.raises(ValueError, match="b"):
+        readers.read_csv(spark, str(tmp_path), ["a", "b", "c"])
+    (tmp_path / "2.csv").write_text("a,c,x\n1,2,3\n")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        readers.read_csv(spark, str(tmp_path), ["a", "c"]).collect()

@@ -136,11 +136,9 @@ def sum_cells(
     )
 
 
-def _frame(first: int | None, last: int | None, partition: Sequence[str]) -> WindowSpec:
+def _frame(first: int | None, last: int, partition: Sequence[str]) -> WindowSpec:
     spec = Window.partitionBy(*partition).orderBy(WEEK_NO)
-    return spec.rangeBetween(
-        Window.unboundedPreceding if first is None else first, Window.unboundedFollowing if last is None else last
-    )
+    return spec.rangeBetween(Window.unboundedPreceding if first is None else first, last)
 
 
 def range_sum(measure: RangeSum, prefix: str, partition: Sequence[str] = (ENTITY,)) -> Column:
@@ -207,8 +205,9 @@ def last_date(prefix: str) -> Column:
 
 
 def next_date(prefix: str) -> Column:
-    """Oldest date at or after the row's Monday."""
-    return F.min(f"{prefix}_next").over(_frame(0, None, (ENTITY,)))
+    """Oldest date at or after the row's Monday: a growing frame from the newest week down."""
+    downwards = Window.partitionBy(ENTITY).orderBy(F.col(WEEK_NO).desc())
+    return F.min(f"{prefix}_next").over(downwards.rangeBetween(Window.unboundedPreceding, 0))
 
 
 def latest_row_asof(rows: DataFrame, entity: str | None, day: str, cutoff: Column) -> DataFrame:

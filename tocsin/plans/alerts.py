@@ -18,8 +18,9 @@ def _day(column: str = DATE) -> Column:
 
 
 def _from_now(entity: str = ENTITY):
-    """Rows of the entity dated on or after the current row."""
-    return Window.partitionBy(entity).orderBy("_day").rangeBetween(0, Window.unboundedFollowing)
+    """Rows of the entity dated on or after the current row: a growing frame from the newest day down, so each row is
+    added once (a frame that ends at the last row is summed anew for every row)."""
+    return Window.partitionBy(entity).orderBy(F.col("_day").desc()).rangeBetween(Window.unboundedPreceding, 0)
 
 
 def _until_now(entity: str = ENTITY):

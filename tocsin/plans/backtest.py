@@ -97,7 +97,7 @@ def run_backtest(training: DataFrame, spec: BacktestSpec) -> BacktestResult:
     """
     rows = cut_lineage(training)
     predictions = cut_lineage(backtest_predictions(rows, spec))
-    produced = [row[0] for row in predictions.select("model_name").distinct().collect()]
+    produced = [model.name for model in spec.models]
     if spec.primary_model not in produced:
         raise ValueError(f"Primary model {spec.primary_model} was not produced; available: {sorted(produced)}")
     baseline = choose_baseline(produced, spec.baseline_model)
@@ -105,7 +105,7 @@ def run_backtest(training: DataFrame, spec: BacktestSpec) -> BacktestResult:
         predictions, "calibrated_probability", threshold=spec.threshold, groups=["model_name"]
     )
     primary = predictions.where(F.col("model_name") == spec.primary_model)
-    gap = spec.gap_days or spec.horizon
+    gap = spec.horizon if spec.gap_days is None else spec.gap_days
     threshold = operating_threshold(primary, gap)
     limit = threshold.select("alert_threshold").scalar()
     alerts = alert_table(primary, limit, gap)

@@ -69,7 +69,7 @@ def _estimator(spec: ModelSpec, rows: int, seed: int):
         settings = {**defaults, "regParam": 1.0 / (inverse_penalty * max(rows, 1)), "standardization": False, **params}
         return LogisticRegression(**common, **settings)
     if spec.kind == FOREST:
-        return RandomForestClassifier(**common, seed=seed, **{"numTrees": 100, "maxDepth": 10, **params})
+        return RandomForestClassifier(**common, seed=seed, **{"numTrees": 100, "maxDepth": 30, **params})
     if spec.kind == BOOSTED:
         defaults = {"maxIter": 80, "stepSize": 0.05, "maxDepth": 4}
         return GBTClassifier(featuresCol=FEATURES, labelCol="label", seed=seed, **{**defaults, **params})

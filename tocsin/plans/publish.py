@@ -41,7 +41,7 @@ def ranked_snapshot(
     region = F.col("region_name") if "region_name" in predictions.columns else F.lit(None).cast("string")
     slim = predictions.select(
         "country_iso3", "country_name", region.alias("region_name"), "forecast_date", "calibrated_probability",
-        secondary.alias("_secondary"),
+        secondary.alias("_secondary"), *[name for name in ("snapshot_ts_utc",) if name in predictions.columns],
     )
     # One row per country, written once: ranking reads it several times, the predictions only here.
     newest = cut_lineage(latest_and_previous(slim, "country_iso3", "forecast_date", ["calibrated_probability"]))
@@ -51,7 +51,7 @@ def ranked_snapshot(
         F.coalesce("country_iso3", F.lit("")).asc(),
     ]
     score = F.col("calibrated_probability")
-    taken = snapshot_time(predictions) if "snapshot_ts_utc" in predictions.columns else snapshot_time(newest)
+    taken = snapshot_time(newest)
     reference = taken if published_at is None else published_at
     return ranked(newest, "calibrated_probability", order).select(
         "rank",
@@ -144,6 +144,15 @@ def conflict_countries(raw: Column) -> Column:
     return F.coalesce(F.filter(built, lambda c: c["country_name"].isNotNull()), F.array().cast(COUNTRY))
 
 
+def newest_report(reports: DataFrame) -> DataFrame:
+    """One report per country: the newest, and of equal or undated ones the largest slug."""
+    if "report_date" in reports.columns:
+        reports = latest_per_key(reports, "country_iso3", "report_date")
+    others = [column for column in reports.columns if column != "country_iso3"]
+    best = F.max_by(F.struct(*others), F.coalesce("report_slug", F.lit(""))).alias("_report")
+    return reports.groupBy("country_iso3").agg(best).select("country_iso3", "_report.*")
+
+
 def predicted_conflict(snapshot: DataFrame, reports: DataFrame, target_name: str, horizon: int) -> DataFrame:
     """One row: countries of the lead conflict. Explicit list of the lead's report, else names its text mentions,
     else the lead itself.
@@ -151,9 +160,8 @@ def predicted_conflict(snapshot: DataFrame, reports: DataFrame, target_name: str
     lead = snapshot.where(F.col("rank") == 1).select(
         F.col("iso3").alias("country_iso3"), F.col("country_name").alias("lead_name")
     )
-    report = latest_per_key(reports, "country_iso3", "report_date") if "report_date" in reports.columns else reports
     row = lead.join(
-        report.select(
+        newest_report(reports).select(
             "country_iso3",
             F.lit(True).alias("_has_report"),
             F.nullif(F.trim("predicted_conflict_label"), F.lit("")).alias("_label"),
@@ -213,10 +221,12 @@ def country_detail(snapshot: DataFrame, predictions: DataFrame, reports: DataFra
         F.col("country_iso3").alias("iso3"), "model_name", "model_version", "target_name", "horizon_days",
         drivers.alias("_model_drivers"), optional(newest, "feature_snapshot_hash").alias("_model_hash"),
     )
-    reported = reports.select(
+    reported = newest_report(reports).select(
         F.col("country_iso3").alias("iso3"), "report_slug", "summary",
         driver_labels("chronology").alias("chronology"),
-        driver_labels(F.coalesce(optional(reports, "top_drivers_json"), optional(reports, "top_drivers"))).alias(
+        driver_labels(
+            F.coalesce(F.nullif(optional(reports, "top_drivers_json"), F.lit("")), optional(reports, "top_drivers"))
+        ).alias(
             "_report_drivers"
         ),
         optional(reports, "source_snapshot_hash").alias("_report_hash"),

@@ -6,7 +6,6 @@ The dimension is an input with ``iso3``, ``name`` and, if known, ``iso2``, ``off
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -68,8 +67,6 @@ REGIONS = {
     "UKR": "Europe",
 }
 
-MAX_ALIASES = 5_000  # upper bound of the alias table that may be attached to every task
-
 
 def literal_lookup(table: dict[str, str | None], key: Column) -> Column:
     """Lookup in a small fixed table."""
@@ -108,18 +105,6 @@ def resolve_country(df: DataFrame, name_column: str, dimension: DataFrame, out:
     return df.withColumn("_alias", lookup_key(name_column)).join(aliases, "_alias", "left").drop("_alias")
 
 
-def alias_map(dimension: DataFrame) -> Column:
-    """All aliases as one constant map, for lookups inside arrays without a shuffle of the array rows.
-
-    The map is part of every task, so its size is checked: with more than ``MAX_ALIASES`` entries (a dimension that
-    holds more than countries) this is an error, and names have to go through :func:`resolve_country`.
-    """
-    aliases = alias_table(dimension).limit(MAX_ALIASES + 1).collect()
-    if len(aliases) > MAX_ALIASES:
-        raise ValueError("The alias table is too large to be part of every task; use resolve_country.")
-    return F.from_json(F.lit(json.dumps({row["alias"]: row["iso3"] for row in aliases})), "map<string,string>")
-
-
 def is_country_code(code: Column | str) -> Column:
     """Three capital letters."""
     code = F.col(code) if isinstance(code, str) else code

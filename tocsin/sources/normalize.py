@@ -21,7 +21,7 @@ from tocsin.functions.text import (
     to_whole,
     upper_key,
 )
-from tocsin.sources.countries import alias_map, lookup_key, resolve_country
+from tocsin.sources.countries import alias_table, lookup_key, resolve_country
 from tocsin.sources.schemas import GOVERNANCE_COMPONENTS, HUMANITARIAN_COUNTS, INDICATOR_COLUMNS
 
 # Codes of the violence classes.
@@ -63,34 +63,38 @@ def news_events(raw: DataFrame, dimension: DataFrame) -> DataFrame:
     )
 
 
-def news_documents(raw: DataFrame, dimension: DataFrame) -> DataFrame:
-    """News documents, one row per distinct country named in a document, or one row without country.
+def document_places(raw: DataFrame, dimension: DataFrame) -> DataFrame:
+    """(places, countries): the countries of every distinct list of places, in its order.
 
-    The country lookup happens inside the location array, so a document never leaves its task until it is
-    exploded; nothing is shuffled however large the texts are.
+    A list of places is resolved once, however many documents have it. The names meet the aliases in a plain join,
+    whose work does not grow with the number of aliases, and come back to their list by its digest.
     """
-    prepared = raw.select(
-        "gkg_record_id", "document_identifier", "date", "source_common_name", "themes", "v2_themes", "v2_tone",
-        parse_locations("v2_locations").alias("locations"),
+    listed = raw.where(F.col("v2_locations").isNotNull()).select("v2_locations").distinct()
+    places = listed.select(
+        F.sha2("v2_locations", 256).alias("places"), F.posexplode(parse_locations("v2_locations")).alias("position", "place")
     )
-    aliases = alias_map(dimension)
-    whole_name = F.transform(
-        "locations",
-        lambda place: F.element_at(
-            aliases,
-            lookup_key(
-                F.when(place["geo_type"] == "1", place["location_name"]).otherwise(last_segment(place["location_name"]))
-            ),
-        ),
-    )
-    tail_name = F.transform(
-        "locations", lambda place: F.element_at(aliases, lookup_key(last_segment(place["location_name"])))
+    tail = lookup_key(last_segment("place.location_name"))
+    whole = F.when(F.col("place.geo_type") == "1", lookup_key("place.location_name")).otherwise(tail)
+    choices = F.array(F.struct(F.lit(1).alias("choice"), whole.alias("alias")), F.struct(F.lit(2).alias("choice"), tail.alias("alias")))
+    named = places.select("places", "position", F.inline(choices)).where(F.col("alias").isNotNull())
+    found = named.join(alias_table(dimension), "alias").groupBy("places").agg(
+        *[
+            F.array_sort(F.collect_list(F.when(F.col("choice") == n, F.struct("position", "iso3")))).alias(f"_{n}")
+            for n in (1, 2)
+        ]
     )
-    first_choice, second_choice = distinct_in_order(whole_name), distinct_in_order(tail_name)
+    best = F.when(F.size("_1") > 0, F.col("_1")).otherwise(F.col("_2"))
+    return found.select("places", distinct_in_order(F.transform(best, lambda x: x["iso3"])).alias("countries"))
+
+
+def news_documents(raw: DataFrame, dimension: DataFrame) -> DataFrame:
+    """News documents, one row per distinct country named in a document, or one row without country."""
+    prepared = raw.select(
+        "gkg_record_id", "document_identifier", "date", "source_common_name", "themes", "v2_themes", "v2_tone",
+        F.sha2("v2_locations", 256).alias("places"),
+    ).join(document_places(raw, dimension), "places", "left")
     published = parse_instant("date", NEWS_INSTANT)
-    return prepared.withColumn(
-        "countries", F.when(F.size(first_choice) > 0, first_choice).otherwise(second_choice)
-    ).select(
+    return prepared.select(
         "gkg_record_id",
         "document_identifier",
         published.cast("date").alias("document_date"),

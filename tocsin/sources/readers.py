@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tocsin.sources import schemas
 
 
-def read_csv(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
-    """Headed CSV snapshot read as text columns; the header is matched by position with ``columns``."""
-    return spark.read.schema(schemas.all_text(columns)).csv(
-        path, header=True, escape='"', multiLine=False, enforceSchema=True
+def _by_header(
+    spark: SparkSession, path: str | list[str], columns: Sequence[str], optional: Sequence[str], quoted: bool
+) -> DataFrame:
+    """Text columns by name. The header is read once; a file with another header than the first stops the job."""
+    raw = spark.read.csv(path, header=True, escape='"', multiLine=quoted, enforceSchema=False, inferSchema=False)
+    at = {name.strip().lstrip("\ufeff").lower(): name for name in raw.columns}
+    missing = [name for name in columns if name.lower() not in at and name not in optional]
+    if missing:
+        raise ValueError(f"The file has no column {', '.join(missing)}.")
+    return raw.select(
+        *[
+            F.col(f"`{at[name.lower()]}`").alias(name) if name.lower() in at else F.lit(None).cast("string").alias(name)
+            for name in columns
+        ]
     )
 
 
-def read_quoted_csv(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | list[str], columns: Sequence[str], optional: Sequence[str] = ()
+) -> DataFrame:
+    """Headed CSV snapshot read as text columns by name, in any order. Columns named in ``optional`` may be absent
+    and are null then."""
+    return _by_header(spark, path, columns, optional, quoted=False)
+
+
+def read_quoted_csv(
+    spark: SparkSession, path: str | list[str], columns: Sequence[str], optional: Sequence[str] = ()
+) -> DataFrame:
     """As :func:`read_csv` for files whose quoted fields may hold line breaks.
 
     Such files cannot be split, so land them as many files of moderate size.
     """
-    return spark.read.schema(schemas.all_text(columns)).csv(
-        path, header=True, escape='"', multiLine=True, enforceSchema=True
-    )
+    return _by_header(spark, path, columns, optional, quoted=True)
 
 
 def _tab_separated(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
@@ -45,13 +65,14 @@ def read_conflict_events(spark: SparkSession, path: str | list[str]) -> DataFram
 
 def read_onsets(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Onset truth CSV; its conflict-id column varies by file, position does not."""
-    return read_csv(spark, path, schemas.ONSET_COLUMNS)
+    return spark.read.schema(schemas.ONSETS).csv(path, header=True, escape='"', enforceSchema=True)
 
 
 def read_json_items(
     spark: SparkSession, path: str | list[str], schema: T.StructType = schemas.HUMANITARIAN_PAGE
 ) -> DataFrame:
-    """JSON documents with an ``items`` list, one row per item. One document per file, many files."""
+    """JSON documents with an ``items`` list, one row per item. One document per file, which is not split: many files
+    of moderate size."""
     return spark.read.schema(schema).json(path, multiLine=True).select(F.inline("items"))
 
 
@@ -63,7 +84,7 @@ def read_json_pair(
 ) -> DataFrame:
     """JSON documents ``[metadata, rows]``: the rows, with the metadata struct beside each.
 
-    A document of another shape stops the job.
+    A document of another shape stops the job. A file is not split: many files of moderate size.
     """
     document = spark.read.text(path, wholetext=True).select("value")
     parts = document.withColumn("parts", F.from_json("value", "array<string>"))
