@@ -423,7 +423,7 @@ def panel_sources(spark: SparkSession, sf: str) -> plans.PanelSources:
 def full_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The whole panel over the stand-in sources."""
     return plans.country_week_features(
-        spark, panel_sources(spark, sf), SNAPSHOT, start="1996-01-01", write_cells=True
+        spark, panel_sources(spark, sf), SNAPSHOT, write_cells=True
     )
 
 
@@ -437,7 +437,12 @@ BASE = f"""
     SELECT country_iso3 AS entity_id, country_name,
            CASE WHEN country_iso3 IN (SELECT country_iso3 FROM viol) THEN region_name END AS region_name,
            CAST(w AS DATE) AS week_start_date
-    FROM nat CROSS JOIN (SELECT unnest(generate_series(DATE '1996-01-01',
+    FROM nat CROSS JOIN (SELECT unnest(generate_series(
+        (SELECT CAST(date_trunc('week', min(d)) AS DATE) FROM (
+           SELECT min(event_date) AS d FROM newsev UNION ALL SELECT min(document_date) FROM arts
+           UNION ALL SELECT min(event_date) FROM conf UNION ALL SELECT min(d) FROM viol_day
+           UNION ALL SELECT min(election_date) FROM cal UNION ALL SELECT min(observation_date) FROM trade
+           UNION ALL SELECT make_date(min(year), 1, 1) FROM macro)),
         CAST(date_trunc('week', DATE '{SNAPSHOT_DAY}') AS DATE), INTERVAL 7 DAY)) AS w)"""
 NEWS_DAY = """
     SELECT country_id AS country_iso3, event_date AS d, count(*) AS n, sum(goldstein_scale) AS g, sum(avg_tone) AS t,

@@ -108,7 +108,7 @@ SCORED = """
                 THEN round_even(least(label_escalation_30d * 0.1::DOUBLE + label_escalation_7d * 0.1::DOUBLE + label_onset_30d * 0.05::DOUBLE
                            + least(acled_event_count_28d, 10) / 50.0 + least(gdelt_event_count_7d, 20) / 200.0
                            + least(food_price_index, 200.0::DOUBLE) / 1000.0, 1.0::DOUBLE), 2) END AS risk_score
-    FROM gold WHERE week_start_date <= DATE '2000-11-06'"""
+    FROM gold"""
 NEWEST = """
     SELECT a.*, b.risk_score AS previous_risk_score,
            CASE WHEN a.risk_score >= 0.6 THEN 'high' WHEN a.risk_score >= 0.3 THEN 'medium'
@@ -126,10 +126,6 @@ DRIVERS = """'["ACLED events (28d): ' || acled_event_count_28d || '", "GDELT eve
     || '", "Food price index: ' || food || '"]'"""
 
 
-def early_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return full_panel(spark, sf).where(F.col("week_start_date") <= F.lit("2000-11-06").cast("date"))
-
-
 @query(
     "report_inputs",
     sql(f"""
@@ -151,7 +147,7 @@ def early_panel(spark: SparkSession, sf: str) -> DataFrame:
     FROM newest""", **SERVED),
 )
 def report_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.report_inputs(early_panel(spark, sf)).select(
+    return serving.report_inputs(full_panel(spark, sf)).select(
         "report_id", "report_slug", "report_title", "country_iso3", "country_name", "region_name", "report_date",
         "forecast_probability", "risk_level", "summary", "predicted_conflict_label", "predicted_conflict_countries",
         "reason_source", "chronology", "top_drivers", "source_snapshot_hash",
@@ -160,10 +156,13 @@ def report_inputs(spark: SparkSession, sf: str) -> DataFrame:
 
 SOCIAL = f"""
     SELECT *, 'post-' || slug AS post_id, CAST(week_start_date + 6 AS DATE) AS publish_date,
-           country_name || CASE WHEN previous_level IS NULL THEN ' enters the ' WHEN previous_level = risk_level
+           CASE WHEN risk_level IS NULL
+                THEN country_name || ' remains on the current monitoring board. Latest signals show ' || c28
+                     || ' over 28 days and ' || n7 || ' over 7 days.'
+                ELSE country_name || CASE WHEN previous_level IS NULL THEN ' enters the ' WHEN previous_level = risk_level
                                 THEN ' remains in the ' ELSE ' moved into the ' END
-           || risk_level || ' monitoring band after ' || c28 || ' over 28 days and ' || n7 || ' over 7 days.' AS summary_line,
-           country_name || ' monitoring update: ' || risk_level AS headline,
+           || risk_level || ' monitoring band after ' || c28 || ' over 28 days and ' || n7 || ' over 7 days.' END AS summary_line,
+           country_name || ' monitoring update: ' || coalesce(risk_level, 'signal watch') AS headline,
            {DRIVERS} AS top_drivers,
            'ACLED events (28d): ' || acled_event_count_28d || ', GDELT events (7d): ' || gdelt_event_count_7d
            || ', Food price index: ' || food AS driver_text
@@ -180,7 +179,7 @@ SOCIAL = f"""
     FROM social""", **SERVED, social=SOCIAL),
 )
 def social_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.social_inputs(early_panel(spark, sf)).select(
+    return serving.social_inputs(full_panel(spark, sf)).select(
         "post_id", "country_iso3", "publish_date", "forecast_probability", "score_delta", "summary_line", "top_drivers",
         "report_slug", "headline", "body", "destination_url", "source_snapshot_hash",
     )
@@ -196,7 +195,7 @@ def social_inputs(spark: SparkSession, sf: str) -> DataFrame:
         **SERVED, social=SOCIAL),
 )
 def review_queue(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.review_queue(serving.social_inputs(early_panel(spark, sf))).select(
+    return serving.review_queue(serving.social_inputs(full_panel(spark, sf))).select(
         "post_id", "country_iso3", "publish_date", "review_status", "formatted_post", "character_count"
     )
 
@@ -208,5 +207,5 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     UNION SELECT unnest(['CHN', 'IRN', 'ISR', 'LBN', 'RUS', 'TWN', 'UKR'])""", **SERVED),
 )
 def narrative_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    latest = latest_per_key(early_panel(spark, sf), "country_iso3", "week_start_date")
+    latest = latest_per_key(full_panel(spark, sf), "country_iso3", "week_start_date")
     return serving.narrative_candidates(serving.scored_panel(latest))
