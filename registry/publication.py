@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from registry import query
@@ -13,6 +15,7 @@ from tocsin.operators import quality
 from tocsin.operators.entity_windows import latest_and_previous, latest_per_key
 from tocsin.plans import alerts, backtest, metrics, publish, serving
 from tocsin.plans.contracts import CONTRACTS, checked
+from tocsin.session import scratch_dir
 from tocsin.streaming.ingest import ingest_daily_counts
 
 TARGET = "label_onset_30d"
@@ -362,8 +365,15 @@ def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     schema = T.StructType(
         [T.StructField(f.name, T.TimestampType() if f.name == "ts" else f.dataType) for f in read(spark, sf, "events").schema]
     )
-    # The watermark needs an instant; the files hold local times, which the session zone (UTC) reads unchanged.
-    return ingest_daily_counts(
-        spark, sf, schema, "user_id", "ts", glob="events.parquet", state_partitions=8,
-        whole_value=F.sum(F.floor("value")).cast("double"),
-    )
+    # Windows need an instant; the files hold local times, which the session zone (UTC) reads unchanged.
+    home = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    # Two drops of several files; the second one's days lie among and before those of the first.
+    even_days = F.dayofmonth("ts") % 2 == 0
+    for late in (False, True):
+        events.where(~even_days if late else even_days).write.mode("append").parquet(f"{home}/in")
+        found = ingest_daily_counts(
+            spark, f"{home}/in", schema, "user_id", "ts", base=f"{home}/state", state_partitions=8,
+            whole_value=F.sum(F.floor("value")).cast("double"),
+        )
+    return found

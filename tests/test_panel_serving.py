@@ -253,7 +253,7 @@ def test_driver_labels_of_all_shapes(spark):
 def test_stream_equals_batch_over_two_runs(spark, tmp_path):
     schema = "k string, ts timestamp, v double"
     first = spark.createDataFrame([("a", datetime.datetime(2024, 1, 1, 5), 1.0), ("a", datetime.datetime(2024, 1, 2, 5), 2.0)], schema)
-    second = spark.createDataFrame([("a", datetime.datetime(2024, 1, 1, 9), 4.0), ("b", datetime.datetime(2024, 1, 2, 5), 2.0)], schema)
+    second = spark.createDataFrame([("a", datetime.datetime(2024, 1, 1, 9), 4.0), ("b", datetime.datetime(2024, 1, 2, 5), 2.0), ("a", datetime.datetime(2022, 5, 1), 8.0)], schema)
     folder, base = str(tmp_path / "drop"), str(tmp_path / "state")
     first.coalesce(1).write.mode("append").parquet(folder)
 
@@ -263,4 +263,4 @@ def test_stream_equals_batch_over_two_runs(spark, tmp_path):
 
     assert run() == [("a", day("2024-01-01"), 1, 1.0), ("a", day("2024-01-02"), 1, 2.0)]
     second.coalesce(1).write.mode("append").parquet(folder)
-    assert run() == [("a", day("2024-01-01"), 2, 5.0), ("a", day("2024-01-02"), 1, 2.0), ("b", day("2024-01-02"), 1, 2.0)]
+    assert run() == [("a", day("2022-05-01"), 1, 8.0), ("a", day("2024-01-01"), 2, 5.0), ("a", day("2024-01-02"), 1, 2.0), ("b", day("2024-01-02"), 1, 2.0)]

@@ -21,10 +21,14 @@ def file_stream(
     return reader.load(folder)
 
 
-def daily_counts(events: DataFrame, entity: str, ts: str, lateness: str, **aggregates: Column) -> DataFrame:
-    """Count and further aggregates per entity and day; rows later than ``lateness`` are dropped with their state."""
+def daily_counts(events: DataFrame, entity: str, ts: str, lateness: str | None, **aggregates: Column) -> DataFrame:
+    """Count and further aggregates per entity and day.
+
+    Without ``lateness`` the state keeps every entity and day, and a row of any age reaches its day. With it, rows
+    later than that are dropped with their state, which bounds the state instead.
+    """
     return (
-        events.withWatermark(ts, lateness)
+        (events.withWatermark(ts, lateness) if lateness else events)
         .groupBy(F.col(entity), F.window(ts, "1 day").alias("_window"))
         .agg(F.count("*").alias("event_count"), *[column.alias(name) for name, column in aggregates.items()])
         .select(
@@ -62,7 +66,7 @@ def current_rows(spark: SparkSession, table: str, keys: list[str], schema: T.Str
 
 def ingest_daily_counts(
     spark: SparkSession, folder: str, schema: T.StructType, entity: str, ts: str, *, glob: str | None = None,
-    lateness: str = "40 days", base: str | None = None, state_partitions: int | None = None, **aggregates: Column,
+    lateness: str | None = None, base: str | None = None, state_partitions: int | None = None, **aggregates: Column,
 ) -> DataFrame:
     """Process all files at hand and return the daily counts so far.
 
