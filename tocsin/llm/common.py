@@ -40,3 +40,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Most ids (8 bytes each) that are sent to every executor; beyond it the join shuffles both sides.
+MOST_SENT = 4_000_000
+
+
+def sendable(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for a broadcast if its counted rows are few enough."""
+    return F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+
+
+class Scratch:
+    """Tables of one computation in the shared folder; they go when it has its result."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, scratch_path(spark, "tables")
+        self.number = 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.number += 1
+        path = f"{self.folder}/{self.number}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import written
+from tocsin.llm.common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,17 +22,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges: a, b (long). Returns node, component (its smallest node) for every node but the smallest ones.
 
+    The result is read from scratch tables and ends with them.
+
     Rounds end when the edge table no longer changes; it is written after each, so lineage stays short. A node with a
     large share of all edges is met in sums with map-side partials and in equi-joins that adaptive execution splits.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, seen = written(now, "edges"), None
+    now, seen = scratch.written(now, "edges"), None
     while True:
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == seen or not row[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = tuple(row)
-        now = written(_small_star(_large_star(now)), "edges")
+        now = scratch.written(_small_star(_large_star(now)), "edges")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.llm.batches import chunks, mixed, words
-from tocsin.llm.common import written
+from tocsin.llm.common import Scratch, sendable, written
 from tocsin.llm.connected import components
 
 #: Fixed values of the contract.
@@ -42,7 +42,7 @@ WORDS = 5
 FIRST_SHARE = 0.25
 #: No set beyond this size is ever small: subsets are too many whatever the costs.
 SMALLEST_LARGE = 17
-#: Cost of a posting against that of a subset: it is counted, joined, ranked and met in a longer list.
+#: Cost of a shingle in the lists against that of a subset: it is counted, joined to its count and ranked before.
 POSTING_COST = 4
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -120,6 +120,14 @@ def whole_sets(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id bigint, n bigint, shingles array<bigint>")
 
 
+def rows_of(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """doc_id, text of the survivors. Only ids that are listed more than once need a shuffle to become one row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    once = docs.join(sendable(near.where("count = 1").select("doc_id")), "doc_id", "left_semi")
+    again = docs.join(sendable(near.where("count > 1").select("doc_id")), "doc_id", "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id"]))
+
+
 def _needed(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * 4 / 9)
 
@@ -138,7 +146,8 @@ def survivors(distinct: DataFrame) -> DataFrame:
     """doc_id of the distinct sets that may have a partner.
 
     The order here puts the shingles below the fixed value first, by their number of sets. Shingles beyond it, which
-    only sets with few below it need, keep their set in play, since their numbers are not known.
+    only sets with few below it need, keep their set in play, since their numbers are not known. A set that is listed
+    twice with the same id counts its shingles twice, which keeps it in play too.
     """
     limit = int(FIRST_SHARE * 2**64)
     # Signed values from -2^63: unsigned value below the limit means 0 <= value < limit here, as the share is below half.
@@ -163,8 +172,8 @@ def boundary(sizes: dict[int, int]) -> int:
     saved = {0: 0}
     for b in range(1, SMALLEST_LARGE):
         subsets = sum(k * _subset_count(n, b) for n, k in sizes.items() if n <= b)
-        # Sets near the boundary have large partners too and stay in the lists.
-        postings = sum(k * early(n) for n, k in sizes.items() if 5 * n < 4 * (b + 1))
+        # All shingles of a set are counted. Sets near the boundary have large partners too and stay in the lists.
+        postings = sum(k * n for n, k in sizes.items() if 5 * n < 4 * (b + 1))
         saved[b] = POSTING_COST * postings - subsets
     return max(saved, key=lambda b: (saved[b], -b))
 
@@ -223,7 +232,7 @@ def central_pairs(lists: DataFrame) -> DataFrame:
     return met.select(*_ordered(F.col("x.doc_id"), F.col("y.doc_id"))).distinct()
 
 
-def crossing_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
+def crossing_pairs(lists: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: sets of different components that meet in a list. Only sets outside the list's largest component are
     taken as the first of a pair."""
     rows = lists.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -231,7 +240,7 @@ def crossing_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
     most = parts.groupBy("key").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("parts"))
     most = most.where("parts > 1").select("key", F.col("most.component").alias("main"))
-    rows = written(rows.join(most, "key"), "crossing")
+    rows = scratch.written(rows.join(most, "key"), "crossing")
     outside = rows.where("component <> main")
     other = F.col("x.component") != F.col("y.component")
     # Of two sets outside, the pair is met once.
@@ -256,25 +265,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     words are one shingle. Equal sets are one set throughout and get their smallest id; rows repeated with the same id
     are rows of one document. Texts are read whole. Other columns are not read. An empty table gives no rows.
     """
-    sets = written(first_sets(docs), "first_sets")
-    names = written(
-        sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "names"
-    )
-    reps = names.select(F.col("rep").alias("doc_id"))
-    distinct = sets.where("n > 0").join(reps.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    near = written(survivors(distinct), "survivors")
-    whole = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(near.hint("shuffle_hash"), "doc_id", "left_semi")
-    whole = written(whole_sets(whole.select("doc_id", "text")).dropDuplicates(["doc_id"]), "whole_sets")
+    with Scratch(docs.sparkSession) as scratch:
+        return written(_near_duplicates(docs, scratch), "near_duplicates")
+
+
+def _near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    sets = scratch.written(first_sets(docs), "first_sets")
+    names = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    names = scratch.written(names, "names")
+    reps = sendable(names.select(F.col("rep").alias("doc_id")))
+    near = survivors(sets.where("n > 0").join(reps, "doc_id", "left_semi"))
+    near = scratch.written(near.groupBy("doc_id").count(), "survivors")
+    whole = scratch.written(whole_sets(rows_of(docs, near)), "whole_sets")
     few = whole.where(F.col("n") < SMALLEST_LARGE).groupBy("n").count().collect()  # at most 16 rows
     small = boundary({row["n"]: row["count"] for row in few})
     lists = shingle_lists(whole, small)
     if small:
         lists = lists.unionByName(subset_lists(whole, small))
-    lists = written(lists, "lists")
-    first = written(links(central_pairs(lists), whole), "links")
-    found = components(first)
-    rest = written(links(crossing_pairs(lists, found), whole), "links")
-    found = written(components(first.unionByName(rest)), "components")
+    lists = scratch.written(lists, "lists")
+    first = scratch.written(links(central_pairs(lists), whole), "links")
+    found = components(first, scratch)
+    rest = scratch.written(links(crossing_pairs(lists, found, scratch), whole), "links")
+    found = components(first.unionByName(rest), scratch)
     labels = names.join(found, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
     )
