@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from registry import query
-from registry.standins import model_predictions, prediction_panel, rounded, sql
+from registry.standins import (
+    CUSTOMER_PREDICTIONS, customer_predictions, model_predictions, prediction_panel, rounded, sql,
+)
 from tocsin.plans import alerts, metrics
 
 GAP, THRESHOLD = 30, 0.7
@@ -51,15 +53,21 @@ CURVE = """
            CAST(sum(pos) OVER () AS BIGINT) AS p, CAST(sum(neg) OVER () AS BIGINT) AS n FROM scores"""
 
 
-@query(
-    "pr_auc_roc_auc",
-    sql("""
+CURVE_METRICS = """
     SELECT round(sum(pos * (tp / (tp + fp))) / max(p), 6) AS pr_auc,
            round(sum(pos * (n - fp + neg / 2.0)) / (max(p) * max(n)), 6) AS roc_auc,
            round(sum(greatest(least(p - (tp + fp - pos - neg), pos + neg), 0) * pos / (pos + neg)) / max(p), 6)
            AS top_k_risk_hit_rate
-    FROM curve""", scores=SCORES, curve=CURVE),
-)
+    FROM curve"""
+
+
+@query("customer_curve", sql(CURVE_METRICS, scores=SCORES, curve=CURVE, pred=CUSTOMER_PREDICTIONS))
+def customer_curve(spark: SparkSession, sf: str) -> DataFrame:
+    found = metrics.ranking_curve_metrics(customer_predictions(spark, sf), "calibrated_probability")
+    return found.select(*[rounded(c, 6).alias(c) for c in found.columns])
+
+
+@query("pr_auc_roc_auc", sql(CURVE_METRICS, scores=SCORES, curve=CURVE))
 def pr_auc_roc_auc(spark: SparkSession, sf: str) -> DataFrame:
     found = metrics.ranking_curve_metrics(prediction_panel(spark, sf), "calibrated_probability")
     return found.select(*[rounded(c, 6).alias(c) for c in found.columns])
@@ -201,6 +209,13 @@ def alert_summary(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumns({c: rounded(c, 6) for c in doubles})
 
 
+@query("customer_alerts", sql(SUMMARY, fixed=FIXED, alerted_rows=FIXED_ALERTS, pred=CUSTOMER_PREDICTIONS))
+def customer_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    found = alerts.alert_summary(alerts.alert_table(customer_predictions(spark, sf), THRESHOLD, GAP))
+    doubles = ["episode_recall", "first_alert_lead_days_mean", "false_alerts_per_true_alert"]
+    return found.withColumns({c: rounded(c, 6) for c in doubles})
+
+
 @query(
     "recalled_episodes",
     sql("""SELECT entity_id, forecast_date FROM alerted_rows WHERE is_new_label_episode = 1 AND alerted = 1""",

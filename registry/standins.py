@@ -223,6 +223,18 @@ def prediction_panel(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def customer_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions by customer and week with scores that hardly repeat: rows and scores grow with the orders."""
+    cents = F.max(F.round(F.col("o_totalprice") * 100).cast("long"))
+    return read(spark, sf, "orders").groupBy(
+        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("entity_id"),
+        F.trunc("o_orderdate", "week").alias("forecast_date"),
+    ).agg(
+        (cents % 999_983 / 999_983.0).alias("calibrated_probability"),
+        (F.count_if(F.col("o_orderpriority") == "1-URGENT") > 0).cast("long").alias("label"),
+    )
+
+
 @functools.cache
 def model_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of two models in long form."""
@@ -246,6 +258,12 @@ def daily_users(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+CUSTOMER_PREDICTIONS = """
+    SELECT 'C' || o_custkey AS entity_id, CAST(date_trunc('week', o_orderdate) AS DATE) AS forecast_date,
+           max(CAST(round(o_totalprice * 100) AS BIGINT)) % 999983 / 999983.0::DOUBLE AS calibrated_probability,
+           CAST(count(*) FILTER (o_orderpriority = '1-URGENT') > 0 AS BIGINT) AS label
+    FROM orders GROUP BY 1, 2"""
+
 # --- the same in SQL ----------------------------------------------------------------------------------------
 
 CTES = {
