@@ -264,3 +264,17 @@ def test_stream_equals_batch_over_two_runs(spark, tmp_path):
     assert run() == [("a", day("2024-01-01"), 1, 1.0), ("a", day("2024-01-02"), 1, 2.0)]
     second.coalesce(1).write.mode("append").parquet(folder)
     assert run() == [("a", day("2022-05-01"), 1, 8.0), ("a", day("2024-01-01"), 2, 5.0), ("a", day("2024-01-02"), 1, 2.0), ("b", day("2024-01-02"), 1, 2.0)]
+
+
+def test_json_texts_are_valid(spark):
+    import json
+
+    odd = 'a "b" \\ c\nd\te'
+    row = spark.createDataFrame([(odd,)], "v string").select(
+        scoring.json_text(("k", F.col("v")), ("n", F.lit(None))).alias("object"),
+        scoring.json_array(F.array("v", F.lit("x"))).alias("list"),
+        serving.countries_json(F.array(F.struct(F.lit("X").alias("iso3"), F.col("v").alias("country_name")))).alias("countries"),
+    ).first()
+    assert json.loads(row["object"]) == {"k": odd, "n": None}
+    assert json.loads(row["list"]) == [odd, "x"]
+    assert json.loads(row["countries"]) == [{"iso3": "X", "country_name": odd}]

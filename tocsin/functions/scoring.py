@@ -132,19 +132,27 @@ def summary_text(level: Column | str) -> Column:
     return F.when(level.isNull(), unknown).otherwise(known)
 
 
+def json_quoted(text: Column) -> Column:
+    """A string as JSON text: quotes, backslashes and line breaks escaped."""
+    out = F.regexp_replace(text, r'(["\\\\])', r"\\$1")
+    for sign, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
 def json_text(*fields: tuple[str, Column]) -> Column:
     """Flat JSON object text, keys in the given order, ``", "`` and ``": "`` as separators."""
     parts: list[Column] = []
     for position, (name, value) in enumerate(fields):
         opening = "{" if position == 0 else ", "
-        text = F.coalesce(F.concat(F.lit('"'), value.cast("string"), F.lit('"')), F.lit("null"))
+        text = F.coalesce(json_quoted(value.cast("string")), F.lit("null"))
         parts += [F.lit(f'{opening}"{name}": '), text]
     return F.concat(*parts, F.lit("}"))
 
 
 def json_array(items: Column) -> Column:
     """JSON array text of strings with ``", "`` between items."""
-    quoted = F.transform(items, lambda item: F.concat(F.lit('"'), item, F.lit('"')))
+    quoted = F.transform(items, json_quoted)
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 

@@ -191,7 +191,8 @@ def countries_json(countries: Column) -> Column:
     items = F.transform(
         countries,
         lambda c: F.concat(
-            F.lit('{"iso3": "'), c["iso3"], F.lit('", "country_name": "'), c["country_name"], F.lit('"}')
+            F.lit('{"iso3": '), scoring.json_quoted(c["iso3"]), F.lit(', "country_name": '),
+            scoring.json_quoted(c["country_name"]), F.lit("}"),
         ),
     )
     return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
