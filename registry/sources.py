@@ -164,16 +164,16 @@ def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "normalize_news_documents",
-    sql("""
+DOCUMENTS_SQL = sql("""
     SELECT CAST(doc_id AS VARCHAR) AS gkg_record_id, country_iso3 AS document_country_id, DATE '2024-01-02' AS document_date,
            n_chars % 100 + 0.5::DOUBLE AS tone_score, md5(text) AS digest
     FROM documents LEFT JOIN (
         SELECT DISTINCT doc_id, country_iso3
         FROM (SELECT doc_id, 'NATION_' || (doc_id + unnest([0, 1, 2]) * n_chars) % 30 AS name FROM documents)
-        JOIN nat ON name = country_name) USING (doc_id)"""),
-)
+        JOIN nat ON name = country_name) USING (doc_id)""")
+
+
+@query("normalize_news_documents", DOCUMENTS_SQL)
 def normalize_news_documents(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.news_documents(raw_documents(spark, sf), dictionary(spark, sf)).select(
         "gkg_record_id", "document_country_id", "document_date", "tone_score", F.md5("v2_themes").alias("digest")
@@ -223,27 +223,34 @@ def normalize_violence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "normalize_onsets",
-    sql("""
+ONSETS_SQL = sql("""
     SELECT iso3 AS country_iso3, 'interstate' AS onset_type, year(o_orderdate) AS year, o_orderkey % 3 AS newconf,
            CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_orderkey % 2 END AS onset1, CAST(0 AS BIGINT) AS onset2,
            CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey || ', ' || o_orderkey END AS conflict_ids
-    FROM coded WHERE o_orderkey % 5 <> 2""", coded=CODED),
-)
+    FROM coded WHERE o_orderkey % 5 <> 2""", coded=CODED)
+
+
+@query("normalize_onsets", ONSETS_SQL)
 def normalize_onsets(spark: SparkSession, sf: str) -> DataFrame:
+    return typed_onsets(raw_onsets(spark, sf), spark, sf)
+
+
+def raw_onsets(spark: SparkSession, sf: str) -> DataFrame:
     orders, customer, nation = (read(spark, sf, name) for name in ("orders", "customer", "nation"))
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
         nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
     key = F.col("o_orderkey")
-    raw = joined.select(
+    return joined.select(
         place_of("o_orderkey").alias("name"), _text(F.year("o_orderdate")).alias("year"), _text(key % 3).alias("newconf"),
         F.when(key % 4 == 0, "?").otherwise(_text(key % 2)).alias("onset1"),
         *[F.lit(None).cast("string").alias(f"onset{n}") for n in (2, 3, 5, 10, 20)],
         F.when(key % 6 == 0, " ").otherwise(F.concat_ws(", ", "o_custkey", "o_orderkey")).alias("inter_conflict_ids"),
         F.lit("1999").alias("year_prev"),
     )
+
+
+def typed_onsets(raw: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     return normalize.onsets(raw, dictionary(spark, sf), "interstate", INGESTED).select(
         "country_iso3", "onset_type", "year", "newconf", "onset1", "onset2", "conflict_ids"
     )
@@ -520,6 +527,43 @@ def news_event_files(spark: SparkSession, sf: str) -> DataFrame:
     return events.groupBy("country_id").agg(F.count("*").alias("rows"), F.sum("num_mentions").alias("mentions"))
 
 
+@query(
+    "news_document_files",
+    sql("""SELECT document_country_id, count(*) AS rows, round(sum(tone_score), 4) AS tone FROM typed_docs GROUP BY 1""",
+        typed_docs=DOCUMENTS_SQL),
+)
+def news_document_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Header-less document files; the texts (line breaks, tabs) stay out of them."""
+    path = _fresh(spark, "documents")
+    raw = raw_documents(spark, sf)
+    kept = [F.col(c) if c in raw.columns and c != "v2_themes" else F.lit(None).cast("string").alias(c)
+            for c in schemas.NEWS_DOCUMENT_COLUMNS]
+    raw.select(*kept).write.csv(path, sep="\t", header=False, quote="", emptyValue="")
+    typed = normalize.news_documents(readers.read_news_documents(spark, path), dictionary(spark, sf))
+    return typed.groupBy("document_country_id").agg(
+        F.count("*").alias("rows"), F.round(F.sum("tone_score"), 4).alias("tone")
+    )
+
+
+@query("quoted_csv_files", "SELECT doc_id, md5(text) AS digest, source FROM documents")
+def quoted_csv_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with line breaks and quotes through quoted files whose columns stand in another order."""
+    path = _fresh(spark, "quoted")
+    docs = read(spark, sf, "documents").select("source", "text", F.col("doc_id").cast("string").alias("doc_id"))
+    docs.write.csv(path, header=True, quoteAll=True, escape='"')
+    back = readers.read_quoted_csv(spark, path, ["doc_id", "text", "source", "note"], optional=["note"])
+    return back.where(F.col("note").isNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "source"
+    )
+
+
+@query("onset_files", ONSETS_SQL)
+def onset_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = _fresh(spark, "onsets")
+    raw_onsets(spark, sf).write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return typed_onsets(readers.read_onsets(spark, path), spark, sf)
+
+
 @query(
     "json_item_files",
     sql("""SELECT year(month) AS year, country_id, sum(mentions) AS refugees FROM monthly GROUP BY 1, 2""", monthly=SERIES),
