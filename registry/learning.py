@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -235,7 +234,6 @@ FEATURES = ("n7", "n28", "second_probability")
 SPLIT = {"min_train": 156, "validation": 52, "step": 52, "max_splits": None}
 
 
-@functools.cache
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Nation-weeks with features and label, written once for all fits."""
     rows = prediction_panel(spark, sf).select(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel, Transformer
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tocsin.functions.scoring import feature_hash
 from tocsin.plans.folds import fold_trainability, prior_rate_scores, walk_forward_splits
+from tocsin.session import scratch_dir
 
 PRIOR_RATE, LOGISTIC, ELASTIC_NET = "prior_rate", "logistic_regression", "elastic_net"
 FOREST, BOOSTED = "random_forest", "gradient_boosting"
@@ -139,6 +142,9 @@ def trainable_folds(
             )
 
 
+FITS_AT_ONCE = 4  # each fit is a distributed job of its own
+
+
 def out_of_fold_predictions(
     df: DataFrame, specs: Sequence[ModelSpec], features: Sequence[str], date: str, *, min_train: int, validation: int,
     step: int, max_splits: int | None = None, seed: int = 7,
@@ -147,21 +153,36 @@ def out_of_fold_predictions(
     """Validation rows of every trainable fold scored by a model fitted on the rows before them, in long form.
 
     ``calibrated`` may turn (model, train rows, scored validation rows) into rows with a calibrated column.
-    Models without a trainable fold contribute no rows.
+    Models without a trainable fold contribute no rows. The splits are counted once for all models. Fits of different
+    folds do not depend on each other: a few run side by side (``FITS_AT_ONCE``), each writes its scores to the shared
+    folder, and all scores are read back as one table, so the plan does not grow with models and folds.
     """
+    home = f"{scratch_dir(df.sparkSession)}/folds-{uuid.uuid4().hex}"
     parts: list[DataFrame] = []
+    work: list[tuple[ModelSpec, Fold]] = []
+    folds: list[Fold] = []
+
+    def written_scores(spec: ModelSpec, fold: Fold) -> str:
+        train = df.where(fold.train)
+        model = fit_model(train, spec, features, seed, fold.counts)
+        scored = model.score(df.where(fold.validation))
+        if calibrated is not None:
+            scored = calibrated(model, train, scored)
+        path = f"{home}/{specs.index(spec)}-{fold.split_id}"
+        scored.withColumns({"split_id": F.lit(fold.split_id), "model_name": F.lit(spec.name)}).write.parquet(path)
+        return path
+
     for spec in specs:
         if spec.kind == PRIOR_RATE and calibrated is None:
             splits = walk_forward_splits(df, date, min_train, validation, step, max_splits)
             parts.append(prior_rate_scores(df, splits, date).withColumn("model_name", F.lit(spec.name)))
             continue
-        for fold in trainable_folds(df, date, min_train, validation, step, max_splits, spec.kind == PRIOR_RATE):
-            train = df.where(fold.train)
-            model = fit_model(train, spec, features, seed, fold.counts)
-            scored = model.score(df.where(fold.validation))
-            if calibrated is not None:
-                scored = calibrated(model, train, scored)
-            parts.append(scored.withColumns({"split_id": F.lit(fold.split_id), "model_name": F.lit(spec.name)}))
+        folds = folds or list(trainable_folds(df, date, min_train, validation, step, max_splits, prior_only=True))
+        work += [(spec, fold) for fold in folds if spec.kind == PRIOR_RATE or 0 not in fold.counts]
+    if work:
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            paths = list(pool.map(lambda item: written_scores(*item), work))
+        parts.append(df.sparkSession.read.parquet(*paths))
     if not parts:
         raise ValueError("No fold can be trained for any model.")
     combined = parts[0]
