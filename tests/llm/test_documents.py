@@ -170,6 +170,15 @@ def test_agendas_agree(piece_model, small_docs):
                 assert short == piece_model.merge_long(piece_model.symbols(run), k * 7919, below)
 
 
+def test_runs_merged_together_are_those_merged_alone(piece_model, small_docs):
+    texts = [t or "" for _, t, *_ in small_docs] + ["", " ", "x" * 47 + " " + "y" * 49, "😀 é é \uffff"]
+    names = [str(i) for i in range(len(texts))]
+    for rate in (0.0, 0.1, 0.6, 1.0):
+        together = sentence_pieces.Encoder(piece_model, "s", rate, 3).encode_all(texts, names)
+        alone = sentence_pieces.Encoder(piece_model, "s", rate, 3)
+        assert list(together) == [alone.encode(t, n) for t, n in zip(texts, names)]
+
+
 def test_dropout_round_trip(docs, crowded, small_docs, no_docs):
     rows = sentence_pieces.round_trip(docs).collect()
     assert len(rows) == len(small_docs) and all(r["lossless"] for r in rows)

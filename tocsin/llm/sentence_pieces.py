@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ SPACE = "▁"
 _LITERAL = "\x00" + SPACE  # a space mark of the text itself; no piece looks like this
 _WORDS = re.compile(r" *[^ ]+| +")
 _MASK = (1 << 64) - 1
+_PLACE, _RANK, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x94D049BB133111EB)
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -76,7 +78,9 @@ class PieceModel:
         return runs if all(runs.fullmatch(piece.replace(SPACE, " ")) for piece in self.id) else _WORDS
 
     def symbols(self, run: str) -> list[str]:
-        return [SPACE if c == " " else _LITERAL if c == SPACE else c for c in run]
+        if SPACE in run:
+            return [SPACE if c == " " else _LITERAL if c == SPACE else c for c in run]
+        return list(run.replace(" ", SPACE))
 
     def merge(self, symbols: list[str], key: int, drop_below: int) -> tuple[list[str], int]:
         """The pieces after all merges, and how many candidates were skipped."""
@@ -92,10 +96,12 @@ class PieceModel:
             if r == none:
                 break
             i = ranks.index(r)
-            if drop_below and _drops(key, starts[i], r, drop_below):
-                skipped += 1
-                ranks[i] = none
-                continue
+            if drop_below:  # _drops(), written out for speed
+                h = (key ^ (starts[i] * 0x9E3779B97F4A7C15 + r * 0xD6E8FEB86659FD93)) & _MASK
+                if (((h ^ (h >> 31)) * 0x94D049BB133111EB) & _MASK) >> 32 < drop_below:
+                    skipped += 1
+                    ranks[i] = none
+                    continue
             piece = symbols[i] + symbols[i + 1]
             symbols[i] = piece
             del symbols[i + 1], starts[i + 1], ranks[i]
@@ -140,7 +146,79 @@ class PieceModel:
                     heapq.heappush(agenda, (r, h, symbols[h] + piece))
         return [s for s in symbols if s is not None], skipped
 
+    @functools.cached_property
+    def tables(self) -> _PairTables:
+        return _PairTables(self)
+
+    def merge_many(self, runs: list[str], keys: np.ndarray, drop_below: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Ids and skipped candidates of many short runs of about the same length, merged step by step together.
+
+        Column k of all tables belongs to run k, row i to the character at place i: the agenda of a run is its column
+        of ranks. Every step takes the best candidate of each run, the first of equals, as merge_short() does.
+        """
+        t, none, n = self.tables, self.none, len(runs)
+        lengths = np.array([len(run) for run in runs])
+        depth = int(lengths.max())
+        text = "".join(run.replace(SPACE, "\uffff").replace(" ", SPACE).ljust(depth, "\uffff") for run in runs)
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).reshape(n, depth).T
+        sym = t.symbol[points]
+        place = np.arange(depth)[:, None]
+        alive = np.broadcast_to(place < lengths, sym.shape).copy()
+        after = np.broadcast_to(place + 1, sym.shape).astype(np.int16)
+        before = np.broadcast_to(place - 1, sym.shape).astype(np.int16)
+        rank = np.full(sym.shape, none, dtype=np.int32)
+        into = np.zeros(sym.shape, dtype=np.int32)
+        for i in range(depth - 1):
+            rank[i], into[i] = t.look_up(sym[i], sym[i + 1])
+        rank[np.broadcast_to(place + 1 >= lengths, sym.shape)] = none
+        skipped = np.zeros(n, dtype=np.int64)
+        open_ = np.arange(n)
+        while len(open_):
+            part = rank[:, open_]
+            at = part.argmin(axis=0)
+            best = part[at, np.arange(len(open_))]
+            more = best < none
+            open_, p, r = open_[more], at[more], best[more]
+            c = open_
+            if drop_below:
+                h = keys[c] ^ (p.astype(np.uint64) * _PLACE + r.astype(np.uint64) * _RANK)
+                h = (h ^ (h >> np.uint64(31))) * _SPREAD
+                gone = (h >> np.uint64(32)) < np.uint64(drop_below)
+                rank[p[gone], c[gone]] = none
+                skipped[c[gone]] += 1
+                c, p = c[~gone], p[~gone]
+            q, piece = after[p, c], into[p, c]
+            sym[p, c] = piece
+            alive[q, c] = False
+            rank[q, c] = none
+            follows = after[q, c]
+            after[p, c] = follows
+            rank[p, c] = none
+            ok = follows < lengths[c]
+            pk, ck, fk = p[ok], c[ok], follows[ok]
+            before[fk, ck] = pk
+            rank[pk, ck], into[pk, ck] = t.look_up(piece[ok], sym[fk, ck])
+            ahead = before[p, c]
+            ok = ahead >= 0
+            ak, ck = ahead[ok], c[ok]
+            rank[ak, ck], into[ak, ck] = t.look_up(sym[ak, ck], piece[ok])
+        alive = alive.T
+        flat = sym.T[alive].tolist()
+        ends = np.concatenate([[0], np.cumsum(alive.sum(axis=1))]).tolist()
+        unknown = (alive & (sym.T == t.unknown)).any(axis=1).tolist()
+        for k, run in enumerate(runs):
+            found = tuple(flat[ends[k] : ends[k + 1]])
+            if unknown[k]:
+                starts = [*np.flatnonzero(alive[k]).tolist(), len(run)]
+                symbols = self.symbols(run)
+                found = self.ids(["".join(symbols[a:b]) for a, b in zip(starts, starts[1:])])
+            yield found, int(skipped[k])
+
     def ids(self, pieces: list[str]) -> tuple[int, ...]:
+        try:
+            return tuple([self.id[piece] for piece in pieces])
+        except KeyError:
+            pass
         out: list[int] = []
         for piece in pieces:
             i = self.id.get(piece)
@@ -152,7 +230,33 @@ class PieceModel:
         return tuple(out)
 
     def decode(self, ids) -> str:
-        return b"".join([self.bytes[i] for i in ids]).decode()[len(self.prefix) :]
+        return b"".join(map(self.bytes.__getitem__, ids)).decode()[len(self.prefix) :]
+
+
+class _PairTables:
+    """Symbols by code point, and which two symbols join to which piece of which rank."""
+
+    def __init__(self, model: PieceModel):
+        self.none, self.unknown = model.none, max(model.id.values()) + 1
+        self.symbol = np.full(0x110000, self.unknown, dtype=np.int32)
+        pairs = {}
+        for piece, i in model.id.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
+            for k in range(1, len(piece)):
+                a, b = model.id.get(piece[:k]), model.id.get(piece[k:])
+                if a is not None and b is not None:
+                    pairs[a * (self.unknown + 1) + b] = (model.rank[piece], i)
+        keys = sorted(pairs)
+        self.keys = np.array([*keys, -1], dtype=np.int64)
+        self.keys[-1] = np.iinfo(np.int64).max
+        self.ranks = np.array([*(pairs[k][0] for k in keys), self.none], dtype=np.int32)
+        self.pieces = np.array([*(pairs[k][1] for k in keys), 0], dtype=np.int32)
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left.astype(np.int64) * (self.unknown + 1) + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], self.none), self.pieces[at]
 
 
 class _Variant(dict):
@@ -160,10 +264,22 @@ class _Variant(dict):
 
     def __init__(self, model: PieceModel, seed: str, variant: int, drop_below: int, most: int):
         self.model, self.drop_below, self.most = model, drop_below, most
-        self.seed = f"{seed}:{variant}".encode()
+        self.seed = xxhash.xxh3_64_intdigest(f"{seed}:{variant}")
+
+    def learn(self, runs: set[str]) -> None:
+        """Segment the runs of this set that are not known, those of about the same length together."""
+        groups: dict[int, list[str]] = {}
+        for run in runs:
+            if run not in self and len(run) <= 48:
+                groups.setdefault((len(run) + 3) // 4, []).append(run)
+        for group in groups.values():
+            for at in range(0, len(group), 4096):
+                part = group[at : at + 4096]
+                keys = np.array([xxhash.xxh3_64_intdigest(run, self.seed) for run in part], dtype=np.uint64)
+                self.update(zip(part, self.model.merge_many(part, keys, self.drop_below)))
 
     def __missing__(self, run: str):
-        key = int.from_bytes(hashlib.blake2b(run.encode(), digest_size=8, key=self.seed[:64]).digest(), "little")
+        key = xxhash.xxh3_64_intdigest(run, self.seed)
         pieces, skipped = self.model.merge(self.model.symbols(run), key, self.drop_below)
         found = (self.model.ids(pieces), skipped)
         if len(run) <= 64:
@@ -182,12 +298,28 @@ class Encoder:
         self.model, self.seed = model, seed
         self.cached = [_Variant(model, seed, v, below, most) for v in range(count)]
 
+    def runs(self, text: str) -> list[str]:
+        return self.model.runs.findall(self.model.prefix + text) if text else []
+
+    def _first(self, name: str) -> int:
+        return xxhash.xxh3_64_intdigest(f"{self.seed}:{name}") % len(self.cached)
+
+    def encode_all(self, texts: list[str], names: list[str]) -> Iterator[tuple[list[int], int]]:
+        """encode() of several texts: the runs that are new to a variant are segmented together first."""
+        runs, n = [self.runs(text) for text in texts], len(self.cached)
+        for v, cache in enumerate(self.cached):
+            if len(cache) > cache.most:
+                cache.clear()
+            cache.learn(set().union(*(own[(v - self._first(name)) % n :: n] for own, name in zip(runs, names))))
+        for own, name in zip(runs, names):
+            yield self._encode(own, name)
+
     def encode(self, text: str, name: str) -> tuple[list[int], int]:
         """Ids and the number of skipped merges. name: what tells this text from others, such as its id."""
-        if not text:
-            return [], 0
-        runs = self.model.runs.findall(self.model.prefix + text)
-        start = hashlib.blake2b(name.encode(), digest_size=4, key=self.seed.encode()[:64]).digest()[0] % len(self.cached)
+        return self._encode(self.runs(text), name)
+
+    def _encode(self, runs: list[str], name: str) -> tuple[list[int], int]:
+        start = self._first(name)
         turn = itertools.cycle(self.cached[start:] + self.cached[:start])
         ids: list[int] = []
         skipped = 0
@@ -229,8 +361,8 @@ def encode(
                 part = batch.slice(at, 256)
                 texts, names = part.column("text"), part.column("doc_id")
                 ids, counts, skipped = [], [0], []
-                for text, name in zip(texts, names):
-                    found, s = encoder.encode(text.as_py() or "", str(name.as_py()))
+                texts = [text or "" for text in texts.to_pylist()]
+                for found, s in encoder.encode_all(texts, [str(name) for name in names.to_pylist()]):
                     ids.append(np.array(found, dtype=np.int32))
                     counts.append(counts[-1] + len(found))
                     skipped.append(s)
@@ -270,17 +402,17 @@ def round_trip(docs: DataFrame, model_file: str = DEFAULT_MODEL, seed: str = "pi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data.value, seed, rate, variants)
-        for batch in batches:
+        for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
             out: list[list] = [[], [], [], []]
-            for text, name in zip(batch.column("text"), batch.column("doc_id")):
-                text = text.as_py() or ""
-                ids, skipped = encoder.encode(text, str(name.as_py()))
+            texts = [text or "" for text in part.column("text").to_pylist()]
+            names = [str(name) for name in part.column("doc_id").to_pylist()]
+            for text, (ids, skipped) in zip(texts, encoder.encode_all(texts, names)):
                 digest = hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest()
                 for column, value in zip(out, (len(ids), skipped, digest, encoder.decode(ids) == text)):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds))],
+                [part.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds))],
                 ["doc_id", "n_ids", "n_skipped", "ids_sha256", "lossless"],
             )
 
