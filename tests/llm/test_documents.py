@@ -514,3 +514,37 @@ def test_cosine_is_exact():
         else:
             assert max(cosines) < license_scan.LEAST
         assert math.sqrt(sum(v * v for v in row.values())) == pytest.approx(1.0)
+
+
+def test_whole_license_texts(spark):
+    """Full texts, in files of their own, in comments and beside other text, and headers that are wrapped."""
+    import textwrap
+
+    full = {name: texts[0] for name, texts in license_scan.text_templates().items() if len(texts[0]) > 600}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-3.0", "ISC", "CC-BY-NC-4.0"} <= set(full)
+    title = "Copyright (c) 2015-2024 Zoltan Quux and the Frobnicator contributors <quux@frob.example>\n\n"
+    mit = full["MIT"].partition("\n\n")[2]
+    apache = license_scan.HEADERS["Apache-2.0"][0]
+    gpl = license_scan.TEMPLATES["GPL-3.0"][1]
+    comment = lambda text: "".join(f" * {line}".rstrip() + "\n" for line in text.split("\n"))
+    code = "\n".join(f"int frob{k}(int quux{k}) {{ return quux{k} << {k}; }}" for k in range(300))
+    prose = "\n".join(f"gorp{k} blin{k * 7} trel{k % 13} vosk{k % 5} mun" for k in range(300))
+    cases = [(name, f"{name}/LICENSE", title + text) for name, text in full.items()]
+    cases += [
+        ("MIT", "in/comment.c", f"/*\n{comment(title + mit)} */\n{code}"),
+        ("MIT", "in/read.me", f"{prose}\n\n{title}{mit}\n\n{prose}"),
+        ("Apache-2.0", "in/wrapped.py", "# " + "\n# ".join(textwrap.wrap(apache, 40)) + "\nimport os\n" + code),
+        ("GPL-3.0", "in/wrapped.sh", "#!/bin/sh\n# " + "\n# ".join(textwrap.wrap(gpl, 50)) + "\n\n" + code),
+        ("Apache-2.0", "opening/LICENSE", full["Apache-2.0"].partition("   APPENDIX")[0]),
+        ("GPL-3.0", "unclosed/COPYING", full["GPL-3.0"].partition("How to Apply")[0]),
+        ("GPL-2.0", "unclosed2/COPYING", full["GPL-2.0"].partition("How to Apply")[0]),
+        (None, "none/code.c", code),
+        (None, "none/text", prose + "\nthe software is provided to you in good order and the copyright is mine\n" + prose),
+    ]
+    rows = [(k, path, text) for k, (_, path, text) in enumerate(cases)]
+    rows += [(1000 + k, f"{name}/src/deep/x.py", "x = 1") for k, name in enumerate(full)]
+    rows += [(2000 + k, f"other/{k}", f"{prose[k * 11 : k * 11 + 900]} the of and to a in is it") for k in range(200)]
+    found = {r["file_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "file_id bigint, path string, text string")).collect()}
+    assert [(path, found[k]["license"]) for k, (_, path, _) in enumerate(cases)] == [(path, name) for name, path, _ in cases]
+    for k, name in enumerate(full):
+        assert found[k]["license_file"] and found[1000 + k]["inherited"] == name
