@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tocsin.llm import exact_dedup, jaccard_join, mixing, quality_neighbours, sentence_pieces
 from tocsin.llm.common import table, written
@@ -39,8 +40,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_skipped of every row."""
-    return sentence_pieces.encode(docs, carry=("lang", "source"))
+    """doc_id, lang, source, ids, n_skipped of every row. Copies of a document, in the order of source and lang, are cut
+    independently of each other."""
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
+    numbered = docs.select("doc_id", "lang", "source", "text", (F.row_number().over(same) - 1).alias("copy"))
+    return sentence_pieces.encode(numbered, carry=("lang", "source"), copy="copy")
 
 
 STAGES = [

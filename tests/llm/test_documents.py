@@ -202,6 +202,38 @@ def test_dropout_varies_and_drops_at_the_rate(piece_model):
     assert everything.encode("abc def", "1")[0] == [piece_model.id[c] for c in "▁abc▁def"]
 
 
+def test_each_occurrence_draws_anew(piece_model, small_docs):
+    """A run has more segmentations than four, others in a copy, and each is what its own key gives."""
+    encoder = sentence_pieces.Encoder(piece_model, "s", 0.2)
+    run = " international"
+    keys = sentence_pieces._run_keys(5, 3000)
+    found = encoder.fresh.find([run] * 3000, keys)
+    assert len({ids for ids, _ in found}) > 4
+    below = encoder.fresh.drop_below
+    for key, (ids, skipped) in zip(keys.tolist(), found):
+        pieces, s = piece_model.merge_short(piece_model.symbols(run), key, below)
+        assert (ids, skipped) == (piece_model.ids(pieces), s)
+    texts = [t or "" for _, t, *_ in small_docs] + ["", " ", "x" * 47 + " " + "y" * 49, "😀 é é \uffff", run * 500]
+    names = [str(i) for i in range(len(texts))]
+    together = list(encoder.encode_all(texts, names))
+    alone = sentence_pieces.Encoder(piece_model, "s", 0.2)
+    assert together == [alone.encode(t, n) for t, n in zip(texts, names)]
+    assert all(encoder.decode(ids) == t for (ids, _), t in zip(together, texts))
+    assert alone.encode(run * 500, "1") != alone.encode(run * 500, "1:1")
+    few = sentence_pieces.Encoder(piece_model, "s", 0.2, most=1)
+    assert together == list(few.encode_all(texts, names))
+
+
+def test_copies_of_the_pipeline_are_cut_apart(spark):
+    import corpus_pipeline
+
+    text = "international understanding of several documents " * 40
+    docs = spark.createDataFrame([(1, text, "en", "a", 1), (1, text, "en", "a", 1), (None, text, "en", "a", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows = corpus_pipeline.token_ids(spark, docs, "").collect()
+    assert len(rows) == 3 and len({tuple(r["ids"]) for r in rows}) == 3
+    assert {r["text"] for r in sentence_pieces.decode(spark.createDataFrame(rows)).collect()} == {text}
+
+
 # quality
 
 

@@ -2,11 +2,13 @@
 
 A merge-type model joins neighbouring pieces by an agenda: the candidate of the best rank goes first, the leftmost of
 equals. With dropout, a candidate that comes up is skipped when the keyed hash of its place and its merged piece falls
-below the rate. The key depends on the seed, the variant and the text of the run, and the variant on the document
-and the place of the run in it, so the same words are cut in different ways, yet every rerun gives the same ids.
+below the rate. The key depends on the seed, the document's id and text, the number of the copy and the place of the run
+in the text, so each occurrence of a word draws anew, yet every rerun gives the same ids.
 
 Pieces never cross the borders between letters, digits and other characters (checked when a model is loaded), so each
-run is a merge problem of its own and its result is kept in a bounded cache of the Python worker.
+run is a merge problem of its own. A bounded cache of the Python worker keeps what is not random: the ids of a run without
+dropout, and the candidates that come up on the way. Where none of them is skipped, these ids are the result; the other
+occurrences are merged anew, those of about the same length together.
 
 Decoding is lossless for every text: characters outside the vocabulary, and the model's own space mark when it stands
 in a text, are written as bytes.
@@ -33,6 +35,8 @@ _WORDS = re.compile(r" *[^ ]+| +")
 _MASK = (1 << 64) - 1
 _PLACE, _RANK, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x94D049BB133111EB)
 
+RUNS_TOGETHER = 100_000
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -289,12 +293,101 @@ class _Variant(dict):
         return found
 
 
+class _Fresh:
+    """Segmentations that each occurrence of a run draws anew; what is kept changes no result."""
+
+    def __init__(self, model: PieceModel, drop_below: int, most: int):
+        self.model, self.drop_below, self.most = model, drop_below, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids: list[tuple[int, ...]] = []
+        self.first = self.count = np.zeros(0, dtype=np.int64)
+        self.terms = np.zeros(0, dtype=np.uint64)
+
+    def learn(self, runs: set[str]) -> None:
+        """The merges of new runs without dropout, as the terms that a candidate's place and rank add to its hash."""
+        get, none = self.model.rank.get, self.model.none
+        terms: list[int] = []
+        count: list[int] = []
+        for run in runs:
+            symbols, before = self.model.symbols(run), len(terms)
+            ranks = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]
+            starts = list(range(len(symbols)))
+            while ranks:
+                r = min(ranks)
+                if r == none:
+                    break
+                i = ranks.index(r)
+                terms.append((starts[i] * 0x9E3779B97F4A7C15 + r * 0xD6E8FEB86659FD93) & _MASK)
+                piece = symbols[i] + symbols[i + 1]
+                symbols[i] = piece
+                del symbols[i + 1], starts[i + 1], ranks[i]
+                if i < len(ranks):
+                    ranks[i] = get(piece + symbols[i + 1], none)
+                if i:
+                    ranks[i - 1] = get(symbols[i - 1] + piece, none)
+            self.index[run] = len(self.ids)
+            self.ids.append(self.model.ids(symbols))
+            count.append(len(terms) - before)
+        added = np.array(count, dtype=np.int64)
+        self.first = np.concatenate([self.first, len(self.terms) + np.cumsum(added) - added])
+        self.count = np.concatenate([self.count, added])
+        self.terms = np.concatenate([self.terms, np.array(terms, dtype=np.uint64)])
+
+    def find(self, runs: list[str], keys: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+        """Ids and skipped candidates of each run under its own key."""
+        out: list = [None] * len(runs)
+        if len(self.index) > self.most:
+            self.forget()
+        new = {run for run in runs if len(run) <= 48} - self.index.keys()
+        if new:
+            self.learn(new)
+        at = np.fromiter((self.index.get(run, -1) for run in runs), dtype=np.int64, count=len(runs))
+        known = np.flatnonzero(at >= 0)
+        u = at[known]
+        count = self.count[u]
+        owner = np.repeat(np.arange(len(known)), count)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[u], count)
+        h = keys[known][owner] ^ self.terms[step]
+        h = (h ^ (h >> np.uint64(31))) * _SPREAD
+        gone = np.bincount(owner[(h >> np.uint64(32)) < np.uint64(self.drop_below)], minlength=len(known)) > 0
+        groups: dict[int, list[int]] = {}
+        for k, i, dropped in zip(known.tolist(), u.tolist(), gone.tolist()):
+            if dropped:
+                groups.setdefault((len(runs[k]) + 3) // 4, []).append(k)
+            else:
+                out[k] = (self.ids[i], 0)
+        for group in groups.values():
+            for start in range(0, len(group), 4096):
+                part = group[start : start + 4096]
+                for k, found in zip(part, self.model.merge_many([runs[k] for k in part], keys[part], self.drop_below)):
+                    out[k] = found
+        for k in np.flatnonzero(at < 0).tolist():
+            pieces, skipped = self.model.merge(self.model.symbols(runs[k]), int(keys[k]), self.drop_below)
+            out[k] = (self.model.ids(pieces), skipped)
+        return out
+
+
+def _run_keys(base: int, n: int) -> np.ndarray:
+    """Keys of n runs in a row from the key of their text."""
+    key = np.uint64(base) + np.arange(1, n + 1, dtype=np.uint64) * _PLACE
+    key = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    key = (key ^ (key >> np.uint64(27))) * _SPREAD
+    return key ^ (key >> np.uint64(31))
+
+
 class Encoder:
-    """Encodes and decodes texts; holds at most variants * most cached runs."""
+    """Encodes and decodes texts; holds a bounded number of cached runs.
 
-    def __init__(self, model: PieceModel, seed: str, rate: float, variants: int, most: int = 100_000):
+    variants: none lets each occurrence of a run draw anew; a number allows a run only so many segmentations.
+    """
+
+    def __init__(self, model: PieceModel, seed: str, rate: float, variants: int | None = None, most: int = 100_000):
         below = min(int(rate * 2**32), 2**32)
-        count = variants if below else 1
+        self.fresh = _Fresh(model, below, most) if below and variants is None else None
+        count = (variants or 1) if below else 1
         self.model, self.seed = model, seed
         self.cached = [_Variant(model, seed, v, below, most) for v in range(count)]
 
@@ -306,6 +399,9 @@ class Encoder:
 
     def encode_all(self, texts: list[str], names: list[str]) -> Iterator[tuple[list[int], int]]:
         """encode() of several texts: the runs that are new to a variant are segmented together first."""
+        if self.fresh:
+            yield from self._draw(texts, names)
+            return
         runs, n = [self.runs(text) for text in texts], len(self.cached)
         for v, cache in enumerate(self.cached):
             if len(cache) > cache.most:
@@ -316,8 +412,33 @@ class Encoder:
 
     def encode(self, text: str, name: str) -> tuple[list[int], int]:
         """Ids and the number of skipped merges. name: what tells this text from others, such as its id."""
+        if self.fresh:
+            return next(self._draw([text], [name]))
         return self._encode(self.runs(text), name)
 
+    def _draw(self, texts: list[str], names: list[str]) -> Iterator[tuple[list[int], int]]:
+        """Texts are taken together up to RUNS_TOGETHER runs; a longer text is taken in pieces."""
+        waiting: list[int] = []
+        runs: list[str] = []
+        keys: list[np.ndarray] = []
+        for k, (text, name) in enumerate(zip(texts, names)):
+            own = self.runs(text)
+            waiting.append(len(own))
+            runs += own
+            start = xxhash.xxh3_64_intdigest(f"{self.seed}:{name}")
+            keys.append(_run_keys(xxhash.xxh3_64_intdigest(text, start), len(own)))
+            if len(runs) < RUNS_TOGETHER and k + 1 < len(texts):
+                continue
+            every, found = np.concatenate(keys), []
+            for at in range(0, len(runs), RUNS_TOGETHER):
+                found += self.fresh.find(runs[at : at + RUNS_TOGETHER], every[at : at + RUNS_TOGETHER])
+            at = 0
+            for n in waiting:
+                mine = found[at : at + n]
+                at += n
+                yield list(itertools.chain.from_iterable(ids for ids, _ in mine)), sum(s for _, s in mine)
+            waiting, runs, keys = [], [], []
+
     def _encode(self, runs: list[str], name: str) -> tuple[list[int], int]:
         start = self._first(name)
         turn = itertools.cycle(self.cached[start:] + self.cached[:start])
@@ -333,7 +454,7 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(data: bytes, seed: str, rate: float, variants: int) -> Encoder:
+def _encoder(data: bytes, seed: str, rate: float, variants: int | None) -> Encoder:
     return Encoder(PieceModel(data), seed, rate, variants)
 
 
@@ -342,14 +463,15 @@ def encode(
     model_file: str = DEFAULT_MODEL,
     seed: str = "pieces",
     rate: float = 0.1,
-    variants: int = 4,
+    variants: int | None = None,
     carry: tuple[str, ...] = (),
+    copy: str | None = None,
 ) -> DataFrame:
     """doc_id, the columns named in carry, ids (array of int), n_skipped (merges dropped).
 
     The model file is read on the driver (half a megabyte) and goes with the tasks. Null and empty texts have no ids.
-    Rows repeated with the same id and text have the same ids. Whole texts are encoded, one at a time; a run longer
-    than 64 characters is not cached. Other columns are not read. An empty table gives no rows.
+    copy names a column that numbers the copies of a document; rows repeated with the same id, text and number have the
+    same ids. variants as for Encoder. Whole texts are encoded; a run longer than 48 characters is not cached. Other columns are not read. An empty table gives no rows.
     """
     with open(model_file, "rb") as file:
         data = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -360,9 +482,10 @@ def encode(
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts, names = part.column("text"), part.column("doc_id")
+                copies = part.column("__copy").to_pylist()
                 ids, counts, skipped = [], [0], []
                 texts = [text or "" for text in texts.to_pylist()]
-                for found, s in encoder.encode_all(texts, [str(name) for name in names.to_pylist()]):
+                for found, s in encoder.encode_all(texts, [f"{name}:{c}" if c else str(name) for name, c in zip(names.to_pylist(), copies)]):
                     ids.append(np.array(found, dtype=np.int32))
                     counts.append(counts[-1] + len(found))
                     skipped.append(s)
@@ -372,7 +495,10 @@ def encode(
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *carry, "ids", "n_skipped"])
 
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *carry,
+        F.col("text").cast("string").alias("text"),
+        (F.col(copy).cast("long") if copy else F.lit(0).cast("long")).alias("__copy"),
     )
     kinds = "".join(f", `{c}` {kind}" for c, kind in docs.select(*carry).dtypes) if carry else ""
     return rows.mapInArrow(run, f"doc_id bigint{kinds}, ids array<int>, n_skipped bigint")
@@ -392,7 +518,7 @@ def decode(encoded: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def round_trip(docs: DataFrame, model_file: str = DEFAULT_MODEL, seed: str = "pieces", rate: float = 0.1, variants: int = 4) -> DataFrame:
+def round_trip(docs: DataFrame, model_file: str = DEFAULT_MODEL, seed: str = "pieces", rate: float = 0.1, variants: int | None = None) -> DataFrame:
     """doc_id, n_ids, n_skipped, ids_sha256 (of little-endian 32-bit ids), lossless: encode and decode in one pass.
 
     The ids of a text do not leave the worker, so nothing but the digest is written. Rows as in encode().
