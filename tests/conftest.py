@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime
 import sys
 from pathlib import Path
 
@@ -27,12 +26,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def day(text: str) -> datetime.date:
-    return datetime.date.fromisoformat(text)
-
-
-def rows(df, *columns):
-    """Collected rows as sorted tuples."""
-    return sorted((tuple(row) for row in df.select(*columns).collect()), key=repr)

@@ -6,7 +6,7 @@ import datetime
 import random
 
 import pytest
-from conftest import day
+from frames import day
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 

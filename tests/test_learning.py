@@ -6,7 +6,7 @@ import datetime
 import random
 
 import pytest
-from conftest import day
+from frames import day
 from pyspark.sql import functions as F
 
 from tocsin.plans import backtest, calibrate, explain, folds, labels, models

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 
 import pytest
-from conftest import day
+from frames import day
 from pyspark.sql import functions as F
 
 from tocsin.functions import scoring
