@@ -12,6 +12,7 @@ from tocsin.llm import (
     exact_dedup,
     jaccard_join,
     license_scan,
+    merkle,
     mixing,
     page_text,
     personal_data,
@@ -103,3 +104,9 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     return page_text.main_text(table(spark, folder, "pages"))
+
+
+@query(sql=merkle.SQL)
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a leaf, with its proof checked against the root."""
+    return merkle.verify(table(spark, folder, "documents"))
