@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tocsin.llm import (
+    alignment,
     exact_dedup,
     jaccard_join,
     license_scan,
     merkle,
     mixing,
+    packing,
     page_text,
     personal_data,
     quality_neighbours,
@@ -110,3 +112,15 @@ def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
 def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a leaf, with its proof checked against the root."""
     return merkle.verify(table(spark, folder, "documents"))
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document packed into sequences of 4,096 tokens."""
+    return packing.pack_documents(table(spark, folder, "documents")).rows
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document by two tokenizers, aligned at their common ends."""
+    return alignment.scored(table(spark, folder, "documents"))
