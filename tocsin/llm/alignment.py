@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.chunk_tokens import chunk_tokenizer, text_groups, words_with_space
+from tocsin.llm.chunk_tokens import byte_signs, chunk_tokenizer, text_groups, words_with_space
 from tocsin.llm.common import written
 
 FILE_A = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,14 +38,6 @@ WORK = 1 << 15
 MOST_SENT = 1_000_000
 
 
-def _byte_level() -> dict[str, int]:
-    """The sign that byte-level vocabularies write for each byte: itself if it shows, else the next one from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    signs = {chr(b): b for b in shown}
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return signs | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class Pieces:
     """Ids and bytes of the tokens of texts. tokens[id] is the id's bytes, sizes[id] their number."""
 
@@ -53,10 +45,10 @@ class Pieces:
         self.tokens = tokens
         self.sizes = np.array([len(token) for token in tokens], dtype=np.int64)
 
-    def spell(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def spell(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         raise NotImplementedError
 
 
@@ -65,7 +57,7 @@ class BytePieces(Pieces):
 
     def __init__(self, path: str):
         self.tokenizer = chunk_tokenizer(path, words_with_space, plain=True)
-        signs = _byte_level()
+        signs = {sign: byte for byte, sign in byte_signs().items()}
         vocabulary = self.tokenizer.tokenizer.get_vocab(with_added_tokens=True)
         tokens = [b""] * (max(vocabulary.values()) + 1)
         for entry, number in vocabulary.items():
@@ -73,8 +65,8 @@ class BytePieces(Pieces):
                 tokens[number] = bytes(map(signs.__getitem__, entry))
         super().__init__(tokens)
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        return self.tokenizer.encode_all([" " + text for text in texts])
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(ids, "<u4") for ids in self.tokenizer.encode_all([" " + text for text in texts])]
 
 
 class SpacePieces(Pieces):
@@ -91,8 +83,8 @@ class SpacePieces(Pieces):
             tokens.append(bytes([int(piece[3:5], 16)]) if one else piece.replace("▁", " ").encode())
         super().__init__(tokens)
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        return self.processor.encode(texts, num_threads=1)
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, "<u4") for ids in self.processor.encode(texts, num_threads=1)]
 
 
 @functools.lru_cache(maxsize=4)
@@ -148,8 +140,8 @@ class Batch:
     def __init__(self, a: Pieces, b: Pieces, texts: list[str | None], work: int):
         some = [k for k, text in enumerate(texts) if text]
         sides = [side.encode_all([texts[k] for k in some]) if some else [] for side in (a, b)]
-        self.ids_a: list[list[int]] = [[] for _ in texts]
-        self.ids_b: list[list[int]] = [[] for _ in texts]
+        none = np.zeros(0, "<u4")
+        self.ids_a, self.ids_b = [none] * len(texts), [none] * len(texts)
         for k, left, right in zip(some, *sides):
             whole = b" " + texts[k].encode()
             if a.spell(left) == whole and b.spell(right) == whole:
@@ -161,9 +153,9 @@ class Batch:
         self.from_group = np.searchsorted(self.last_a, self.from_a)
 
     @staticmethod
-    def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    def _flat(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         starts = np.concatenate([[0], np.cumsum([len(own) for own in ids], dtype=np.int64)])
-        return np.fromiter((i for own in ids for i in own), dtype=np.int64, count=int(starts[-1])), starts
+        return np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64), starts
 
     def links(self) -> np.ndarray:
         """The pair of ids of each link as one number."""

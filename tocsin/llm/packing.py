@@ -45,6 +45,8 @@ def pieces(
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
+    last = end_id.to_bytes(4, "little")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = chunk_tokenizer(tokenizer_file, words_apart, plain=False)
         for batch in batches:
@@ -53,11 +55,11 @@ def pieces(
             for first, end in text_groups(texts):
                 out: list[tuple] = []
                 for doc_id, found in zip(doc_ids[first:end], tokenizer.encode_all(texts[first:end])):
-                    ids = np.array([*found, end_id], dtype="<u4")
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        own = ids[start : start + capacity]
-                        row = (doc_id, piece, start, len(own), zlib.crc32(own.tobytes()))
-                        out.append((*row, own.astype(np.int32)) if with_ids else row)
+                    ids = found + last
+                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                        own = ids[4 * start : 4 * (start + capacity)]
+                        row = (doc_id, piece, start, len(own) // 4, zlib.crc32(own))
+                        out.append((*row, np.frombuffer(own, "<i4")) if with_ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
