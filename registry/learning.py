@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from registry import query
-from registry.standins import daily_users, model_predictions, prediction_panel, rounded, sql
+from registry.standins import (
+    CUSTOMER_PREDICTIONS, customer_predictions, daily_users, model_predictions, prediction_panel, rounded, sql,
+)
 from tocsin.operators import entity_windows as ew
 from tocsin.plans import backtest, calibrate, explain, folds, labels, models
 from tocsin.session import cut_lineage
@@ -281,10 +283,70 @@ def structural_prior_scores(spark: SparkSession, sf: str) -> DataFrame:
     return model.score(fast).select("entity_id", "as_of_date", "structural_prior_score", "raw_score")
 
 
-@query("isotonic_calibrated")
+# Pooled shares as largest mean from here back of smallest mean from here on; scores in thousandths keep that short.
+ISOTONIC = {
+    "customers": CUSTOMER_PREDICTIONS,
+    "scored": """SELECT entity_id, forecast_date, label, floor(calibrated_probability * 1000) / 1000 AS raw_score
+                 FROM customers""",
+    "points": """SELECT raw_score, row_number() OVER (ORDER BY raw_score) AS i, sum(count(*)) OVER o AS n,
+                        sum(sum(label)) OVER o AS p, sum(count(*)) OVER o - count(*) AS n0,
+                        sum(sum(label)) OVER o - sum(label) AS p0
+                 FROM scored GROUP BY raw_score WINDOW o AS (ORDER BY raw_score)""",
+    "runs": """SELECT a.i AS a, b.i AS b, (b.p - a.p0) / (b.n - a.n0) AS mean FROM points a JOIN points b ON a.i <= b.i""",
+    "lowest": """SELECT b AS i, min(mean) OVER (PARTITION BY a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+                        AS low FROM runs""",
+    "calibrated": """SELECT entity_id, forecast_date, label, raw_score, y AS calibrated_probability
+                     FROM scored JOIN points USING (raw_score) JOIN (SELECT i, max(low) AS y FROM lowest GROUP BY i) USING (i)""",
+}
+
+
+def customer_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of customers in thousandths as those of one model."""
+    thousandths = F.floor(F.col("calibrated_probability") * 1000) / 1000
+    return customer_predictions(spark, sf).select(
+        "entity_id", "forecast_date", "label", F.lit("customers").alias("model_name"), thousandths.alias("raw_score")
+    )
+
+
+@query(
+    "isotonic_calibrated",
+    sql("""SELECT entity_id, forecast_date, label, raw_score, round(calibrated_probability, 9) AS calibrated_probability
+           FROM calibrated""", **ISOTONIC),
+)
 def isotonic_calibrated(spark: SparkSession, sf: str) -> DataFrame:
-    scores = out_of_fold(spark, sf, models.ModelSpec("logit", models.LOGISTIC))
-    return calibrate.calibrate_model(scores, "logit", calibrate.ISOTONIC)[1]
+    found = calibrate.calibrate_model(customer_scores(spark, sf), "customers", calibrate.ISOTONIC)[1]
+    return found.select(
+        "entity_id", "forecast_date", "label", "raw_score",
+        rounded("calibrated_probability", 9).alias("calibrated_probability"),
+    )
+
+
+@query(
+    "calibration_metrics",
+    sql("""
+    SELECT 'customers' AS model_name, 'isotonic' AS calibration_method, count(*) AS row_count,
+           CAST(sum(label) AS BIGINT) AS positive_count,
+           round(coalesce(count(*) FILTER (p >= 0.25 AND label = 1) / nullif(count(*) FILTER (p >= 0.25), 0), 0), 6)
+           AS precision,
+           round(count(*) FILTER (p >= 0.25 AND label = 1) / sum(label), 6) AS recall,
+           round(avg((p - label) * (p - label)), 6) AS brier_score,
+           (SELECT round(sum(pos * (tp / (tp + fp))) / max(tp_all), 6) FROM curve) AS pr_auc,
+           (SELECT round(sum(pos * (fp_all - fp + neg / 2.0)) / (max(tp_all) * max(fp_all)), 6) FROM curve) AS roc_auc
+    FROM (SELECT calibrated_probability AS p, label FROM calibrated)""",
+        **ISOTONIC,
+        curve="""
+    SELECT pos, neg, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp, sum(pos) OVER () AS tp_all,
+           sum(neg) OVER () AS fp_all
+    FROM (SELECT calibrated_probability AS p, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg
+          FROM calibrated GROUP BY 1)"""),
+)
+def calibration_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of the calibrated scores of one model."""
+    found = calibrate.calibration_run(customer_scores(spark, sf), "customers", threshold=0.25).metrics
+    numbers = ("precision", "recall", "brier_score", "pr_auc", "roc_auc")
+    return found.select(
+        "model_name", "calibration_method", "row_count", "positive_count", *[rounded(c, 6).alias(c) for c in numbers]
+    )
 
 
 @query("sigmoid_calibrated")

@@ -13,7 +13,10 @@ from registry.standins import (
     articles,
     calendar_days,
     conflict,
+    monthly_climate,
+    monthly_night_lights,
     monthly_prices,
+    monthly_shipping,
     monthly_trade,
     nations,
     news,
@@ -23,7 +26,10 @@ from registry.standins import (
     sql,
     violence,
     week_panel,
+    yearly_displacement,
+    yearly_governance,
     yearly_macro,
+    yearly_security,
 )
 from tocsin.functions.calendar import days_between, within_days
 from tocsin.functions.scoring import known_flag, short_long_delta
@@ -89,7 +95,7 @@ def panel_typed_counts(spark: SparkSession, sf: str) -> DataFrame:
 def panel_distinct_actors(spark: SparkSession, sf: str) -> DataFrame:
     panel = week_panel(spark, sf)
     stacked = grid.stack_cells(panel, [plans.conflict_cells(conflict(spark, sf))])
-    windows = {f"{role}_7d": F.coalesce(grid.cell_value(role, "c"), F.lit(0)) for role in ("actor1", "actor2")}
+    windows = {f"{role}_7d": F.coalesce(grid.cell_value("c" + role), F.lit(0)) for role in ("actor1", "actor2")}
     return grid.read_panel(stacked, windows, KEYS)
 
 
@@ -108,6 +114,37 @@ def range_distinct_28d(spark: SparkSession, sf: str) -> DataFrame:
     return week_panel(spark, sf).select(*KEYS).join(counted, KEYS, "left").fillna(0, ["actors"])
 
 
+@query(
+    "sketched_actors",
+    sql("""
+    SELECT entity_id, week_start_date, count(DISTINCT actor1_name) FILTER (event_date >= week_start_date - 27) AS actors_28d,
+           count(DISTINCT actor1_name) AS actors_52w, TRUE AS close_28d, TRUE AS close_52w
+    FROM panel LEFT JOIN conf ON conf.country_iso3 = entity_id
+         AND event_date BETWEEN week_start_date - 364 AND week_start_date
+    GROUP BY 1, 2"""),
+)
+def sketched_actors(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact distinct actors of long ranges, and whether the sketched ones are within five standard errors."""
+    rows, panel = conflict(spark, sf), week_panel(spark, sf)
+    ranges = {"28d": grid.TRAILING_28D, "52w": grid.HISTORY_52W}
+    measures = [grid.RangeDistinct(f"about_{suffix}", days, "actor1_name") for suffix, days in ranges.items()]
+    cells = grid.sum_cells(
+        rows, "country_iso3", "event_date", [], "c", plain=grid.sketch_columns(measures, "event_date", "c")
+    )
+    found = grid.read_panel(
+        grid.stack_cells(panel, [cells]), {m.name: grid.range_distinct_estimate(m, "c") for m in measures}, KEYS
+    )
+    for suffix, days in ranges.items():
+        exact = grid.range_distinct(rows, "country_iso3", "event_date", "actor1_name", days, f"actors_{suffix}")
+        found = found.join(exact, KEYS, "left").fillna(0, [f"actors_{suffix}"])
+    error = 5 * 1.04 / 2 ** (measures[0].lg_k / 2)
+    return found.select(
+        *KEYS, *[f"actors_{suffix}" for suffix in ranges],
+        *[(F.abs(F.col(f"about_{s}") - F.col(f"actors_{s}")) <= F.col(f"actors_{s}") * error + 1).alias(f"close_{s}")
+          for s in ranges],
+    )
+
+
 @query(
     "fan_out_30d",
     sql("""
@@ -394,10 +431,7 @@ def truth_cutoff_query(spark: SparkSession, sf: str) -> DataFrame:
 def panel_sources(spark: SparkSession, sf: str) -> plans.PanelSources:
     """All stand-in sources of the full panel."""
     truth = onset_truth(spark, sf)
-    missing_measures = {"trade_exports_3m_change_pct": F.lit(None).cast("double"),
-                        "trade_imports_3m_change_pct": F.lit(None).cast("double")}
-    empty_market = {name: F.lit(None).cast("double") for name in (
-        "market_gas_price_index", "market_fertilizer_price_index", "market_commodity_price_index")}
+    names = nations(spark, sf).select("country_iso3", "country_name")
     return plans.PanelSources(
         news_events=news(spark, sf),
         news_documents=articles(spark, sf),
@@ -406,25 +440,23 @@ def panel_sources(spark: SparkSession, sf: str) -> plans.PanelSources:
         interstate_onsets=truth.where(F.col("onset_type") == "interstate"),
         intrastate_onsets=truth.where(F.col("onset_type") == "intrastate"),
         food=monthly_prices(spark, sf),
-        market=monthly_prices(spark, sf).select(
-            "observation_date", F.col("food_cereal_price_index").alias("market_oil_price_usd_per_barrel")
-        ).withColumns(empty_market),
-        trade=monthly_trade(spark, sf).join(
-            nations(spark, sf).select("country_iso3", "country_name"), "country_iso3"
-        ).withColumns(missing_measures),
-        macro=yearly_macro(spark, sf).withColumn("macro_gdp_growth_annual_pct", F.lit(None).cast("double")),
-        elections=calendar_days(spark, sf).join(
-            nations(spark, sf).select("country_iso3", "country_name"), "country_iso3"
-        ),
+        market=monthly_prices(spark, sf),
+        trade=monthly_trade(spark, sf).join(names, "country_iso3"),
+        shipping=monthly_shipping(spark, sf),
+        climate=monthly_climate(spark, sf),
+        night_lights=monthly_night_lights(spark, sf),
+        security=yearly_security(spark, sf),
+        governance=yearly_governance(spark, sf),
+        displacement=yearly_displacement(spark, sf),
+        macro=yearly_macro(spark, sf),
+        elections=calendar_days(spark, sf).join(names, "country_iso3"),
     )
 
 
 @functools.cache
 def full_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The whole panel over the stand-in sources."""
-    return plans.country_week_features(
-        spark, panel_sources(spark, sf), SNAPSHOT, write_cells=True
-    )
+    return plans.country_week_features(spark, panel_sources(spark, sf), SNAPSHOT)
 
 
 def _in_range(table: str, lo: int, hi: int, columns: str, day: str = "d", entity: str = "country_iso3") -> str:
@@ -432,7 +464,7 @@ def _in_range(table: str, lo: int, hi: int, columns: str, day: str = "d", entity
             f"AND {day} BETWEEN week_start_date + ({lo}) AND week_start_date + ({hi}) GROUP BY 1, 2)")
 
 
-# Only the violence source knows regions.
+# Only the violence source knows regions. Every source has its first week on the list of starts.
 BASE = f"""
     SELECT country_iso3 AS entity_id, country_name,
            CASE WHEN country_iso3 IN (SELECT country_iso3 FROM viol) THEN region_name END AS region_name,
@@ -442,7 +474,9 @@ BASE = f"""
            SELECT min(event_date) AS d FROM newsev UNION ALL SELECT min(document_date) FROM arts
            UNION ALL SELECT min(event_date) FROM conf UNION ALL SELECT min(d) FROM viol_day
            UNION ALL SELECT min(election_date) FROM cal UNION ALL SELECT min(observation_date) FROM trade
-           UNION ALL SELECT make_date(min(year), 1, 1) FROM macro)),
+           UNION ALL SELECT min(observation_date) FROM weather
+           UNION ALL SELECT make_date(min(year), 1, 1) FROM macro
+           UNION ALL SELECT make_date(min(year), 1, 1) FROM arms)),
         CAST(date_trunc('week', DATE '{SNAPSHOT_DAY}') AS DATE), INTERVAL 7 DAY)) AS w)"""
 NEWS_DAY = """
     SELECT country_id AS country_iso3, event_date AS d, count(*) AS n, sum(goldstein_scale) AS g, sum(avg_tone) AS t,
@@ -451,6 +485,31 @@ ARTS_DAY = """
     SELECT document_country_id AS country_iso3, document_date AS d, count(*) AS n, sum(tone_score) AS t
     FROM arts GROUP BY 1, 2"""
 
+#: The conflict columns of 7 and 28 days: panel word -> column of a day.
+WORDS = {"protest": "protests", "riot": "riots", "violence_against_civilians": "vac",
+         "explosions_remote_violence": "erv", "strategic_developments": "strat"}
+CONFLICT_SUMS = "CAST(sum(n) AS BIGINT) AS n, sum(f) AS f, " + ", ".join(
+    f"CAST(sum({c}) AS BIGINT) AS {c}" for c in WORDS.values())
+#: Newest observations: alias -> (table, columns as the panel names them).
+MONTHLY = {
+    "tr": ("trade", ["trade_imports_value_usd", "trade_exports_3m_change_pct", "trade_imports_3m_change_pct"]),
+    "sh": ("ships", ["shipping_lsci_index", "shipping_port_connectivity_index"]),
+    "cl": ("weather", ["climate_drought_severity_index", "climate_temperature_anomaly_c", "climate_precipitation_anomaly_pct"]),
+    "nl": ("lights", ["climate_night_lights_anomaly_pct", "climate_night_lights_zscore"]),
+}
+YEARLY = {
+    "ma": ("macro", ["macro_gdp_growth_annual_pct", "macro_cpi_yoy"]),
+    "se": ("arms", ["security_military_expenditure_usd", "security_military_expenditure_pct_gdp",
+                    "security_arms_import_volume_index"]),
+    "go": ("govern", ["governance_voice_and_accountability", "governance_political_stability",
+                      "governance_government_effectiveness", "governance_regulatory_quality", "governance_rule_of_law",
+                      "governance_control_of_corruption", "governance_score"]),
+    "di": ("fled", ["refugees AS humanitarian_refugees", "asylum_seekers AS humanitarian_asylum_seekers",
+                    "idps AS humanitarian_idps"]),
+}
+NEWEST = ", ".join(f"{alias}.{column}" for group in (MONTHLY, YEARLY) for alias, (_, columns) in group.items()
+                   for column in columns)
+
 FULL_TEXT = f"""
     SELECT b.entity_id AS country_iso3, b.country_name, b.region_name, b.week_start_date,
       CASE WHEN b.week_start_date + 7 <= DATE '{SNAPSHOT_DAY}' THEN CAST(coalesce(vf.f7, 0) > 0 AS BIGINT) END
@@ -460,6 +519,8 @@ FULL_TEXT = f"""
       CASE WHEN b.week_start_date + 30 <= cut THEN CAST(coalesce(o.n30, 0) > 0 AS BIGINT) END AS label_onset_30d,
       CASE WHEN b.week_start_date + 90 <= cut THEN CAST(coalesce(o.n90, 0) > 0 AS BIGINT) END AS label_onset_90d,
       CASE WHEN b.week_start_date + 30 <= cut THEN CAST(coalesce(o.i30, 0) > 0 AS BIGINT) END AS label_interstate_30d,
+      CASE WHEN b.week_start_date + 30 <= cut THEN CAST(coalesce(o.i30, 0) > 0 AS BIGINT) END
+        AS label_interstate_onset_30d,
       CASE WHEN b.week_start_date + 90 <= cut THEN CAST(coalesce(o.i90, 0) > 0 AS BIGINT) END
         AS label_interstate_onset_90d,
       CAST(coalesce(q.f, 0) = 0 AS BIGINT) AS organized_violence_quiet_56d,
@@ -468,20 +529,28 @@ FULL_TEXT = f"""
       round(n7.g / n7.n, 6) AS gdelt_avg_goldstein_7d, round(n7.t / n7.n, 6) AS gdelt_avg_event_tone_7d,
       coalesce(n7.m, 0) AS gdelt_num_mentions_7d, coalesce(n7.a, 0) AS gdelt_num_articles_7d,
       coalesce(a7.n, 0) AS gdelt_document_count_7d, coalesce(a28.n, 0) AS gdelt_document_count_28d,
+      coalesce(a7.n, 0) - coalesce(a28.n, 0) / 4.0 AS gdelt_document_count_7d_delta,
       round(a7.t / a7.n, 6) AS gdelt_avg_document_tone_7d,
-      coalesce(c7.n, 0) AS acled_event_count_7d, coalesce(c7.f, 0) AS acled_fatalities_sum_7d,
+      coalesce(c7.n, 0) AS acled_event_count_7d, coalesce(c7.n, 0) - coalesce(c28.n, 0) / 4.0 AS acled_event_count_7d_delta,
+      coalesce(c7.f, 0) AS acled_fatalities_sum_7d,
       coalesce(c7.f, 0) - coalesce(c28.f, 0) / 4.0 AS acled_fatalities_sum_7d_delta,
-      coalesce(c7.p, 0) AS acled_protest_count_7d, coalesce(c7.p, 0) - coalesce(c28.p, 0) / 4.0
-        AS acled_protest_count_7d_delta,
+      {", ".join(f"coalesce(c7.{c}, 0) AS acled_{w}_count_7d" for w, c in WORDS.items())},
+      coalesce(c7.protests, 0) - coalesce(c28.protests, 0) / 4.0 AS acled_protest_count_7d_delta,
+      coalesce(c7.riots, 0) - coalesce(c28.riots, 0) / 4.0 AS acled_riot_count_7d_delta,
       coalesce(x.x1, 0) AS acled_distinct_actor1_count_7d, coalesce(x.x2, 0) AS acled_distinct_actor2_count_7d,
-      coalesce(c28.n, 0) AS acled_event_count_28d, pr.food_cereal_price_index AS market_oil_price_usd_per_barrel,
-      round(pr.food_price_index, 4) AS food_price_index, round(tr.trade_exports_value_usd, 2) AS trade_exports_value_usd,
+      coalesce(c28.n, 0) AS acled_event_count_28d, coalesce(c28.f, 0) AS acled_fatalities_sum_28d,
+      pr.market_oil_price_usd_per_barrel, pr.market_gas_price_index, pr.market_fertilizer_price_index,
+      pr.market_commodity_price_index, round(pr.food_price_index, 4) AS food_price_index, pr.food_cereal_price_index,
+      round(tr.trade_exports_value_usd, 2) AS trade_exports_value_usd,
       el.days_to AS days_to_next_election, el.days_since AS days_since_last_election,
       CAST(coalesce(el.days_to <= 30, FALSE) AS BIGINT) AS election_upcoming_30d,
+      CAST(coalesce(el.days_to <= 90, FALSE) AS BIGINT) AS election_upcoming_90d,
+      CAST(coalesce(el.days_since <= 30, FALSE) AS BIGINT) AS election_recent_30d,
       CAST(coalesce(el.days_since <= 90, FALSE) AS BIGINT) AS election_recent_90d,
       coalesce(h.n, 0) AS ucdp_history_event_count_52w, coalesce(h.f, 0) AS ucdp_history_best_deaths_52w,
       coalesce(h.s, 0) AS ucdp_history_state_based_events_52w,
-      ma.macro_cpi_yoy, CAST(ma.macro_population_total AS DOUBLE) AS macro_population_total
+      CAST(ma.macro_population_total AS DOUBLE) AS macro_population_total, {NEWEST},
+      TIMESTAMP '{SNAPSHOT}' AS snapshot_ts_utc
     FROM base b
     CROSS JOIN (SELECT least(make_date(max(year), 12, 31), DATE '{SNAPSHOT_DAY}') AS cut FROM truth)
     LEFT JOIN {_in_range("news_day", -6, 0, "CAST(sum(n) AS BIGINT) AS n, sum(g) AS g, sum(t) AS t, sum(m) AS m, sum(a) AS a")} n7
@@ -490,9 +559,9 @@ FULL_TEXT = f"""
     LEFT JOIN {_in_range("arts_day", -6, 0, "CAST(sum(n) AS BIGINT) AS n, sum(t) AS t")} a7
       USING (entity_id, week_start_date)
     LEFT JOIN {_in_range("arts_day", -27, 0, "CAST(sum(n) AS BIGINT) AS n")} a28 USING (entity_id, week_start_date)
-    LEFT JOIN {_in_range("conf_day", -6, 0, "CAST(sum(n) AS BIGINT) AS n, sum(f) AS f, CAST(sum(protests) AS BIGINT) AS p")} c7
+    LEFT JOIN {_in_range("conf_day", -6, 0, CONFLICT_SUMS)} c7
       USING (entity_id, week_start_date)
-    LEFT JOIN {_in_range("conf_day", -27, 0, "CAST(sum(n) AS BIGINT) AS n, sum(f) AS f, CAST(sum(protests) AS BIGINT) AS p")} c28
+    LEFT JOIN {_in_range("conf_day", -27, 0, CONFLICT_SUMS)} c28
       USING (entity_id, week_start_date)
     LEFT JOIN {_in_range("conf", -6, 0, "count(DISTINCT actor1_name) AS x1, count(DISTINCT actor2_name) AS x2", "event_date", "conf.country_iso3")} x
       USING (entity_id, week_start_date)
@@ -508,32 +577,24 @@ FULL_TEXT = f"""
                  min(week_start_date - election_date) FILTER (election_date <= week_start_date) AS days_since
                FROM base JOIN cal ON country_iso3 = entity_id GROUP BY 1, 2) el USING (entity_id, week_start_date)
     ASOF LEFT JOIN prices pr ON b.week_start_date >= pr.observation_date
-    ASOF LEFT JOIN trade tr ON b.entity_id = tr.country_iso3 AND b.week_start_date >= tr.observation_date
-    ASOF LEFT JOIN macro ma ON b.entity_id = ma.country_iso3 AND year(b.week_start_date) >= ma.year"""
+    """ + "".join(
+    f"""ASOF LEFT JOIN {table} {alias} ON b.entity_id = {alias}.country_iso3
+        AND b.week_start_date >= {alias}.observation_date """ for alias, (table, _) in MONTHLY.items()
+) + "".join(
+    f"""ASOF LEFT JOIN {table} {alias} ON b.entity_id = {alias}.country_iso3 AND year(b.week_start_date) >= {alias}.year """
+    for alias, (table, _) in YEARLY.items()
+)
 FULL_PARTS = {"base": BASE, "news_day": NEWS_DAY, "arts_day": ARTS_DAY, "located": LOCALIZED}
 FULL_SQL = sql(FULL_TEXT, **FULL_PARTS)
 
-FULL_COLUMNS = """
-country_iso3 country_name region_name week_start_date label_escalation_7d label_escalation_30d label_onset_30d
-label_onset_90d label_interstate_30d label_interstate_onset_90d organized_violence_quiet_56d gdelt_event_count_7d
-gdelt_event_count_28d gdelt_event_count_7d_delta gdelt_avg_goldstein_7d gdelt_avg_event_tone_7d gdelt_num_mentions_7d
-gdelt_num_articles_7d gdelt_document_count_7d gdelt_document_count_28d gdelt_avg_document_tone_7d acled_event_count_7d
-acled_fatalities_sum_7d acled_fatalities_sum_7d_delta acled_protest_count_7d acled_protest_count_7d_delta
-acled_distinct_actor1_count_7d acled_distinct_actor2_count_7d acled_event_count_28d market_oil_price_usd_per_barrel
-food_price_index trade_exports_value_usd days_to_next_election days_since_last_election election_upcoming_30d
-election_recent_90d ucdp_history_event_count_52w ucdp_history_best_deaths_52w ucdp_history_state_based_events_52w
-macro_cpi_yoy macro_population_total
-""".split()
-
 
 @query("country_week_features", FULL_SQL)
 def country_week_features(spark: SparkSession, sf: str) -> DataFrame:
+    """All 81 columns of the panel."""
     digits = {"gdelt_avg_goldstein_7d": 6, "gdelt_avg_event_tone_7d": 6, "gdelt_avg_document_tone_7d": 6,
               "food_price_index": 4, "trade_exports_value_usd": 2}
     panel = full_panel(spark, sf)
-    doubles = {"gdelt_num_mentions_7d", "gdelt_num_articles_7d", "acled_fatalities_sum_7d", "ucdp_history_best_deaths_52w",
-               "macro_population_total"}
+    panel = panel.withColumn("macro_population_total", F.col("macro_population_total").cast("double"))
     return panel.select(
-        *[rounded(c, digits[c]).alias(c) if c in digits else F.col(c).cast("double").alias(c) if c in doubles else c
-          for c in FULL_COLUMNS]
+        *[rounded(name, digits[name]).alias(name) if name in digits else name for name in panel.columns]
     )

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from registry import query
 from registry.learning import BACKTEST, training_rows
-from registry.panel import FULL_PARTS, full_panel
-from registry.standins import conflict, model_predictions, prediction_panel, read, rounded, sql, week_panel
+from registry.panel import FULL_PARTS, full_panel, panel_sources
+from registry.standins import (
+    SNAPSHOT, conflict, model_predictions, prediction_panel, read, rounded, sql, week_panel,
+)
 from tocsin.functions.scoring import alert_band, freshness_by_days, freshness_by_hours, target_family
 from tocsin.operators import quality
 from tocsin.operators.entity_windows import latest_and_previous, latest_per_key
-from tocsin.plans import alerts, backtest, metrics, publish, serving
+from tocsin.plans import alerts, backtest, layers, metrics, panel, publish, serving
 from tocsin.plans.contracts import CONTRACTS, checked
 from tocsin.session import scratch_dir
 from tocsin.streaming.ingest import ingest_daily_counts
@@ -368,12 +370,60 @@ def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     # Windows need an instant; the files hold local times, which the session zone (UTC) reads unchanged.
     home = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    # Two drops of several files; the second one's days lie among and before those of the first.
-    even_days = F.dayofmonth("ts") % 2 == 0
-    for late in (False, True):
-        events.where(~even_days if late else even_days).write.mode("append").parquet(f"{home}/in")
+    # Three drops of several files; days of a later one lie among and before those of an earlier one, and the last one
+    # adds to days that both have written.
+    drop = F.when(F.hour("ts") == 12, 2).otherwise(F.dayofmonth("ts") % 2)
+    for number in range(3):
+        events.where(drop == number).write.mode("append").parquet(f"{home}/in")
         found = ingest_daily_counts(
             spark, f"{home}/in", schema, "user_id", "ts", base=f"{home}/state", state_partitions=8,
             whole_value=F.sum(F.floor("value")).cast("double"),
         )
     return found
+
+
+def _profile_sql(name: str, rows: str, columns: int, keys: tuple[str, ...], times: int = 1) -> str:
+    """rows: the table as SQL. keys: columns of it whose nulls are counted, with the name behind AS if it differs."""
+    nulls = " || ';' || ".join(
+        f"'{key.split(' AS ')[-1]}=' || count(*) FILTER ({key.split(' AS ')[0]} IS NULL) * {times}" for key in keys
+    )
+    return (f"SELECT '{name}' AS table_name, count(*) * {times} AS row_count, CAST({columns} AS BIGINT) AS column_count, "
+            f"{nulls} AS null_counts FROM {rows}")
+
+
+MONTH, YEAR = ("country_iso3", "observation_date"), ("country_iso3", "year")
+PROFILES = [
+    ("silver_gdelt_events", "newsev", 8, ("country_id", "event_date")),
+    ("silver_gdelt_gkg_documents", "arts", 4, ("document_country_id", "document_date")),
+    ("silver_acled_events", "conf", 11, ("country_iso3", "event_date", "source_record_id")),
+    ("silver_imf_commodity_series", "prices", 7, ("observation_date",)),
+    ("silver_fao_food_price_series", "prices", 7, ("observation_date",)),
+    ("silver_wgi_country_year_snapshot", "govern", 10, YEAR),
+    ("silver_idea_elections", "cal", 3, ("country_iso3", "election_date")),
+    ("silver_noaa_climate_series", "weather", 6, MONTH),
+    ("silver_sipri_security_series", "arms", 6, YEAR),
+    ("silver_nasa_black_marble_night_lights", "lights", 5, MONTH),
+    ("silver_un_comtrade_trade_series", "trade", 7, MONTH),
+    ("silver_unctad_shipping_series", "ships", 5, MONTH),
+    ("silver_unhcr_origin_population", "fled", 6, ("country_iso3 AS country_id", "year")),
+    ("silver_ucdp_events", "viol", 8, ("country_iso3", "event_date_start")),
+    ("silver_ucdp_interstate_onset", "truth WHERE onset_type = 'interstate'", 7, YEAR),
+    ("silver_ucdp_intrastate_onset", "truth WHERE onset_type = 'intrastate'", 7, YEAR),
+    ("silver_wdi_indicator_series", "macro", 6, YEAR),
+    ("gold_country_week_features", "base", 81, ("entity_id AS country_iso3", "week_start_date")),
+    ("gold_entity_day_features", "base", 16, ("entity_id", "week_start_date AS feature_date"), 7),
+    ("gold_entity_day_labels", "base", 16, ("entity_id", "week_start_date AS label_date", "entity_id AS horizon_days"), 21),
+    ("gold_report_inputs", "nat", 22, ("country_iso3 AS report_id", "country_iso3", "country_iso3 AS report_date")),
+    ("gold_social_inputs", "nat", 19, ("country_iso3 AS post_id", "country_iso3 AS platform_name", "country_iso3",
+                                       "country_iso3 AS publish_date")),
+]
+
+
+@query("layer_profiles", sql(" UNION ALL ".join(_profile_sql(*row) for row in PROFILES), **FULL_PARTS))
+def layer_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """All tables of the typed and serving layers, written and profiled while they are written."""
+    root = f"{scratch_dir(spark)}/layers-{uuid.uuid4().hex}"
+    written = layers.write_layers(
+        spark, root, panel_sources(spark, sf), lambda typed: panel.country_week_features(spark, typed, SNAPSHOT)
+    )
+    return written.report

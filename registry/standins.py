@@ -126,31 +126,109 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 @functools.cache
 def monthly_prices(spark: SparkSession, sf: str) -> DataFrame:
-    """Global monthly series."""
+    """Global monthly series of food and market prices."""
     return (
         read(spark, sf, "lineitem")
         .groupBy(F.trunc(F.col("l_shipdate").cast("date"), "month").alias("observation_date"))
-        .agg((F.avg("l_extendedprice") / 1000).alias("food_price_index"), F.max("l_quantity").alias("food_cereal_price_index"))
+        .agg(
+            (F.avg("l_extendedprice") / 1000).alias("food_price_index"), F.max("l_quantity").alias("food_cereal_price_index"),
+            F.max("l_quantity").alias("market_oil_price_usd_per_barrel"),
+            F.count("*").cast("double").alias("market_gas_price_index"),
+            F.min("l_quantity").cast("double").alias("market_fertilizer_price_index"),
+            F.max("l_linenumber").cast("double").alias("market_commodity_price_index"),
+        )
     )
 
 
+def _monthly(rows: DataFrame, country: str, day: str = "event_date"):
+    return rows.groupBy(F.col(country).alias("country_iso3"), F.trunc(day, "month").alias("observation_date"))
+
+
+def _yearly(rows: DataFrame, day: str = "event_date"):
+    return rows.groupBy("country_iso3", "country_name", F.year(day).cast("long").alias("year"))
+
+
 @functools.cache
 def monthly_trade(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly series per nation."""
-    return (
-        news(spark, sf)
-        .groupBy(F.col("country_id").alias("country_iso3"), F.trunc("event_date", "month").alias("observation_date"))
-        .agg(F.sum("price").alias("trade_exports_value_usd"), F.sum("num_mentions").alias("trade_imports_value_usd"))
+    return _monthly(news(spark, sf), "country_id").agg(
+        F.sum("price").alias("trade_exports_value_usd"), F.sum("num_mentions").alias("trade_imports_value_usd"),
+        F.max("num_articles").alias("trade_exports_3m_change_pct"),
+        F.min("num_articles").alias("trade_imports_3m_change_pct"),
+    )
+
+
+def _with_names(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    return rows.join(nations(spark, sf).select("country_iso3", "country_name"), "country_iso3")
+
+
+@functools.cache
+def monthly_shipping(spark: SparkSession, sf: str) -> DataFrame:
+    found = _monthly(news(spark, sf), "country_id").agg(
+        F.count("*").cast("double").alias("shipping_lsci_index"),
+        F.max("num_mentions").cast("double").alias("shipping_port_connectivity_index"),
+    )
+    return _with_names(spark, sf, found)
+
+
+@functools.cache
+def monthly_climate(spark: SparkSession, sf: str) -> DataFrame:
+    found = _monthly(conflict(spark, sf), "country_iso3").agg(
+        (F.sum("fatalities") % 97).alias("climate_drought_severity_index"),
+        F.max("fatalities").alias("climate_temperature_anomaly_c"),
+        F.count("*").cast("double").alias("climate_precipitation_anomaly_pct"),
+    )
+    return _with_names(spark, sf, found)
+
+
+@functools.cache
+def monthly_night_lights(spark: SparkSession, sf: str) -> DataFrame:
+    found = _monthly(news(spark, sf), "country_id").agg(
+        F.min("num_mentions").cast("double").alias("climate_night_lights_anomaly_pct"),
+        F.max("avg_tone").cast("double").alias("climate_night_lights_zscore"),
+    )
+    return _with_names(spark, sf, found)
+
+
+@functools.cache
+def yearly_security(spark: SparkSession, sf: str) -> DataFrame:
+    return _yearly(conflict(spark, sf)).agg(
+        F.sum("fatalities").alias("security_military_expenditure_usd"),
+        F.min("fatalities").alias("security_military_expenditure_pct_gdp"),
+        F.count("*").cast("double").alias("security_arms_import_volume_index"),
+    )
+
+
+@functools.cache
+def yearly_governance(spark: SparkSession, sf: str) -> DataFrame:
+    protests = F.count_if(F.col("event_type_slug") == "protests").cast("double")
+    return _yearly(conflict(spark, sf)).agg(
+        F.count("*").cast("double").alias("governance_voice_and_accountability"),
+        protests.alias("governance_political_stability"),
+        F.max("fatalities").alias("governance_government_effectiveness"),
+        F.min("fatalities").alias("governance_regulatory_quality"),
+        F.count("actor2_name").cast("double").alias("governance_rule_of_law"),
+        F.max("conflict_new_id").cast("double").alias("governance_control_of_corruption"),
+        (F.sum("fatalities") % 101).alias("governance_score"),
     )
 
 
+@functools.cache
+def yearly_displacement(spark: SparkSession, sf: str) -> DataFrame:
+    """Years after 1993 only, so that the first weeks of the panel have none."""
+    rows = conflict(spark, sf).where(F.year("event_date") > 1993)
+    return _yearly(rows).agg(
+        F.sum("fatalities").alias("refugees"), F.count("*").cast("double").alias("asylum_seekers"),
+        F.max("fatalities").alias("idps"),
+    ).withColumnRenamed("country_iso3", "country_id")
+
+
 @functools.cache
 def yearly_macro(spark: SparkSession, sf: str) -> DataFrame:
     """Annual series per nation, even years only, so that odd years take an older value."""
-    return (
-        conflict(spark, sf).where(F.year("event_date") % 2 == 0)
-        .groupBy("country_iso3", "country_name", F.year("event_date").cast("long").alias("year"))
-        .agg(F.count("*").alias("macro_population_total"), F.max("fatalities").alias("macro_cpi_yoy"))
+    return _yearly(conflict(spark, sf).where(F.year("event_date") % 2 == 0)).agg(
+        F.count("*").alias("macro_population_total"), F.max("fatalities").alias("macro_cpi_yoy"),
+        F.min("fatalities").alias("macro_gdp_growth_annual_pct"),
     )
 
 
@@ -298,15 +376,47 @@ CTES = {
         FROM documents JOIN nat ON n_chars % (SELECT count(*) FROM nat) = n_nationkey""",
     "prices": """
         SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS observation_date,
-               avg(l_extendedprice) / 1000 AS food_price_index, max(l_quantity) AS food_cereal_price_index
+               avg(l_extendedprice) / 1000 AS food_price_index, max(l_quantity) AS food_cereal_price_index,
+               max(l_quantity) AS market_oil_price_usd_per_barrel, CAST(count(*) AS DOUBLE) AS market_gas_price_index,
+               CAST(min(l_quantity) AS DOUBLE) AS market_fertilizer_price_index,
+               CAST(max(l_linenumber) AS DOUBLE) AS market_commodity_price_index
         FROM lineitem GROUP BY 1""",
     "trade": """
         SELECT country_id AS country_iso3, CAST(date_trunc('month', event_date) AS DATE) AS observation_date,
-               sum(price) AS trade_exports_value_usd, sum(num_mentions) AS trade_imports_value_usd
+               sum(price) AS trade_exports_value_usd, sum(num_mentions) AS trade_imports_value_usd,
+               max(num_articles) AS trade_exports_3m_change_pct, min(num_articles) AS trade_imports_3m_change_pct
         FROM newsev GROUP BY 1, 2""",
+    "ships": """
+        SELECT country_id AS country_iso3, CAST(date_trunc('month', event_date) AS DATE) AS observation_date,
+               CAST(count(*) AS DOUBLE) AS shipping_lsci_index,
+               CAST(max(num_mentions) AS DOUBLE) AS shipping_port_connectivity_index FROM newsev GROUP BY 1, 2""",
+    "lights": """
+        SELECT country_id AS country_iso3, CAST(date_trunc('month', event_date) AS DATE) AS observation_date,
+               CAST(min(num_mentions) AS DOUBLE) AS climate_night_lights_anomaly_pct,
+               CAST(max(avg_tone) AS DOUBLE) AS climate_night_lights_zscore FROM newsev GROUP BY 1, 2""",
+    "weather": """
+        SELECT country_iso3, CAST(date_trunc('month', event_date) AS DATE) AS observation_date,
+               sum(fatalities) % 97 AS climate_drought_severity_index, max(fatalities) AS climate_temperature_anomaly_c,
+               CAST(count(*) AS DOUBLE) AS climate_precipitation_anomaly_pct FROM conf GROUP BY 1, 2""",
+    "arms": """
+        SELECT country_iso3, country_name, year(event_date) AS year, sum(fatalities) AS security_military_expenditure_usd,
+               min(fatalities) AS security_military_expenditure_pct_gdp,
+               CAST(count(*) AS DOUBLE) AS security_arms_import_volume_index FROM conf GROUP BY 1, 2, 3""",
+    "govern": """
+        SELECT country_iso3, country_name, year(event_date) AS year,
+               CAST(count(*) AS DOUBLE) AS governance_voice_and_accountability,
+               CAST(count(*) FILTER (event_type_slug = 'protests') AS DOUBLE) AS governance_political_stability,
+               max(fatalities) AS governance_government_effectiveness, min(fatalities) AS governance_regulatory_quality,
+               CAST(count(actor2_name) AS DOUBLE) AS governance_rule_of_law,
+               CAST(max(conflict_new_id) AS DOUBLE) AS governance_control_of_corruption,
+               sum(fatalities) % 101 AS governance_score FROM conf GROUP BY 1, 2, 3""",
+    "fled": """
+        SELECT country_iso3, country_name, year(event_date) AS year, sum(fatalities) AS refugees,
+               CAST(count(*) AS DOUBLE) AS asylum_seekers, max(fatalities) AS idps
+        FROM conf WHERE year(event_date) > 1993 GROUP BY 1, 2, 3""",
     "macro": """
         SELECT country_iso3, country_name, year(event_date) AS year, count(*) AS macro_population_total,
-               max(fatalities) AS macro_cpi_yoy
+               max(fatalities) AS macro_cpi_yoy, min(fatalities) AS macro_gdp_growth_annual_pct
         FROM conf WHERE year(event_date) % 2 = 0 GROUP BY 1, 2, 3""",
     "cal": f"""
         SELECT DISTINCT country_iso3, event_date AS election_date FROM conf

@@ -143,3 +143,33 @@ def test_latest_row_asof(spark):
     cutoff = F.lit("2020-02-10").cast("date")
     assert [tuple(r) for r in grid.latest_row_asof(rows, "e", "d", cutoff).collect()] == [("A", day("2020-02-01"), 2)]
     assert [tuple(r) for r in grid.latest_row_asof(rows.drop("e"), None, "d", cutoff).collect()] == [(day("2020-02-01"), 2)]
+
+
+def test_sketches_of_cells_merge(spark):
+    """Estimates of any range stay within five standard errors, and small counts are exact."""
+    import random
+
+    from tocsin.plans import panel as plans
+
+    rng = random.Random(2)
+    data = [("A", day("2024-01-01") + datetime.timedelta(days=rng.randrange(200)), f"x{rng.randrange(4000)}") for _ in range(20_000)]
+    data += [("B", day("2024-02-01"), "one"), ("B", day("2024-02-03"), None), ("B", day("2024-02-04"), "two")]
+    rows = spark.createDataFrame(data, "e string, d date, v string")
+    panel = grid.dense_panel(
+        spark.createDataFrame([("A",), ("B",), ("C",)], "entity_id string"), F.lit("2024-01-01").cast("date"),
+        F.lit("2024-07-01").cast("date"),
+    )
+    spans = {"a": DayRange(-27, 0), "b": DayRange(-364, 0), "c": DayRange(-3, 2), "d": DayRange(1, 30)}
+    measures = [grid.RangeDistinct(name, days, "v", 11) for name, days in spans.items()]
+    cells = grid.sum_cells(rows, "e", "d", [], "c", plain=grid.sketch_columns(measures, "d", "c"))
+    columns = {m.name: grid.range_distinct_estimate(m, "c") for m in measures}
+    found = grid.read_panel(grid.stack_cells(panel, [cells]), columns, ["entity_id", "week_start_date"]).collect()
+    assert len(found) == panel.count()
+    for row in found:
+        for name, days in spans.items():
+            low, high = (row["week_start_date"] + datetime.timedelta(days=k) for k in (days.lo, days.hi))
+            exact = len({v for e, d, v in data if e == row["entity_id"] and low <= d <= high and v is not None})
+            assert abs(row[name] - exact) <= exact * 5 * 1.04 / 2**5.5 + (exact > 50)
+    assert "ObjectHashAggregate" in grid.sum_cells(rows, "e", "d", [], "c", plain=grid.sketch_columns(
+        measures, "d", "c"))._jdf.queryExecution().executedPlan().toString()
+    assert [m.name for m in plans.ActorSketch().measures()][0] == "acled_distinct_actor1_estimate_28d"

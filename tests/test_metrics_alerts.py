@@ -79,7 +79,7 @@ def test_running_totals_do_not_depend_on_the_cuts(spark):
 
 def test_ranked_orders_ties(spark):
     df = spark.createDataFrame([(0.5, "b"), (0.5, "a"), (0.9, "z"), (0.1, "c")], "s double, n string")
-    found = {r["n"]: r["rank"] for r in ranked(df, "s", [F.col("n").asc()], ranges=3).collect()}
+    found = {r["n"]: r["rank"] for r in ranked(df, "s", [F.col("n").asc()]).collect()}
     assert found == {"z": 1, "a": 2, "b": 3, "c": 4}
 
 

@@ -35,7 +35,7 @@ def gold(spark):
         macro=frame("macro", [("UKR", "Ukraine", 2022, 1.0, 2.0, 3.0)]),
         elections=frame("elections", [("FRA", "France", day("2024-01-28"))]),
     )
-    return panel.country_week_features(spark, sources, SNAPSHOT, start="2024-01-01", write_cells=True).cache()
+    return panel.country_week_features(spark, sources, SNAPSHOT, start="2024-01-01").cache()
 
 
 def at(gold, iso3, week):
@@ -266,6 +266,69 @@ def test_stream_equals_batch_over_two_runs(spark, tmp_path):
     assert run() == [("a", day("2022-05-01"), 1, 8.0), ("a", day("2024-01-01"), 2, 5.0), ("a", day("2024-01-02"), 1, 2.0), ("b", day("2024-01-02"), 1, 2.0)]
 
 
+def test_a_batch_replaces_only_its_days_and_may_be_repeated(spark, tmp_path, monkeypatch):
+    from tocsin.streaming import ingest
+
+    schema = "k string, d date, n long"
+    home, keys = str(tmp_path / "home"), ["k", "d"]
+
+    def frame(*rows):
+        return spark.createDataFrame(rows, schema)
+
+    def table():
+        return sorted((tuple(r) for r in ingest.daily_table(spark, f"{home}/table", frame().schema).collect()), key=repr)
+
+    def files(folder="table"):
+        return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "home" / folder).rglob("*.parquet")}
+
+    assert table() == []
+    ingest.upsert_days(frame(("a", day("2024-01-01"), 1), ("a", day("2024-01-02"), 1), (None, day("2024-01-02"), 5)), home, 0, keys, "d")
+    first = files()
+    change = frame(("a", day("2024-01-02"), 2), ("b", day("2024-01-02"), 1), (None, day("2024-01-02"), 6), ("a", day("2024-01-03"), 4))
+    ingest.upsert_days(change, home, 1, keys, "d")
+    expected = sorted([("a", day("2024-01-01"), 1), ("a", day("2024-01-02"), 2), ("b", day("2024-01-02"), 1),
+                       (None, day("2024-01-02"), 6), ("a", day("2024-01-03"), 4)], key=repr)
+    assert table() == expected
+    untouched = [name for name in first if name in files()]
+    assert len(untouched) >= 1 and all(files()[name] == first[name] for name in untouched)
+    ingest.upsert_days(change, home, 1, keys, "d")  # done: nothing happens
+    assert table() == expected
+    size = len(files())
+    for batch in range(2, 6):  # the table does not grow with batches, nor do the folders beside it
+        ingest.upsert_days(frame(("a", day("2024-01-03"), batch)), home, batch, keys, "d")
+    assert len(files()) == size and not files("merged") and not files("changes") and len(files("done")) == 1
+
+    # The run ends between the merged state and the table: the batch comes again and goes on from the merged state.
+    real, calls = ingest.daily_table, []
+
+    def broken(*args):
+        calls.append(args)
+        return real(*args)
+
+    monkeypatch.setattr(ingest, "daily_table", broken)
+    merged = frame(("a", day("2024-01-03"), 70))
+    merged.write.parquet(f"{home}/merged/6")
+    ingest.upsert_days(frame(("z", day("2024-01-01"), 1)), home, 6, keys, "d")
+    assert not calls and ("a", day("2024-01-03"), 70) in table() and ("a", day("2024-01-01"), 1) in table()
+
+
+def test_cells_give_names_start_and_onsets(spark):
+    """Rows without a country or a day count for the start or the names only."""
+    frame = lambda name, rows: spark.createDataFrame(rows, panel.SOURCE_LAYOUTS[name])
+    sources = panel.PanelSources(
+        news_events=frame("news_events", [(None, day("2024-03-07"), 1.0, 1.0, 1.0, 1.0), ("UKR", day("2024-05-01"), 1.0, 1.0, 1.0, 1.0)]),
+        trade=frame("trade", [("FRA", "France", None, 1.0, 1.0, 1.0, 1.0), ("FRA", " ", day("2024-05-01"), 2.0, None, 1.0, 1.0)]),
+    )
+    found = panel.country_week_features(spark, sources, SNAPSHOT, actor_sketch=panel.ActorSketch())
+    rows = found.orderBy("week_start_date").collect()
+    assert {r["country_iso3"] for r in rows} == {"UKR", "FRA"}
+    assert rows[0]["week_start_date"] == day("2024-03-04")
+    assert {r["country_name"] for r in rows if r["country_iso3"] == "FRA"} == {"France"}
+    assert found.columns == [*panel.PANEL_COLUMNS, *[m.name for m in panel.ActorSketch().measures()]]
+    assert at(found, "FRA", "2024-05-06")["trade_exports_value_usd"] == 2.0
+    assert at(found, "UKR", "2024-05-06")["gdelt_event_count_7d"] == 1
+
+
 def test_json_texts_are_valid(spark):
     import json
 

@@ -89,3 +89,63 @@ def test_growing_frames(spark):
     calendar = rows.where("label = 1").select("entity_id", F.col("forecast_date").alias("d"))
     assert grid.nearest_dates(panel, calendar, "entity_id", "d").count() == panel.count()
     assert time.perf_counter() - started < 90
+
+
+def test_scores_are_shuffled_once_for_running_totals(spark, monkeypatch):
+    """The written score table is read by one window; starting values are an aggregate of few rows."""
+    from tocsin.operators import running
+
+    monkeypatch.setattr(running, "ROWS_PER_RANGE", 50)
+    df = spark.range(1000).select((F.col("id") % 500 / 500).alias("s"), F.lit(1).alias("v"))
+    text = plan(running.running_totals(df, "s", ["v"]))
+    assert len(re.findall(r"Exchange hashpartitioning\(_range", text)) <= 2  # scores; partial totals of the ranges
+    assert "Window" in text and "CartesianProduct" not in text
+    assert len(re.findall(r"Scan parquet", text)) == 2
+
+
+def test_every_event_source_is_read_once(spark, tmp_path):
+    """Start, countries and onsets come from the cells; the exact distinct actors are the one further pass."""
+    from registry.panel import panel_sources
+    from tocsin.plans import panel as plans
+
+    fields = {"news_events": "news", "news_documents": "docs", "conflict_events": "conflict", "violence_events": "violence"}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # whole paths in the plan
+    given = panel_sources(spark, FOLDER)
+    written = {}
+    for name, folder in fields.items():
+        frame = getattr(given, name)
+        frame.write.parquet(str(tmp_path / folder))
+        written[name] = spark.read.schema(frame.schema).parquet(str(tmp_path / folder))
+    sources = plans.PanelSources(**{**given.__dict__, **written})
+    cells = plan(plans.source_cells(sources.filled(spark)))
+    assert "Expand" not in cells
+    counts = {folder: len(re.findall(rf"Scan parquet [^\n]*{tmp_path.name}/{folder}\b", cells)) for folder in fields.values()}
+    assert counts == {"news": 1, "docs": 1, "violence": 1, "conflict": 2}
+    whole = plan(plans.country_week_features(spark, sources, "2001-06-15 00:00:00"))
+    assert not re.findall(rf"Scan parquet [^\n]*{tmp_path.name}/(news|docs|violence|conflict)\b", whole)
+
+
+@pytest.mark.parametrize("name", ["panel_distinct_actors", "weekly_conflict_summary"])
+def test_distinct_counts_do_not_expand_rows(spark, name):
+    assert "Expand" not in plan(QUERIES[name](spark, FOLDER))
+
+
+def test_folds_at_every_date_need_no_nested_loop(spark):
+    """3,000 dates and a split at nearly each: membership by number, totals by one running sum."""
+    import time
+
+    from tocsin.plans import folds
+
+    df = spark.range(6000).select(
+        F.expr("date_add(DATE '1990-01-01', CAST(id % 3000 AS INT))").alias("d"), (F.col("id") % 3 == 0).cast("long").alias("label")
+    )
+    splits = folds.walk_forward_splits(df, "d", 100, 5, 1)
+    started = time.perf_counter()
+    rows = folds.fold_rows(df, splits, "d", "validation")
+    for frame in (rows, folds.fold_trainability(df, splits, "d"), folds.prior_rate_scores(df, splits, "d")):
+        assert "NestedLoop" not in plan(frame) and "Cartesian" not in plan(frame)
+    assert rows.count() == 2896 * 5 * 2
+    last = folds.fold_trainability(df, splits, "d").orderBy(F.col("train_row_count").desc()).first()
+    assert (last["train_row_count"], last["validation_row_count"], last["skip_reason"]) == (2995 * 2, 10, None)
+    assert folds.fold_dates(df, splits, "d").where("role = 'train'").count() == sum(range(100, 2996))
+    assert time.perf_counter() - started < 90

@@ -213,3 +213,31 @@ def test_csv_columns_by_name(spark, tmp_path):
     (tmp_path / "2.csv").write_text("a,c,x\n1,2,3\n")
     with pytest.raises(Exception, match="(?i)header|schema"):
         readers.read_csv(spark, str(tmp_path), ["a", "c"]).collect()
+
+
+def test_profiles_are_counted_by_the_write(spark, tmp_path):
+    """One job reads the source, however the table is laid out, and the counts are those of a profile by a scan."""
+    from tocsin.operators.quality import Profile, profile_report, table_profile
+    from tocsin.sources.sinks import write_layer
+
+    source = spark.range(1000).select(
+        F.col("id"), F.date_add(F.lit("2023-06-01").cast("date"), (F.col("id") % 400).cast("int")).alias("d"),
+        F.when(F.col("id") % 7 != 0, F.col("id")).alias("k"),
+    )
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    counted = source.mapInArrow(seen, source.schema)
+    plain, layered = Profile("plain", ["k", "absent"]), Profile("layered", ["d", "k"])
+    path = write_layer(counted, str(tmp_path), "silver", "x", "plain", profile=plain)
+    assert read.value == 1000
+    other = write_layer(source, str(tmp_path), "silver", "x", "layered", date_column="d", sort_by=["k"], profile=layered)
+    found = profile_report(spark, [plain, layered]).collect()
+    expected = [table_profile(spark.read.parquet(path), "plain", ["k", "absent"]).first(),
+                table_profile(spark.read.parquet(other), "layered", ["d", "k"]).first()]
+    assert [tuple(r) for r in found] == [tuple(r) for r in expected]
+    assert found[0]["null_counts"] == "k=143"

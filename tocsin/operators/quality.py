@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
@@ -31,6 +32,38 @@ def table_profile(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
     )
 
 
+PROFILE = "table_name string, row_count long, column_count long, null_counts string"
+
+
+class Profile:
+    """The profile of a table that is counted while the table is written, without a scan of its own.
+
+    The counts stand right before the write, so a task that runs again is counted once.
+    """
+
+    def __init__(self, table: str, keys: Sequence[str]):
+        self.table, self.keys = table, list(keys)
+        self.observation = Observation(f"profile_{table}_{uuid.uuid4().hex}")
+        self.columns = 0
+
+    def observed(self, df: DataFrame) -> DataFrame:
+        self.keys = [key for key in self.keys if key in df.columns]
+        self.columns = len(df.columns)
+        nulls = [F.count_if(F.col(key).isNull()).alias(f"null_{key}") for key in self.keys]
+        return df.observe(self.observation, F.count(F.lit(1)).alias("row_count"), *nulls)
+
+    def row(self) -> tuple[str, int, int, str]:
+        """Known once the table is written."""
+        counts = self.observation.get
+        nulls = ";".join(f"{key}={counts[f'null_{key}']}" for key in self.keys)
+        return self.table, counts["row_count"], self.columns, nulls
+
+
+def profile_report(spark: SparkSession, profiles: Sequence[Profile]) -> DataFrame:
+    """One row per written table, in the form of ``table_profile``."""
+    return spark.createDataFrame([profile.row() for profile in profiles], PROFILE)
+
+
 def profile_tables(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
     """Profiles of several tables as one frame."""
     return reduce(

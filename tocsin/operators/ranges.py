@@ -36,9 +36,10 @@ def part_of(row: str = "_row") -> Column:
 
 
 def positions(
-    df: DataFrame, group: str, order: Sequence[Column], write: Callable[[DataFrame, str], DataFrame]
+    df: DataFrame, group: str, order: Sequence[Column], write: Callable[[DataFrame, str], DataFrame], pos: str = "pos",
+    total: str = "n",
 ) -> DataFrame:
-    """Add ``pos`` (0-based place in its group) and ``n`` (rows of the group).
+    """Add ``pos`` (0-based place in its group) and ``n`` (rows of the group), or columns of the names given.
 
     ``group`` must not be null. ``write`` keeps a table in shared storage and returns it read back.
     """
@@ -51,12 +52,12 @@ def positions(
     starts = write(
         sizes.select(
             group, "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-            F.sum("_rows").over(whole).alias("n"),
+            F.sum("_rows").over(whole).alias("_total"),
         ),
         "starts",
     )
     if starts.count() <= MOST_STARTS:
         starts = F.broadcast(starts)
     return kept.withColumn("_part", part_of()).join(starts, [group, "_part"]).select(
-        *df.columns, (F.col("_row") - F.col("_first") + F.col("_before")).alias("pos"), "n"
+        *df.columns, (F.col("_row") - F.col("_first") + F.col("_before")).alias(pos), F.col("_total").alias(total)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tocsin.functions.scoring import CLEAR_LEAD_MARGIN
 from tocsin.operators.entity_windows import episodes
-from tocsin.operators.running import RANGES, running_totals
+from tocsin.operators.running import running_totals
 
 ENTITY, DATE, PROBABILITY, LABEL = "entity_id", "forecast_date", "calibrated_probability", "label"
 
@@ -110,7 +110,7 @@ def recalled_episodes(episode_starts: DataFrame, alerts: DataFrame) -> DataFrame
     )
 
 
-def threshold_sweep(predictions: DataFrame, gap_days: int, ranges: int = RANGES) -> DataFrame:
+def threshold_sweep(predictions: DataFrame, gap_days: int, ranges: int | None = None) -> DataFrame:
     """Alert counts and episode recall at every distinct score as the threshold.
 
     No threshold is tried one by one. A row starts an alert exactly for thresholds in (m, s]: s is its own score

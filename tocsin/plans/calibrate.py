@@ -1,4 +1,4 @@
-"""Probability calibration on Spark ML."""
+"""Probability calibration: pooled blocks of scores, or a logistic curve by Spark ML."""
 
 from __future__ import annotations
 
@@ -8,9 +8,12 @@ from pyspark.ml import Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
+from tocsin.operators.isotonic import IsotonicMap, isotonic_map
+from tocsin.plans.metrics import classification_metrics
+from tocsin.session import kept
+
 ISOTONIC, SIGMOID = "isotonic", "sigmoid"
 
 
@@ -19,13 +22,12 @@ class Calibrator:
     """A fitted map from raw score to probability."""
 
     method: str
-    model: Transformer
+    model: Transformer | IsotonicMap
 
     def apply(self, df: DataFrame, score: str = "raw_score", out: str = "calibrated_probability") -> DataFrame:
-        prepared = df.withColumn("_score", F.col(score).cast("double"))
         if self.method == ISOTONIC:
-            scored = self.model.setFeaturesCol("_score").setPredictionCol("_calibrated").transform(prepared)
-            return scored.select(*df.columns, F.col("_calibrated").alias(out))
+            return self.model.apply(df, score, out)
+        prepared = df.withColumn("_score", F.col(score).cast("double"))
         vector = VectorAssembler(inputCols=["_score"], outputCol="_vector").transform(prepared)
         scored = self.model.transform(vector)
         return scored.select(*df.columns, F.get(vector_to_array("_calibrated"), F.lit(1)).alias(out))
@@ -33,17 +35,17 @@ class Calibrator:
 
 def fit_calibrator(df: DataFrame, method: str, score: str = "raw_score", label: str = "label") -> Calibrator:
     """Fit on labeled scores. Equal scores are merged first, with their number of rows as weight."""
-    known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    value = F.col(score).cast("double")
+    known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(value))
     if method == ISOTONIC:
-        merged = known.groupBy(F.col(score).cast("double").alias("_score")).agg(
-            F.avg(F.col(label).cast("double")).alias("_label"), F.count("*").cast("double").alias("_rows")
+        merged = known.groupBy(value.alias("score")).agg(
+            F.count("*").alias("rows"), F.count_if(F.col(label) == 1).alias("positives")
         )
-        model = IsotonicRegression(featuresCol="_score", labelCol="_label", weightCol="_rows").fit(merged)
-        return Calibrator(method, model)
+        return Calibrator(method, isotonic_map(merged, kept))
     if method == SIGMOID:
-        merged = known.groupBy(
-            F.col(score).cast("double").alias("_score"), F.col(label).cast("double").alias("_label")
-        ).agg(F.count("*").cast("double").alias("_rows"))
+        merged = known.groupBy(value.alias("_score"), F.col(label).cast("double").alias("_label")).agg(
+            F.count("*").cast("double").alias("_rows")
+        )
         rows = known.count()
         vector = VectorAssembler(inputCols=["_score"], outputCol="_vector").transform(merged)
         model = LogisticRegression(
@@ -62,3 +64,23 @@ def calibrate_model(predictions: DataFrame, model_name: str, method: str = ISOTO
         raise ValueError(f"No out-of-fold predictions of model {model_name}.")
     calibrator = fit_calibrator(rows, method)
     return calibrator, calibrator.apply(rows)
+
+
+@dataclass(frozen=True)
+class CalibrationRun:
+    """Calibrator of one model, its calibrated out-of-fold rows, and one row of metrics of them."""
+
+    calibrator: Calibrator
+    predictions: DataFrame
+    metrics: DataFrame
+
+
+def calibration_run(
+    predictions: DataFrame, model_name: str, method: str = ISOTONIC, threshold: float = 0.5
+) -> CalibrationRun:
+    """Fit, apply and measure. The calibrated rows are written once, since the metrics read them several times."""
+    calibrator, rows = calibrate_model(predictions, model_name, method)
+    rows = kept(rows, "calibrated")
+    metrics = classification_metrics(rows, "calibrated_probability", threshold=threshold)
+    named = metrics.select(F.lit(model_name).alias("model_name"), F.lit(method).alias("calibration_method"), "*")
+    return CalibrationRun(calibrator, rows, named)

@@ -33,14 +33,89 @@ def walk_forward_splits(
     return chosen.select(F.format_string("split_%02d", F.col("split_no")).alias("split_id"), *KEYS)
 
 
+def _numbered(splits: DataFrame) -> DataFrame:
+    """Splits with their number by the end of training. Calendar-sized."""
+    return splits.withColumn("_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("train_end", "split_id")))
+
+
 def fold_dates(df: DataFrame, splits: DataFrame, date: str) -> DataFrame:
-    """(date, split_id, role): which dates train and which validate each split. Calendar-sized."""
-    dates = df.select(F.col(date).alias("_date")).where(F.col("_date").isNotNull()).distinct()
-    in_train = F.col("_date").between(F.col("train_start"), F.col("train_end"))
-    in_validation = F.col("_date").between(F.col("validation_start"), F.col("validation_end"))
-    return (
-        dates.join(splits, in_train | in_validation)
-        .select("split_id", F.col("_date").alias(date), F.when(in_train, "train").otherwise("validation").alias("role"))
+    """(date, split_id, role): which dates train and which validate each split.
+
+    Later splits start and end later, or at the same date. So the splits that hold a date are those from the first one
+    that ends at or after it to the last one that starts at or before it: four numbers, read from growing frames over
+    dates and borders together, which are calendar-sized. No date is compared with a split.
+    """
+    numbered = _numbered(splits)
+    sides = {"train_start": "_ts", "train_end": "_te", "validation_start": "_vs", "validation_end": "_ve"}
+    nothing = F.lit(None).cast("int")
+    borders = numbered.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.col(side).alias("_date"),
+                        *[(F.col("_no") if name == own else nothing).alias(name) for name in sides.values()],
+                        F.lit(False).alias("_is_date"),
+                    )
+                    for side, own in sides.items()
+                ]
+            )
+        )
+    )
+    dates = df.select(F.col(date).alias("_date")).where(F.col("_date").isNotNull()).distinct().select(
+        "_date", *[nothing.alias(name) for name in sides.values()], F.lit(True).alias("_is_date")
+    )
+    calendar = Window.partitionBy(F.lit(0))
+    until, since = calendar.orderBy(F.col("_date").asc()), calendar.orderBy(F.col("_date").desc())
+    placed = dates.unionByName(borders).select(
+        "_date", "_is_date",
+        F.min("_te").over(since).alias("_first_train"), F.max("_ts").over(until).alias("_last_train"),
+        F.min("_ve").over(since).alias("_first_check"), F.max("_vs").over(until).alias("_last_check"),
+    ).where("_is_date")
+
+    def held(first: str, last: str, role: str):
+        numbers = F.when(F.col(first) <= F.col(last), F.sequence(first, last))
+        return F.transform(F.coalesce(numbers, F.array().cast("array<int>")),
+                           lambda no: F.struct(no.alias("_no"), F.lit(role).alias("role")))
+
+    members = placed.select(
+        F.col("_date").alias(date),
+        F.inline(F.concat(held("_first_train", "_last_train", "train"), held("_first_check", "_last_check", "validation"))),
+    )
+    return members.join(numbered.select("_no", "split_id"), "_no").select("split_id", date, "role")
+
+
+def fold_totals(per_date: DataFrame, splits: DataFrame, date: str, values: list[str]) -> DataFrame:
+    """Totals of the values over the training and the validation dates of every split, as train_<v> and validation_<v>.
+
+    One running total over the calendar, read at the four borders of each split; windows that grow cost nothing more.
+    """
+    empty = {value: F.lit(0).cast("long").alias(value) for value in values}
+    sides = ["train_start", "train_end", "validation_start", "validation_end"]
+    borders = splits.select(
+        "split_id", F.inline(F.array(*[F.struct(F.col(side).alias("_date"), F.lit(side).alias("_side")) for side in sides]))
+    ).select("_date", "split_id", "_side", *empty.values())
+    missing = F.lit(None).cast("string")
+    days = per_date.select(
+        F.col(date).alias("_date"), missing.alias("split_id"), missing.alias("_side"),
+        *[F.col(value).cast("long").alias(value) for value in values],
+    )
+    upto = Window.partitionBy(F.lit(0)).orderBy("_date")  # rows of one date together
+    of_day = Window.partitionBy("_date")
+    summed = days.unionByName(borders).select(
+        "split_id", "_side",
+        *[F.sum(value).over(upto).alias(f"_to_{value}") for value in values],
+        *[(F.sum(value).over(upto) - F.sum(value).over(of_day)).alias(f"_before_{value}") for value in values],
+    ).where(F.col("split_id").isNotNull())
+
+    def at(side: str, column: str):
+        return F.max(F.when(F.col("_side") == side, F.col(column)))
+
+    return summed.groupBy("split_id").agg(
+        *[
+            (at(f"{role}_end", f"_to_{value}") - at(f"{role}_start", f"_before_{value}")).alias(f"{role}_{value}")
+            for role in ("train", "validation") for value in values
+        ]
     )
 
 
@@ -61,16 +136,12 @@ def fold_trainability(df: DataFrame, splits: DataFrame, date: str, prior_only: b
         F.count_if(F.col("label") == 1).alias("positives"),
         F.count_if(F.col("label") == 0).alias("negatives"),
     )
-    members = fold_dates(df, splits, date).join(per_date, date)
-
-    def total(role: str, column: str):
-        return F.coalesce(F.sum(F.when(F.col("role") == role, F.col(column))), F.lit(0))
-
-    counted = splits.select("split_id").join(members, "split_id", "left").groupBy("split_id").agg(
-        total("train", "positives").alias("train_positive_count"),
-        total("train", "negatives").alias("train_negative_count"),
-        total("validation", "positives").alias("validation_positive_count"),
-        total("validation", "negatives").alias("validation_negative_count"),
+    totals = fold_totals(per_date, splits, date, ["positives", "negatives"])
+    counted = totals.select(
+        "split_id", F.col("train_positives").alias("train_positive_count"),
+        F.col("train_negatives").alias("train_negative_count"),
+        F.col("validation_positives").alias("validation_positive_count"),
+        F.col("validation_negatives").alias("validation_negative_count"),
     ).withColumns(
         {
             "train_row_count": F.col("train_positive_count") + F.col("train_negative_count"),
@@ -89,10 +160,8 @@ def fold_trainability(df: DataFrame, splits: DataFrame, date: str, prior_only: b
 def prior_rate_scores(df: DataFrame, splits: DataFrame, date: str) -> DataFrame:
     """Validation rows scored with the positive rate of their training slice."""
     per_date = df.groupBy(date).agg(F.sum("label").alias("_positives"), F.count("label").alias("_rows"))
-    members = fold_dates(df, splits, date)
-    rates = (
-        members.where(F.col("role") == "train").join(per_date, date).groupBy("split_id")
-        .agg((F.sum("_positives") / F.sum("_rows")).alias("raw_score"))
+    rates = fold_totals(per_date, splits, date, ["_positives", "_rows"]).select(
+        "split_id", (F.col("train__positives") / F.col("train__rows")).alias("raw_score")
     )
-    validating = members.where(F.col("role") == "validation").join(rates, "split_id").drop("role")
+    validating = fold_dates(df, splits, date).where(F.col("role") == "validation").join(rates, "split_id").drop("role")
     return df.join(validating, date)

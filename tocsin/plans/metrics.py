@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tocsin.functions.scoring import clip01
-from tocsin.operators.running import RANGES, running_totals
+from tocsin.operators.running import running_totals
 
 BINS = 5
 
@@ -25,13 +25,13 @@ def score_table(df: DataFrame, probability: str, label: str = "label", groups: S
     )
 
 
-def cumulative_scores(scores: DataFrame, groups: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+def cumulative_scores(scores: DataFrame, groups: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Score table with true and false positives at each score as the threshold."""
     return running_totals(scores, "score", ["positives", "negatives"], groups, ranges)
 
 
 def precision_recall_curve(
-    df: DataFrame, probability: str, label: str = "label", groups: Sequence[str] = (), ranges: int = RANGES
+    df: DataFrame, probability: str, label: str = "label", groups: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Threshold, precision and recall at every distinct score."""
     curve = cumulative_scores(score_table(df, probability, label, groups), groups, ranges)
@@ -77,7 +77,7 @@ CURVE_METRICS = ["pr_auc", "roc_auc", "top_k_risk_hit_rate"]
 
 
 def ranking_curve_metrics(
-    df: DataFrame, probability: str, label: str = "label", groups: Sequence[str] = (), ranges: int = RANGES
+    df: DataFrame, probability: str, label: str = "label", groups: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """pr_auc, roc_auc and top_k_risk_hit_rate per group.
 
@@ -126,7 +126,7 @@ def _rates(counted: DataFrame, keep: Sequence[str], groups: Sequence[str]) -> Da
 
 def classification_metrics(
     df: DataFrame, probability: str, label: str = "label", threshold: float = 0.5, groups: Sequence[str] = (),
-    next_event: str | None = None, date: str | None = None, ranges: int = RANGES,
+    next_event: str | None = None, date: str | None = None, ranges: int | None = None,
 ) -> DataFrame:
     """One row per group with all metrics but the calibration curve.
 
@@ -167,7 +167,7 @@ def grouped_metrics(
 
 def calibration_curve(
     df: DataFrame, probability: str, label: str = "label", groups: Sequence[str] = (), bins: int = BINS,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Mean score and observed rate per quantile bin; a single row when only one class occurs.
 

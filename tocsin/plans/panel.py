@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Sequence
+from dataclasses import dataclass, field, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tocsin.functions.calendar import days_between, week_start, within_days
 from tocsin.functions.scoring import known_flag, short_long_delta
-from tocsin.functions.text import blank_to_null
+from tocsin.functions.text import blank_to_null, upper_key
 from tocsin.operators import grid
 from tocsin.operators.grid import RangeSum
 from tocsin.operators.onset import localize_onsets, stack_onsets, truth_cutoff
-from tocsin.sources.countries import country_dimension, metadata_projection
+from tocsin.sources.countries import merged_dimension
 from tocsin.sources.normalize import SERIES
-from tocsin.session import cut_lineage
+from tocsin.session import kept
 from tocsin.sources.schemas import GOVERNANCE_COMPONENTS, INDICATOR_COLUMNS
 
 # Panel columns in table order.
@@ -169,21 +171,62 @@ def typed_conflict_rows(events: DataFrame) -> DataFrame:
     return events.withColumns(flags)
 
 
-def conflict_cells(events: DataFrame, prefix: str = "c") -> DataFrame:
-    """Cells of the conflict events with exact distinct actors per 7 days."""
-    return grid.sum_cells(
-        typed_conflict_rows(events), "country_iso3", "event_date", CONFLICT_SUMS, prefix,
-        actor1=F.count_distinct("actor1_name"), actor2=F.count_distinct("actor2_name"),
+#: Who counts as an actor of a conflict event.
+ACTORS = {"actor1": "actor1_name", "actor2": "actor2_name"}
+
+
+@dataclass(frozen=True)
+class ActorSketch:
+    """Estimated distinct actors over long ranges, as columns of their own beside the exact ones of 7 days.
+
+    ranges: the suffix of the column and its days. lg_k: see ``grid.RangeDistinct``.
+    """
+
+    ranges: dict[str, grid.DayRange] = field(
+        default_factory=lambda: {"28d": grid.TRAILING_28D, "52w": grid.HISTORY_52W}
     )
+    lg_k: int = 12
 
+    def measures(self) -> list[grid.RangeDistinct]:
+        return [
+            grid.RangeDistinct(f"acled_distinct_{role}_estimate_{suffix}", days, column, self.lg_k)
+            for role, column in ACTORS.items() for suffix, days in self.ranges.items()
+        ]
 
-def violence_cells(events: DataFrame, prefix: str = "v") -> DataFrame:
-    """Cells of the violence events, with a name and region of the country for the dimension."""
-    rows = events.withColumn("is_state_based", (F.coalesce("type_of_violence", F.lit(0)) == 1).cast("long"))
-    return grid.sum_cells(
-        rows, "country_iso3", "event_date_start", VIOLENCE_SUMS, prefix,
-        name=F.min(blank_to_null("country_name")), region=F.min(blank_to_null("region_name")),
+
+# What every cell of the panel carries beside its own columns.
+FIRST_DAY, NAME, REGION, ORDER = "_first_day", "_name", "_region", "_order"
+
+
+def _also(day: str, name: str | None = None, region: str | None = None) -> dict[str, Column]:
+    """First day and first known name and region of a cell."""
+    missing = F.lit(None).cast("string")
+    return {
+        FIRST_DAY: F.min(F.col(day).cast("date")),
+        NAME: F.min(blank_to_null(name) if name else missing),
+        REGION: F.min(blank_to_null(region) if region else missing),
+    }
+
+
+def conflict_cells(events: DataFrame, prefix: str = "c", sketch: ActorSketch | None = None, **shape) -> DataFrame:
+    """Cells of the conflict events. Counts and exact distinct actors are parts of a cell of their own.
+
+    The distinct part reads only keys and actors; sums and sketches share the other pass.
+    """
+    plain = {**shape.pop("plain", {})}
+    if sketch:
+        plain |= grid.sketch_columns(sketch.measures(), "event_date", prefix)
+    sums = grid.sum_cells(
+        typed_conflict_rows(events), "country_iso3", "event_date", CONFLICT_SUMS, prefix, plain=plain, **shape
     )
+    actors = grid.distinct_cells(events, "country_iso3", "event_date", ACTORS)
+    renamed = actors.withColumnsRenamed({role: prefix + role for role in ACTORS})
+    return sums.unionByName(renamed, allowMissingColumns=True)
+
+
+def violence_cells(events: DataFrame, prefix: str = "v", **shape) -> DataFrame:
+    rows = events.withColumn("is_state_based", (F.coalesce("type_of_violence", F.lit(0)) == 1).cast("long"))
+    return grid.sum_cells(rows, "country_iso3", "event_date_start", VIOLENCE_SUMS, prefix, **shape)
 
 
 def onset_cells(onsets: DataFrame, prefix: str = "o") -> DataFrame:
@@ -191,46 +234,76 @@ def onset_cells(onsets: DataFrame, prefix: str = "o") -> DataFrame:
     return grid.sum_cells(rows, "country_iso3", "onset_date", ONSET_SUMS, prefix)
 
 
-def panel_dimension(
-    sources: PanelSources, violence: DataFrame, code_only: list[DataFrame], dictionary: DataFrame | None = None
-) -> DataFrame:
-    """Countries of the panel with the first known name and region.
+#: Sources that name countries, in the order in which a name is taken; the others know codes only.
+NAMING = (
+    "macro", "governance", "elections", "climate", "security", "night_lights", "trade", "shipping", "violence_events",
+    "displacement",
+)
+GOVERNANCE_MEASURES = [*GOVERNANCE_COMPONENTS.values(), "governance_score"]
+DISPLACED = ["refugees", "asylum_seekers", "idps"]
+
+
+def source_cells(s: PanelSources, sketch: ActorSketch | None = None) -> DataFrame:
+    """Cells of all sources that have countries under one another: one aggregate per source, and one more for actors.
 
-    The event sources enter by their cells (``violence`` and ``code_only``), which are already small.
+    A cell also holds its first day and a name and region of its country, so the start of the panel, its list of
+    countries and the dates of onsets are read from the cells. Violence cells are split by conflict and year for that.
+    Rows without a country or day stay in cells of their own, which count for the start or the names only.
     """
-    named = [
-        sources.macro, sources.governance, sources.elections, sources.climate, sources.security,
-        sources.night_lights, sources.trade, sources.shipping,
+
+    def asof(name: str, day: Column, measures: Sequence[str], entity: str = "country_iso3") -> DataFrame:
+        return grid.asof_cells(
+            getattr(s, name), entity, day, measures, f"at_{name}", plain=_also("_day", "country_name"), placed=False
+        )
+
+    conflicts = F.col("conflict_new_id").cast("long")
+    parts = {
+        "news_events": grid.sum_cells(
+            s.news_events, "country_id", "event_date", NEWS_EVENT_SUMS, "n", plain=_also("event_date"), placed=False
+        ),
+        "news_documents": grid.sum_cells(
+            s.news_documents, "document_country_id", "document_date", NEWS_DOCUMENT_SUMS, "d",
+            plain=_also("document_date"), placed=False,
+        ),
+        "conflict_events": conflict_cells(s.conflict_events, sketch=sketch, plain=_also("event_date"), placed=False),
+        "violence_events": violence_cells(
+            s.violence_events, by={"_conflict": conflicts, "_year": F.col("year").cast("long")},
+            plain=_also("event_date_start", "country_name", "region_name"), placed=False,
+        ),
+        "elections": grid.date_cells(
+            s.elections, "country_iso3", "election_date", "e", plain=_also("_day", "country_name"), placed=False
+        ),
+        "governance": asof("governance", grid.year_day("year"), GOVERNANCE_MEASURES),
+        "macro": asof("macro", grid.year_day("year"), list(INDICATOR_COLUMNS.values())),
+        "security": asof("security", grid.year_day("year"), SERIES["security"].measures),
+        "displacement": asof("displacement", grid.year_day("year"), DISPLACED, "country_id"),
+        **{
+            name: asof(name, F.col("observation_date"), SERIES[name].measures)
+            for name in ("trade", "shipping", "climate", "night_lights")
+        },
+    }
+    ordered = [
+        cells.withColumn(ORDER, F.lit(NAMING.index(name) if name in NAMING else len(NAMING)))
+        for name, cells in parts.items()
     ]
-    metadata = [metadata_projection(frame) for frame in named]
-    metadata.append(metadata_projection(violence, iso3=grid.ENTITY, name="vname", region="vregion"))
-    metadata.append(metadata_projection(sources.displacement, iso3="country_id"))
-    keys = [cells.select(F.col(grid.ENTITY).alias("country_iso3")) for cells in code_only]
-    return country_dimension(metadata, dictionary, keys)
-
-
-def inferred_start(sources: PanelSources, current_week: Column) -> Column:
-    """Earliest week of any dated or annual source, else the current week."""
-    bounds = grid.panel_bounds(
-        [
-            (sources.news_events, "event_date"),
-            (sources.news_documents, "document_date"),
-            (sources.conflict_events, "event_date"),
-            (sources.violence_events, "event_date_start"),
-            (sources.elections, "election_date"),
-            (sources.climate, "observation_date"),
-            (sources.night_lights, "observation_date"),
-            (sources.trade, "observation_date"),
-            (sources.shipping, "observation_date"),
-        ],
-        [
-            (sources.macro, "year"),
-            (sources.governance, "year"),
-            (sources.security, "year"),
-            (sources.displacement, "year"),
-        ],
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ordered)
+
+
+def cell_dimension(cells: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """Countries of the cells with the first known name and region."""
+    named = cells.where(F.col(grid.ENTITY).isNotNull()).groupBy(
+        upper_key(grid.ENTITY).alias("country_iso3"), F.col(ORDER).alias("source_order")
+    ).agg(F.min(NAME).alias("country_name"), F.min(REGION).alias("region_name"))
+    return merged_dimension(named, dictionary)
+
+
+def cell_onsets(cells: DataFrame, onsets: DataFrame) -> DataFrame:
+    """Onsets dated by the first days of the violence cells, which are split by conflict and year."""
+    days = cells.where((F.col(ORDER) == NAMING.index("violence_events"))).select(
+        F.col(grid.ENTITY).alias("country_iso3"), F.col("_year").alias("year"), F.col("_conflict").alias("conflict_new_id"),
+        F.col(FIRST_DAY).alias("event_date_start"),
     )
-    return F.coalesce(bounds.select("start_date").scalar(), current_week)
+    return localize_onsets(days, onsets)
 
 
 def country_week_features(
@@ -240,74 +313,47 @@ def country_week_features(
     start: str | None = None,
     end: str | None = None,
     dictionary: DataFrame | None = None,
-    write_cells: bool = False,
+    actor_sketch: ActorSketch | None = None,
 ) -> DataFrame:
     """The full panel: one row per country and week with all features and labels.
 
-    Each source is aggregated to weekly cells; all cells and the panel skeleton are stacked and read by one
-    window pass per country. Values without a country (market, food) are searched on the calendar alone.
+    Each source is aggregated to weekly cells, and the cells of all sources are written to the shared folder as one
+    table. They are tiny next to the events; everything else starts from them, so that no event is scanned again, and a
+    lost executor costs a read of the cells. Cells and the panel skeleton are stacked and read by one window pass per
+    country. Values without a country (market, food) are searched on the calendar alone.
 
-    With ``write_cells`` the cells of the four event sources are written to the shared folder first. They are
-    tiny next to the events, the events are then scanned once although cells feed both the panel and its list of
-    countries, and a lost executor costs a read of the cells. Use it when the sources are large.
+    ``actor_sketch`` adds estimated distinct actors of longer ranges behind the fixed columns.
     """
     s = sources.filled(spark)
-    keep = cut_lineage if write_cells else (lambda cells: cells)
-    news = keep(grid.sum_cells(s.news_events, "country_id", "event_date", NEWS_EVENT_SUMS, "n"))
-    documents = keep(
-        grid.sum_cells(s.news_documents, "document_country_id", "document_date", NEWS_DOCUMENT_SUMS, "d")
-    )
-    conflicts, violence = keep(conflict_cells(s.conflict_events)), keep(violence_cells(s.violence_events))
+    if start and end and end < start:
+        raise ValueError("The panel must not end before it starts.")
+    cells = kept(source_cells(s, actor_sketch), "cells")
     snapshot = F.lit(snapshot_ts).cast("timestamp")
     snapshot_day = snapshot.cast("date")
     current_week = week_start(snapshot_day)
-    first_week = week_start(F.lit(start).cast("date")) if start else inferred_start(s, current_week)
+    earliest = cells.agg(week_start(F.min(FIRST_DAY)).alias("start_date")).scalar()
+    first_week = week_start(F.lit(start).cast("date")) if start else F.coalesce(earliest, current_week)
     last_week = F.least(week_start(F.lit(end).cast("date")), current_week) if end else current_week
-    if start and end and end < start:
-        raise ValueError("The panel must not end before it starts.")
 
-    dimension = panel_dimension(s, violence, [news, documents, conflicts], dictionary)
-    panel = grid.dense_panel(dimension, first_week, last_week).withColumnRenamed("country_iso3", grid.ENTITY)
+    panel = grid.dense_panel(cell_dimension(cells, dictionary), first_week, last_week).withColumnRenamed(
+        "country_iso3", grid.ENTITY
+    )
     onset_frames = {"interstate": s.interstate_onsets, "intrastate": s.intrastate_onsets}
-    onsets = localize_onsets(s.violence_events, stack_onsets(onset_frames))
+    onsets = cell_onsets(cells, stack_onsets(onset_frames))
     onset_known_until = truth_cutoff(list(onset_frames.values()), snapshot_day)
-
-    def dated(name: str) -> DataFrame:
-        return grid.asof_cells(
-            getattr(s, name), "country_iso3", F.col("observation_date"), SERIES[name].measures, f"at_{name}"
-        )
-
-    def yearly(name: str, measures: list[str], entity: str = "country_iso3") -> DataFrame:
-        return grid.asof_cells(getattr(s, name), entity, grid.year_day("year"), measures, f"at_{name}")
-
-    governance_columns = [*GOVERNANCE_COMPONENTS.values(), "governance_score"]
-    displaced = ["refugees", "asylum_seekers", "idps"]
+    placed = cells.where(F.col(grid.ENTITY).isNotNull() & F.col(grid.WEEK).isNotNull())
     stacked = grid.stack_cells(
-        panel,
-        [
-            news,
-            documents,
-            conflicts,
-            violence.drop("vname", "vregion"),
-            onset_cells(onsets),
-            dated("trade"),
-            dated("shipping"),
-            dated("climate"),
-            dated("night_lights"),
-            yearly("security", list(SERIES["security"].measures)),
-            yearly("governance", governance_columns),
-            yearly("macro", list(INDICATOR_COLUMNS.values())),
-            yearly("displacement", displaced, "country_id"),
-            grid.date_cells(s.elections, "country_iso3", "election_date", "e"),
-        ],
+        panel, [placed.drop(FIRST_DAY, NAME, REGION, ORDER, "_conflict", "_year"), onset_cells(onsets)]
     )
     windows: dict[str, Column] = {}
     for prefix, measures in (
         ("n", NEWS_EVENT_SUMS), ("d", NEWS_DOCUMENT_SUMS), ("c", CONFLICT_SUMS), ("v", VIOLENCE_SUMS), ("o", ONSET_SUMS),
     ):
         windows.update({measure.name: grid.range_sum(measure, prefix) for measure in measures})
-    for role in ("actor1", "actor2"):
-        windows[f"acled_distinct_{role}_count_7d"] = F.coalesce(grid.cell_value(role, "c"), F.lit(0))
+    for role in ACTORS:
+        windows[f"acled_distinct_{role}_count_7d"] = F.coalesce(grid.cell_value("c" + role), F.lit(0))
+    estimates = actor_sketch.measures() if actor_sketch else []
+    windows.update({measure.name: grid.range_distinct_estimate(measure, "c") for measure in estimates})
     asof_names = (
         "trade", "shipping", "climate", "night_lights", "security", "governance", "macro", "displacement",
     )
@@ -322,7 +368,8 @@ def country_week_features(
     # One row per week of the panel (a century has 5,218), so this side is small whatever the sources hold.
     joined = read.join(F.broadcast(shared), "week_start_date", "left")
     return joined.select(
-        *[column.alias(name) for name, column in _panel_columns(snapshot, snapshot_day, onset_known_until).items()]
+        *[column.alias(name) for name, column in _panel_columns(snapshot, snapshot_day, onset_known_until).items()],
+        *[measure.name for measure in estimates],
     )
 
 
@@ -409,10 +456,14 @@ def weekly_document_summary(documents: DataFrame) -> DataFrame:
 def weekly_conflict_summary(events: DataFrame) -> DataFrame:
     """Conflict events per country and calendar week: counts by type, deaths, distinct actors."""
     known = typed_conflict_rows(events.where(F.col("country_iso3").isNotNull() & F.col("event_date").isNotNull()))
-    return known.groupBy("country_iso3", week_start("event_date").alias("week_start_date")).agg(
+    sums = known.groupBy("country_iso3", week_start("event_date").alias("week_start_date")).agg(
         F.count("source_record_id").alias("acled_event_count_7d"),
         F.sum(F.coalesce("fatalities", F.lit(0.0))).alias("acled_fatalities_sum_7d"),
         *[F.sum(f"is_{word}").alias(f"acled_{word}_count_7d") for word in CONFLICT_TYPES.values()],
-        F.count_distinct("actor1_name").alias("acled_distinct_actor1_count_7d"),
-        F.count_distinct("actor2_name").alias("acled_distinct_actor2_count_7d"),
     )
+    actors = grid.distinct_cells(events, "country_iso3", "event_date", ACTORS, week=week_start).select(
+        F.col(grid.ENTITY).alias("country_iso3"), grid.WEEK, *ACTORS
+    )
+    both = sums.join(actors, ["country_iso3", "week_start_date"], "left")
+    counts = {f"acled_distinct_{role}_count_7d": F.coalesce(role, F.lit(0)) for role in ACTORS}
+    return both.select(*sums.columns, *[count.alias(name) for name, count in counts.items()])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows once as a table in the shared folder and go on from the table."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/kept-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

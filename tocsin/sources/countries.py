@@ -166,10 +166,16 @@ def country_dimension(
                 F.lit(None).cast("string").alias("region_name"), F.lit(len(parts)).alias("source_order"),
             )
         )
-    united = reduce(DataFrame.unionByName, parts).where(is_country_code("country_iso3"))
+    return merged_dimension(reduce(DataFrame.unionByName, parts), dictionary)
+
+
+def merged_dimension(named: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """One row per valid code of rows (country_iso3, country_name, region_name, source_order): the known name and region
+    of the lowest order."""
 
     def first_known(column: str) -> Column:
         return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("source_order"))).alias(column)
 
-    keys = united.groupBy("country_iso3").agg(first_known("country_name"), first_known("region_name"))
+    valid = named.where(is_country_code("country_iso3"))
+    keys = valid.groupBy("country_iso3").agg(first_known("country_name"), first_known("region_name"))
     return join_metadata(keys, dictionary)

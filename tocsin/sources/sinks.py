@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tocsin.operators.quality import Profile
+
 
 def layer_path(root: str, layer: str, dataset: str, table: str) -> str:
     return f"{root.rstrip('/')}/{layer}/{dataset}/{table}"
@@ -11,13 +13,13 @@ def layer_path(root: str, layer: str, dataset: str, table: str) -> str:
 
 def write_layer(
     df: DataFrame, root: str, layer: str, dataset: str, table: str, *, date_column: str | None = None,
-    sort_by: list[str] | None = None,
+    sort_by: list[str] | None = None, profile: Profile | None = None,
 ) -> str:
     """Write one table as Parquet and return its folder.
 
     With ``date_column`` the table is partitioned by year and the rows of a year are spread over tasks by the
     sort key, so that no single task writes a whole year. ``sort_by`` orders rows inside files for row-group
-    pruning on the key.
+    pruning on the key. ``profile`` is filled by the tasks that write.
     """
     path = layer_path(root, layer, dataset, table)
     if date_column is not None:
@@ -26,6 +28,8 @@ def write_layer(
     if sort_by:
         leading = ["part_year"] if date_column is not None else []
         df = df.sortWithinPartitions(*leading, *sort_by)
+    if profile is not None:
+        df = profile.observed(df)
     writer = df.write.mode("overwrite")
     if date_column is not None:
         writer = writer.partitionBy("part_year")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -37,14 +39,65 @@ def daily_counts(events: DataFrame, entity: str, ts: str, lateness: str | None,
     )
 
 
-def write_updates(counts: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Start a run over all files at hand; every batch writes its changed rows under its own batch id.
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    A batch that is repeated after a failure overwrites its own folder, so no update is lost or doubled.
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found, system = _path(spark, path)
+    return system.exists(found)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found, system = _path(spark, path)
+    system.delete(found, True)
+
+
+def daily_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table by day as it stands; empty before the first batch."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def upsert_days(changes: DataFrame, home: str, batch_id: int, keys: Sequence[str], day: str) -> None:
+    """Replace the rows of the changed keys in ``home/table``, which has a folder for each day.
+
+    Only the days that occur among the changes are read and written again. The new state of these days is written whole
+    to ``home/merged`` first; the table's folders are replaced from there, which can be repeated at any point. A batch
+    that is done leaves a mark, so the same batch given again changes nothing. The days of a batch are listed on the
+    driver: a calendar, however many rows there are.
     """
+    spark = changes.sparkSession
+    table, merged, done = f"{home}/table", f"{home}/merged/{batch_id}", f"{home}/done/{batch_id}"
+    if _exists(spark, f"{done}/_SUCCESS"):
+        return
+    if not _exists(spark, f"{merged}/_SUCCESS"):
+        given = f"{home}/changes/{batch_id}"
+        changes.write.mode("overwrite").parquet(given)
+        new = spark.read.schema(changes.schema).parquet(given)
+        days = [row[0] for row in new.select(day).distinct().collect()]
+        old = daily_table(spark, table, changes.schema).where(F.col(day).isin(days))
+        named = new.select(*[F.col(key).alias(f"_{key}") for key in keys])
+        same = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys])
+        old.join(named, same, "left_anti").unionByName(new).write.mode("overwrite").parquet(merged)
+    rows = spark.read.schema(changes.schema).parquet(merged)
+    others = [key for key in keys if key != day]
+    (
+        rows.repartitionByRange(day, *others).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(day).parquet(table)
+    )
+    spark.range(0, 1, 1, 1).write.mode("overwrite").parquet(done)
+    for folder in (merged, f"{home}/changes/{batch_id}", f"{home}/done/{batch_id - 1}"):
+        _delete(spark, folder)
+
+
+def write_updates(counts: DataFrame, home: str, keys: Sequence[str], day: str, checkpoint: str) -> StreamingQuery:
+    """Start a run over all files at hand; every batch puts its changed rows into the table by day."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        upsert_days(batch, home, batch_id, keys, day)
 
     return (
         counts.writeStream.outputMode("update")
@@ -55,20 +108,11 @@ def write_updates(counts: DataFrame, table: str, checkpoint: str) -> StreamingQu
     )
 
 
-def current_rows(spark: SparkSession, table: str, keys: list[str], schema: T.StructType) -> DataFrame:
-    """Newest version of each row: the one of the latest batch that changed it."""
-    stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    updates = spark.read.schema(stored).parquet(table)
-    values = [field.name for field in schema.fields if field.name not in keys]
-    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_row"))
-    return newest.select(*keys, "_row.*")
-
-
 def ingest_daily_counts(
     spark: SparkSession, folder: str, schema: T.StructType, entity: str, ts: str, *, glob: str | None = None,
     lateness: str | None = None, base: str | None = None, state_partitions: int | None = None, **aggregates: Column,
 ) -> DataFrame:
-    """Process all files at hand and return the daily counts so far.
+    """Process all files at hand and return the daily counts so far, read from a table with a folder for each day.
 
     ``base`` keeps table and checkpoint between runs; without it a fresh folder of the shared scratch area is used.
     ``state_partitions`` fixes the number of state partitions at the first run (default: the shuffle partitions of
@@ -81,8 +125,9 @@ def ingest_daily_counts(
     try:
         if state_partitions is not None:
             spark.conf.set(setting, str(state_partitions))
-        query = write_updates(counts, f"{home}/table", f"{home}/checkpoint")  # the stream takes the setting at its start
+        # The stream takes the setting at its start.
+        query = write_updates(counts, home, [entity, "event_date"], "event_date", f"{home}/checkpoint")
     finally:
         spark.conf.set(setting, before)
     query.awaitTermination()
-    return current_rows(spark, f"{home}/table", [entity, "event_date"], counts.schema)
+    return daily_table(spark, f"{home}/table", counts.schema)
