@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+from functools import reduce
+from types import SimpleNamespace
+
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from registry import query
 from registry.standins import (
@@ -10,7 +15,8 @@ from registry.standins import (
 )
 from tocsin.operators import entity_windows as ew
 from tocsin.plans import backtest, calibrate, explain, folds, labels, models
-from tocsin.session import cut_lineage
+from tocsin.session import cut_lineage, scratch_dir
+from tocsin.sources import sinks
 
 HORIZON, LOOKBACK = 7, 5
 ONSET = labels.LabelDefinition("t", labels.ONSET, "error_count", LOOKBACK, forecast_threshold=4.0, quiet_threshold=2.0)
@@ -57,6 +63,16 @@ def row_labels_escalation(spark: SparkSession, sf: str) -> DataFrame:
     return labels.build_labels(daily_users(spark, sf), ESCALATION, HORIZON).select(*LABEL_COLUMNS)
 
 
+@query("clustered_labels", sql(ONSET_SQL))
+def clustered_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels over a written table in buckets of the entity, which the windows read without a shuffle."""
+    root = f"{scratch_dir(spark)}/clustered-{uuid.uuid4().hex}"
+    users = sinks.write_clustered(
+        daily_users(spark, sf), root, "gold", "users", "days", entity="entity_id", day="as_of_date", buckets=8
+    )
+    return labels.build_labels(users, ONSET, HORIZON).select(*LABEL_COLUMNS)
+
+
 @query("row_labels_threshold", sql(labeled_sql("value_sum", "future_sum >= 100")))
 def row_labels_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return labels.build_labels(daily_users(spark, sf), LEVEL, HORIZON).select(*LABEL_COLUMNS)
@@ -200,11 +216,9 @@ def precomputed_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "prior_join",
-    sql("""SELECT entity_id, forecast_date, n28, round(calibrated_probability, 6) AS structural_prior_score
-           FROM pred LEFT JOIN (SELECT entity_id, forecast_date, calibrated_probability AS calibrated_probability
-                                FROM pred WHERE n28 % 3 = 0) USING (entity_id, forecast_date)""".replace(
-               "round(calibrated_probability, 6)", "round(slow, 6)").replace(
-               "calibrated_probability AS calibrated_probability", "calibrated_probability AS slow")),
+    sql("""SELECT entity_id, forecast_date, n28, round(slow, 6) AS structural_prior_score
+           FROM pred LEFT JOIN (SELECT entity_id, forecast_date, calibrated_probability AS slow
+                                FROM pred WHERE n28 % 3 = 0) USING (entity_id, forecast_date)"""),
 )
 def prior_join(spark: SparkSession, sf: str) -> DataFrame:
     rows = prediction_panel(spark, sf)
@@ -229,11 +243,29 @@ def standardize_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("entity_id", "entity_name", "forecast_date", "target_name", "horizon_days", "model_name")
 
 
-# --- trained models: learned values, so rows are checked without SQL ------------------------------------------
+# --- trained models ----------------------------------------------------------------------------------------------
+# Learned values have no SQL. These queries return every row with what SQL does know, and true or false for what must
+# hold of the learned part: scores in range, the gradient at the optimum, sums that must agree.
 
 FEATURES = ("n7", "n28", "second_probability")
 SPLIT = {"min_train": 156, "validation": 52, "step": 52, "max_splits": None}
 
+# Splits of the panel weeks whose training slice has both classes, and the rows that they validate.
+FOLDS = {
+    "cuts": """
+    SELECT 'split_' || lpad(CAST(CAST((k - 156) // 52 AS INT) AS VARCHAR), 2, '0') AS split_id, train_start, train_end,
+           validation_start, validation_end
+    FROM (SELECT row_number() OVER (ORDER BY d) AS k, min(d) OVER () AS train_start, d AS train_end,
+                 lead(d, 1) OVER (ORDER BY d) AS validation_start, lead(d, 52) OVER (ORDER BY d) AS validation_end
+          FROM (SELECT DISTINCT forecast_date AS d FROM pred))
+    WHERE k >= 156 AND (k - 156) % 52 = 0 AND validation_end IS NOT NULL""",
+    "trainable": """
+    SELECT cuts.*, (SELECT avg(label) FROM pred WHERE forecast_date BETWEEN train_start AND train_end) AS rate FROM cuts""",
+    "folds": """
+    SELECT entity_id, entity_name, region_name, forecast_date, label, split_id, rate
+    FROM pred JOIN trainable ON forecast_date BETWEEN validation_start AND validation_end""",
+}
+
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Nation-weeks with features and label, written once for all fits."""
@@ -250,29 +282,104 @@ def out_of_fold(spark: SparkSession, sf: str, spec: models.ModelSpec) -> DataFra
     )
 
 
-@query("logit_scores")
+def is_share(column: str) -> Column:
+    return F.coalesce(F.col(column).between(0.0, 1.0), F.lit(False))
+
+
+def checked_scores(spark: SparkSession, sf: str, spec: models.ModelSpec) -> DataFrame:
+    """Every validation row of every trainable fold once, and whether its score is a share."""
+    scored = out_of_fold(spark, sf, spec)
+    return scored.withColumn("is_share", is_share("raw_score")).drop("raw_score")
+
+
+def scores_sql(model: str) -> str:
+    return sql(f"""SELECT entity_id, forecast_date AS as_of_date, label, split_id, '{model}' AS model_name, TRUE AS is_share
+                   FROM folds WHERE rate > 0 AND rate < 1""", **FOLDS)
+
+
+@query("logit_scores", scores_sql("logit"))
 def logit_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return out_of_fold(spark, sf, models.ModelSpec("logit", models.LOGISTIC))
+    return checked_scores(spark, sf, models.ModelSpec("logit", models.LOGISTIC))
 
 
-@query("elastic_net_scores")
+@query("elastic_net_scores", scores_sql("elastic"))
 def elastic_net_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return out_of_fold(spark, sf, models.ModelSpec("elastic", models.ELASTIC_NET))
+    return checked_scores(spark, sf, models.ModelSpec("elastic", models.ELASTIC_NET))
 
 
-@query("forest_scores")
+@query("forest_scores", scores_sql("forest"))
 def forest_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return out_of_fold(spark, sf, models.ModelSpec("forest", models.FOREST))
+    return checked_scores(spark, sf, models.ModelSpec("forest", models.FOREST))
 
 
-@query("gbt_scores")
+@query("gbt_scores", scores_sql("boosted"))
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return out_of_fold(spark, sf, models.ModelSpec("boosted", models.BOOSTED))
+    return checked_scores(spark, sf, models.ModelSpec("boosted", models.BOOSTED))
+
+
+@query(
+    "zero_filled",
+    sql("""SELECT entity_id, forecast_date, CAST(CASE WHEN n7 % 3 = 0 THEN 0 ELSE n7 END AS DOUBLE) AS n7,
+                  CASE WHEN n28 % 5 = 0 THEN 0.0::DOUBLE ELSE second_probability END AS second_probability FROM pred"""),
+)
+def zero_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing features and features that are no number become zero."""
+    rows = prediction_panel(spark, sf).select(
+        "entity_id", "forecast_date", F.when(F.col("n7") % 3 != 0, F.col("n7")).alias("n7"),
+        F.when(F.col("n28") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("second_probability")).alias("second_probability"),
+    )
+    return models.zero_filled(rows, ["n7", "second_probability"])
+
+
+def optimum_checks(rows: DataFrame, fitted: models.FittedModel, counts: tuple[int, int], penalty: float, l1: float) -> DataFrame:
+    """For each coefficient whether the weighted mean loss with its penalty has no descent there, one aggregate."""
+    scored = models.balanced(fitted.score(models.zero_filled(rows, FEATURES)), counts)
+    gap = F.col(models.WEIGHT) * (F.col("raw_score") - F.col("label"))
+    total = F.sum(models.WEIGHT)
+    means = scored.agg(
+        *[(F.sum(gap * F.col(name)) / total).alias(name) for name in FEATURES], (F.sum(gap) / total).alias("intercept"),
+        *[F.avg(F.abs(name)).alias(f"size_{name}") for name in FEATURES],
+    )
+    checks = [F.struct(F.lit("intercept").alias("coefficient"), (F.abs("intercept") < 1e-3).alias("at_optimum"))]
+    for name, value in zip(FEATURES, fitted.model.coefficients.toArray()):
+        slope = F.col(name) + float(penalty * (1 - l1) * value)
+        pull = float(penalty * l1)
+        descent = F.abs(slope + (pull if value > 0 else -pull)) if value else F.greatest(F.abs(slope) - pull, F.lit(0.0))
+        checks.append(
+            F.struct(F.lit(name).alias("coefficient"), (descent < 1e-3 * (1 + F.col(f"size_{name}"))).alias("at_optimum"))
+        )
+    return means.select(F.inline(F.array(*checks)))
+
+
+OPTIMUM_SQL = "SELECT unnest(['intercept', 'n7', 'n28', 'second_probability']) AS coefficient, TRUE AS at_optimum"
 
 
-@query("structural_prior_scores")
+@query("logit_optimum", OPTIMUM_SQL)
+def logit_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitted logistic regression lies where its gradient vanishes."""
+    rows = training_rows(spark, sf)
+    counts = models.class_counts(rows)
+    fitted = models.fit_model(rows, models.ModelSpec("logit", models.LOGISTIC), FEATURES, counts=counts)
+    return optimum_checks(rows, fitted, counts, 1.0 / sum(counts), 0.0)
+
+
+@query("elastic_net_optimum", OPTIMUM_SQL)
+def elastic_net_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitted elastic net lies where no step descends, at kinks too."""
+    rows = training_rows(spark, sf)
+    counts = models.class_counts(rows)
+    fitted = models.fit_model(rows, models.ModelSpec("elastic", models.ELASTIC_NET), FEATURES, counts=counts)
+    return optimum_checks(rows, fitted, counts, 1.0 / sum(counts), 0.5)
+
+
+@query(
+    "structural_prior_scores",
+    sql("""SELECT entity_id, forecast_date AS as_of_date, split_id IS NOT NULL AS has_prior, TRUE AS is_share
+           FROM pred LEFT JOIN (SELECT entity_id, forecast_date, split_id FROM folds WHERE rate > 0 AND rate < 1)
+                USING (entity_id, forecast_date)""", **FOLDS),
+)
 def structural_prior_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Out-of-fold scores of a slow model become a feature of a faster one."""
+    """Out-of-fold scores of a slow model become a feature of a faster one; rows without such a score count as zero."""
     rows = training_rows(spark, sf)
     slow = out_of_fold(spark, sf, models.ModelSpec("slow", models.LOGISTIC))
     features = [*FEATURES, "structural_prior_score"]
@@ -280,7 +387,10 @@ def structural_prior_scores(spark: SparkSession, sf: str) -> DataFrame:
         rows, cut_lineage(slow), "entity_id", "as_of_date", score_date="as_of_date", score="raw_score"
     )
     model = models.fit_model(fast, models.ModelSpec("fast", models.LOGISTIC), features)
-    return model.score(fast).select("entity_id", "as_of_date", "structural_prior_score", "raw_score")
+    return model.score(fast).select(
+        "entity_id", "as_of_date", F.col("structural_prior_score").isNotNull().alias("has_prior"),
+        is_share("raw_score").alias("is_share"),
+    )
 
 
 # Pooled shares as largest mean from here back of smallest mean from here on; scores in thousandths keep that short.
@@ -349,10 +459,85 @@ def calibration_metrics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("sigmoid_calibrated")
+@query(
+    "sigmoid_calibrated",
+    sql("""SELECT entity_id, forecast_date, label, raw_score, TRUE AS is_share, TRUE AS rises, TRUE AS keeps_total
+           FROM scored""", **ISOTONIC),
+)
 def sigmoid_calibrated(spark: SparkSession, sf: str) -> DataFrame:
-    scores = out_of_fold(spark, sf, models.ModelSpec("logit", models.LOGISTIC))
-    return calibrate.calibrate_model(scores, "logit", calibrate.SIGMOID)[1]
+    """Calibrated by a logistic curve that rises with the score; at its optimum the probabilities sum to the positives."""
+    found = cut_lineage(calibrate.calibrate_model(customer_scores(spark, sf), "customers", calibrate.SIGMOID)[1])
+    whole = found.agg(
+        F.struct(
+            F.corr("raw_score", "calibrated_probability").alias("direction"),
+            F.avg(F.col("calibrated_probability") - F.col("label")).alias("gap"),
+            F.covar_pop("raw_score", F.col("label")).alias("trend"),
+        ).alias("s")
+    ).scalar()
+    return found.select(
+        "entity_id", "forecast_date", "label", "raw_score", is_share("calibrated_probability").alias("is_share"),
+        (whole.getField("direction") * F.signum(whole.getField("trend")) > 0).alias("rises"),
+        (F.abs(whole.getField("gap")) < 1e-4).alias("keeps_total"),
+    )
+
+
+# --- explanation ---------------------------------------------------------------------------------------------------
+
+#: Coefficients of a linear model that nobody fitted, so that SQL knows its contributions.
+GIVEN = dict(zip(FEATURES, (0.25, -0.5, 3.0)))
+GIVEN_SQL = {
+    "parts": "SELECT entity_id, forecast_date, unnest(['n7', 'n28', 'second_probability']) AS feature, "
+    "unnest([n7 * 0.25, n28 * -0.5, second_probability * 3.0]) AS contribution FROM pred",
+}
+
+
+def given_model() -> models.FittedModel:
+    return models.FittedModel(
+        models.ModelSpec("given", models.LOGISTIC), FEATURES, model=SimpleNamespace(coefficients=Vectors.dense(*GIVEN.values()))
+    )
+
+
+@query(
+    "linear_contributions",
+    sql("""SELECT entity_id, forecast_date, feature, round(contribution, 6) AS contribution FROM parts""", **GIVEN_SQL),
+)
+def linear_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    found = explain.long_contributions(prediction_panel(spark, sf), [(given_model(), 2.0)], ["entity_id", "forecast_date"])
+    return found.withColumn("contribution", rounded("contribution", 6))
+
+
+@query(
+    "linear_drivers",
+    sql("""
+    SELECT entity_id, forecast_date,
+           coalesce(string_agg(feature || ' ' || k, ',' ORDER BY k) FILTER (contribution > 0 AND k <= 2), '') AS top_positive,
+           coalesce(string_agg(feature || ' ' || l, ',' ORDER BY l) FILTER (contribution < 0 AND l <= 2), '') AS top_negative
+    FROM (SELECT *, row_number() OVER (w ORDER BY contribution DESC, feature) AS k,
+                 row_number() OVER (w ORDER BY contribution, feature) AS l
+          FROM parts WINDOW w AS (PARTITION BY entity_id, forecast_date))
+    GROUP BY 1, 2""", **GIVEN_SQL),
+)
+def linear_drivers(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of the two largest contributions of each sign, with their rank."""
+    found = explain.signed_drivers(prediction_panel(spark, sf), [(given_model(), 1.0)], 2)
+
+    def named(column: str) -> Column:
+        return F.array_join(F.transform(column, lambda x, i: F.concat_ws(" ", x["feature"], (i + 1).cast("string"))), ",")
+
+    return found.select(
+        "entity_id", "forecast_date", named("top_positive_drivers").alias("top_positive"),
+        named("top_negative_drivers").alias("top_negative"),
+    )
+
+
+@query(
+    "linear_importance",
+    sql("""SELECT feature, round(avg(abs(contribution)), 6) AS mean_absolute_contribution FROM parts GROUP BY 1
+           ORDER BY 2 DESC, 1 LIMIT 2""", **GIVEN_SQL),
+)
+def linear_importance(spark: SparkSession, sf: str) -> DataFrame:
+    found = explain.global_importance(prediction_panel(spark, sf), [(given_model(), 1.0)], 2)
+    return found.withColumn("mean_absolute_contribution", rounded("mean_absolute_contribution", 6))
 
 
 def fitted_members(spark: SparkSession, sf: str) -> list[tuple[models.FittedModel, float]]:
@@ -365,59 +550,163 @@ def fitted_members(spark: SparkSession, sf: str) -> list[tuple[models.FittedMode
     return [(logit, 2.0), (forest, 1.0)]
 
 
-@query("signed_drivers")
+def in_order(column: str, sign: int) -> Column:
+    """At most n contributions, all of one sign, largest first."""
+    values = F.transform(column, lambda x: x["contribution"] * sign)
+    return F.forall(values, lambda v: v > 0) & (values == F.reverse(F.array_sort(values)))
+
+
+@query(
+    "signed_drivers",
+    sql("""SELECT entity_id, forecast_date AS as_of_date, TRUE AS positive_in_order, TRUE AS negative_in_order,
+                  TRUE AS at_most_two FROM pred"""),
+)
 def signed_drivers(spark: SparkSession, sf: str) -> DataFrame:
-    return explain.signed_drivers(training_rows(spark, sf), fitted_members(spark, sf), 2).select(
-        "entity_id", "as_of_date", "top_positive_drivers", "top_negative_drivers"
+    found = explain.signed_drivers(training_rows(spark, sf), fitted_members(spark, sf), 2)
+    return found.select(
+        "entity_id", "as_of_date", in_order("top_positive_drivers", 1).alias("positive_in_order"),
+        in_order("top_negative_drivers", -1).alias("negative_in_order"),
+        (F.greatest(F.size("top_positive_drivers"), F.size("top_negative_drivers")) <= 2).alias("at_most_two"),
     )
 
 
-@query("global_importance")
+@query(
+    "tree_contributions",
+    sql("""SELECT entity_id, forecast_date AS as_of_date, TRUE AS adds_up FROM pred"""),
+)
+def tree_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    """Boosted trees: base and contributions of each row add up to the logarithm of its odds."""
+    rows = training_rows(spark, sf)
+    fitted = models.fit_model(rows, models.ModelSpec("boosted", models.BOOSTED), FEATURES)
+    explained = explain.explained_rows(fitted.score(rows), [(fitted, 1.0)])
+    total = F.aggregate(explain.ITEMS, F.lit(0.0), lambda sum_, x: sum_ + x["contribution"]) + explain.base_value(fitted)
+    odds = F.log(F.col("raw_score") / (1 - F.col("raw_score")))
+    return explained.select("entity_id", "as_of_date", (F.abs(total - odds) < 1e-6 * (1 + F.abs(odds))).alias("adds_up"))
+
+
+@query("global_importance", "SELECT unnest(['n7', 'n28', 'second_probability']) AS feature, TRUE AS is_mean")
 def global_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return explain.global_importance(training_rows(spark, sf), fitted_members(spark, sf), 5)
+    """The means over rows are those of the contributions in long form."""
+    rows, members = training_rows(spark, sf), fitted_members(spark, sf)
+    long = explain.long_contributions(rows, members, ["entity_id", "as_of_date"])
+    means = long.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean"))
+    found = explain.global_importance(rows, members, 5).join(means, "feature")
+    return found.select("feature", (F.abs(F.col("mean_absolute_contribution") - F.col("mean")) < 1e-9).alias("is_mean"))
 
 
-@query("long_contributions")
+@query(
+    "long_contributions",
+    sql("""SELECT entity_id, forecast_date AS as_of_date, unnest(['n7', 'n28', 'second_probability']) AS feature,
+                  TRUE AS is_number FROM pred"""),
+)
 def long_contributions(spark: SparkSession, sf: str) -> DataFrame:
-    return explain.long_contributions(
+    found = explain.long_contributions(
         training_rows(spark, sf), fitted_members(spark, sf), ["entity_id", "as_of_date"]
     )
+    number = F.col("contribution").isNotNull() & ~F.isnan("contribution")
+    return found.select("entity_id", "as_of_date", "feature", number.alias("is_number"))
 
 
-@query("batch_predictions")
+@query(
+    "batch_predictions",
+    sql("""SELECT entity_id, entity_name, forecast_date, 'label_escalation_30d' AS target_name,
+                  CAST(30 AS BIGINT) AS horizon_days, 'ensemble' AS model_name, 'v1' AS model_version,
+                  'isotonic' AS calibration_method, TRUE AS is_share, TRUE AS has_hash FROM pred"""),
+)
 def batch_predictions(spark: SparkSession, sf: str) -> DataFrame:
     rows = training_rows(spark, sf)
     members = fitted_members(spark, sf)
     calibrator = calibrate.fit_calibrator(models.weighted_score(members, rows), calibrate.ISOTONIC)
-    return models.predict(
+    found = models.predict(
         rows, members, calibrator, entity="entity_id", name="entity_name", date="as_of_date", target="label_escalation_30d",
         horizon=30, model_name="ensemble", model_version="v1", calibration_method=calibrate.ISOTONIC,
     )
+    return found.select(
+        "entity_id", "entity_name", "forecast_date", "target_name", "horizon_days", "model_name", "model_version",
+        "calibration_method", (is_share("raw_score") & is_share("calibrated_probability")).alias("is_share"),
+        (F.length("feature_snapshot_hash") == 64).alias("has_hash"),
+    )
 
 
 BACKTEST = backtest.BacktestSpec(
     models=(models.ModelSpec("logit", models.LOGISTIC), models.ModelSpec("prior_rate", models.PRIOR_RATE)),
-    features=FEATURES, primary_model="logit", target="label_escalation_30d", horizon=30, **SPLIT,
+    features=FEATURES, primary_model="logit", target="label_escalation_30d", horizon=30, groups=("region_name",), **SPLIT,
 )
 
 
-@query("backtest_predictions")
+@query(
+    "backtest_predictions",
+    sql("""SELECT entity_id, forecast_date, model_name, split_id, label,
+                  CASE WHEN model_name = 'prior_rate' THEN round(rate, 9) END AS prior_score, TRUE AS is_share
+           FROM folds, (SELECT unnest(['logit', 'prior_rate']) AS model_name)
+           WHERE model_name = 'prior_rate' OR (rate > 0 AND rate < 1)""", **FOLDS),
+)
 def backtest_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of both models; the score of the prior rate is known to SQL, raw and calibrated."""
+    prior = F.col("model_name") == "prior_rate"
+    both = F.when(F.col("raw_score") == F.col("calibrated_probability"), rounded("raw_score", 9))
     return backtest.backtest_predictions(training_rows(spark, sf), BACKTEST).select(
-        "entity_id", "forecast_date", "model_name", "split_id", "label", "raw_score", "calibrated_probability",
-        "feature_snapshot_hash",
+        "entity_id", "forecast_date", "model_name", "split_id", "label", F.when(prior, both).alias("prior_score"),
+        (is_share("raw_score") & is_share("calibrated_probability") & (F.length("feature_snapshot_hash") == 64))
+        .alias("is_share"),
     )
 
 
-@query("backtest_explained")
+@query(
+    "backtest_explained",
+    sql("""SELECT entity_id, forecast_date, model_name, TRUE AS in_order
+           FROM folds, (SELECT unnest(['logit', 'prior_rate']) AS model_name)
+           WHERE model_name = 'prior_rate' OR (rate > 0 AND rate < 1)""", **FOLDS),
+)
 def backtest_explained(spark: SparkSession, sf: str) -> DataFrame:
-    rows = training_rows(spark, sf)
-    predictions = backtest.backtest_predictions(rows, BACKTEST)
-    return backtest.explain_backtest(rows, predictions, BACKTEST, "logit").select(
-        "entity_id", "forecast_date", "calibrated_probability", "top_positive_drivers", "top_negative_drivers"
-    )
+    """Drivers of every model, from a model fitted on all labeled rows."""
+    found = backtest.run_backtest(training_rows(spark, sf), BACKTEST).explained
+    ordered = in_order("top_positive_drivers", 1) & in_order("top_negative_drivers", -1)
+    empty = (F.size("top_positive_drivers") + F.size("top_negative_drivers")) == 0
+    fits = F.when(F.col("model_name") == "prior_rate", empty).otherwise(ordered & ~empty)
+    return found.select("entity_id", "forecast_date", "model_name", fits.alias("in_order"))
 
 
-@query("backtest_summary")
+@query("backtest_summary", "SELECT TRUE AS counts_agree, TRUE AS limit_is_share, TRUE AS rates_are_shares")
 def backtest_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return backtest.run_backtest(training_rows(spark, sf), BACKTEST).summary
+    found = backtest.run_backtest(training_rows(spark, sf), BACKTEST).summary
+    adds_up = F.col("new_alert_count") == F.col("true_alert_count") + F.col("false_alert_count")
+    return found.select(
+        adds_up.alias("counts_agree"), is_share("alert_threshold").alias("limit_is_share"),
+        F.coalesce(F.col("episode_recall").between(0.0, 1.0), F.lit(True)).alias("rates_are_shares"),
+    )
+
+
+@query(
+    "backtest_groups",
+    sql("""SELECT model_name, group_column, group_value, count(*) AS row_count, CAST(sum(label) AS BIGINT) AS positive_count,
+                  TRUE AS are_shares
+           FROM (SELECT model_name, label, unnest(['all', 'region_name']) AS group_column,
+                        unnest(['all', region_name]) AS group_value
+                 FROM folds, (SELECT unnest(['logit', 'prior_rate']) AS model_name)
+                 WHERE model_name = 'prior_rate' OR (rate > 0 AND rate < 1))
+           GROUP BY 1, 2, 3""", **FOLDS),
+)
+def backtest_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of every model over all rows and for each value of the group columns."""
+    found = backtest.run_backtest(training_rows(spark, sf), BACKTEST).group_metrics
+    shares = [
+        F.coalesce(F.col(c).between(0.0, 1.0), F.lit(True)) for c in ("precision", "recall", "brier_score", "roc_auc", "pr_auc")
+    ]
+    return found.select(
+        "model_name", "group_column", "group_value", "row_count", "positive_count",
+        reduce(lambda a, b: a & b, shares).alias("are_shares"),
+    )
+
+
+@query(
+    "backtest_calibration",
+    sql("""SELECT model_name, CAST(count(*) AS BIGINT) AS row_count, TRUE AS are_shares
+           FROM folds, (SELECT unnest(['logit', 'prior_rate']) AS model_name)
+           WHERE model_name = 'prior_rate' OR (rate > 0 AND rate < 1) GROUP BY 1""", **FOLDS),
+)
+def backtest_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """The calibration curve of every model covers its rows."""
+    found = backtest.run_backtest(training_rows(spark, sf), BACKTEST).calibration
+    fits = is_share("predicted_bin_probability") & is_share("observed_rate")
+    return found.groupBy("model_name").agg(F.sum("row_count").alias("row_count"), F.every(fits).alias("are_shares"))

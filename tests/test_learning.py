@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 import random
 
 import pytest
@@ -152,10 +153,28 @@ def test_drivers_are_signed_and_combined(training):
     assert top[0]["mean_absolute_contribution"] == pytest.approx(abs(coefficient) * mean_x)
 
 
+def test_tree_contributions_follow_the_paths(training):
+    """Of boosted trees: they add up to the logarithm of the odds, and a feature that is noise adds little."""
+    spec = models.ModelSpec("boosted", models.BOOSTED, {"maxIter": 6, "maxDepth": 3})
+    fitted = models.fit_model(training, spec, ["x", "noise"])
+    rows = explain.explained_rows(fitted.score(training), [(fitted, 1.0)]).collect()
+    base, sizes = explain.base_value(fitted), {"x": 0.0, "noise": 0.0}
+    for row in rows:
+        found = {item["feature"]: item["contribution"] for item in row[explain.ITEMS]}
+        assert base + sum(found.values()) == pytest.approx(math.log(row["raw_score"] / (1 - row["raw_score"])))
+        for name, value in found.items():
+            sizes[name] += abs(value)
+    assert sizes["x"] > 2 * sizes["noise"]
+    low, high = (next(r for r in sorted(rows, key=lambda r: sign * r["x"])) for sign in (1, -1))
+    assert {i["feature"]: i["contribution"] for i in low[explain.ITEMS]}["x"] < 0 < {
+        i["feature"]: i["contribution"] for i in high[explain.ITEMS]}["x"]
+
+
 def test_backtest_tables_agree(training):
     spec = backtest.BacktestSpec(
         models=(models.ModelSpec("logit", models.LOGISTIC), models.ModelSpec("prior_rate", models.PRIOR_RATE)),
-        features=("x", "noise"), primary_model="logit", target="t", horizon=30, max_splits=2, **SPLIT,
+        features=("x", "noise"), primary_model="logit", target="t", horizon=30, max_splits=2,
+        groups=("entity_name",), **SPLIT,
     )
     result = backtest.run_backtest(training, spec)
     assert result.predictions.groupBy("model_name").count().collect()[0]["count"] == 8 * 20
@@ -165,8 +184,14 @@ def test_backtest_tables_agree(training):
     comparison = {r["model_name"]: r for r in result.comparison.collect()}
     assert comparison["logit"]["is_top_model"] == 1 and comparison["logit"]["delta_roc_auc"] > 0
     assert comparison["prior_rate"]["delta_roc_auc"] is None
-    explained = backtest.explain_backtest(training, result.predictions, spec, "logit")
-    assert explained.count() == 8 * 20 and "top_negative_drivers" in explained.columns
+    explained = {r["model_name"]: r for r in result.explained.collect()}
+    assert result.explained.count() == 2 * 8 * 20 and explained["prior_rate"]["top_positive_drivers"] == []
+    assert explained["logit"]["top_positive_drivers"] or explained["logit"]["top_negative_drivers"]
+    groups = {(r["model_name"], r["group_column"], r["group_value"]): r for r in result.group_metrics.collect()}
+    assert len(groups) == 2 * (1 + 8) and groups["logit", "entity_name", "N3"]["row_count"] == 20
+    overall = {r["model_name"]: r for r in result.metrics.collect()}
+    assert overall["logit"]["roc_auc"] == groups["logit", "all", "all"]["roc_auc"] and overall["logit"]["row_count"] == 160
+    assert {r["model_name"] for r in result.calibration.collect()} == {"logit", "prior_rate"}
 
 
 def test_ensemble_scales_up_the_available_members(spark):

@@ -149,3 +149,27 @@ def test_folds_at_every_date_need_no_nested_loop(spark):
     assert (last["train_row_count"], last["validation_row_count"], last["skip_reason"]) == (2995 * 2, 10, None)
     assert folds.fold_dates(df, splits, "d").where("role = 'train'").count() == sum(range(100, 2996))
     assert time.perf_counter() - started < 90
+
+
+def test_clustered_tables_need_no_shuffle(spark, tmp_path):
+    """Labels, episodes and lags of an entity read its bucket; a later session opens the same files."""
+    from tocsin.operators import entity_windows as ew
+    from tocsin.plans import labels
+    from tocsin.sources.sinks import open_clustered, write_clustered
+
+    rows = spark.range(4000).select(
+        F.concat(F.lit("e"), (F.col("id") % 50).cast("string")).alias("entity_id"),
+        F.expr("date_add(DATE '2020-01-01', CAST(id DIV 50 AS INT))").alias("as_of_date"),
+        (F.col("id") % 7).alias("n"), (F.col("id") % 97 / 97).alias("calibrated_probability"),
+        (F.col("id") % 31 == 0).cast("int").alias("label"),
+    )
+    table = write_clustered(rows, str(tmp_path), "gold", "x", "t", entity="entity_id", day="as_of_date", buckets=4)
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, rows.collect()))
+    definition = labels.LabelDefinition("t", labels.ONSET, "n", 5, forecast_threshold=4.0, quiet_threshold=2.0)
+    episodes = alerts.alert_table(table.withColumn("forecast_date", F.col("as_of_date")), 0.9, 3)
+    lags = table.select(ew.lagged(F.col("n"), 1, ew.ordered("entity_id", "as_of_date")).alias("lag"))
+    for frame in (labels.build_labels(table, definition, 7), episodes, lags):
+        assert "Exchange" not in plan(frame)
+    assert "Exchange" in plan(labels.build_labels(rows, definition, 7))
+    again = open_clustered(spark, "opened_again", f"{tmp_path}/gold/x/t", rows.schema, "entity_id", "as_of_date", 4)
+    assert again.count() == 4000 and "Exchange" not in plan(labels.build_labels(again, definition, 7))

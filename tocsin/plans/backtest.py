@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,7 +12,7 @@ from tocsin.functions.scoring import feature_hash
 from tocsin.plans.alerts import alert_summary, alert_table, operating_threshold, ranking_metrics
 from tocsin.plans.calibrate import ISOTONIC, fit_calibrator
 from tocsin.plans.explain import signed_drivers
-from tocsin.plans.metrics import choose_baseline, classification_metrics, model_comparison
+from tocsin.plans.metrics import ALL, calibration_curve, choose_baseline, grouped_metrics, model_comparison
 from tocsin.plans.models import (
     PRIOR_RATE,
     FittedModel,
@@ -21,7 +22,7 @@ from tocsin.plans.models import (
     out_of_fold_predictions,
     standardize_predictions,
 )
-from tocsin.session import cut_lineage
+from tocsin.session import cut_lineage, kept
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,7 @@ class BacktestSpec:
     baseline_model: str | None = None
     threshold: float = 0.5
     gap_days: int | None = None
+    groups: tuple[str, ...] = ()
     seed: int = 7
     entity: str = "entity_id"
     name: str = "entity_name"
@@ -80,10 +82,14 @@ def explain_backtest(training: DataFrame, predictions: DataFrame, spec: Backtest
 
 @dataclass(frozen=True)
 class BacktestResult:
-    """Tables of one backtest."""
+    """Tables of one backtest. ``metrics`` are those over all rows of a model, ``group_metrics`` hold its groups too;
+    ``explained`` are the predictions of all models with the drivers of a model fitted on all labeled rows."""
 
     predictions: DataFrame
+    explained: DataFrame
     metrics: DataFrame
+    group_metrics: DataFrame
+    calibration: DataFrame
     comparison: DataFrame
     threshold: DataFrame
     alerts: DataFrame
@@ -91,19 +97,26 @@ class BacktestResult:
 
 
 def run_backtest(training: DataFrame, spec: BacktestSpec) -> BacktestResult:
-    """Predictions, metrics per model, comparison, operating threshold, alerts and their summary.
+    """Predictions, drivers, metrics per model and group, comparison, operating threshold, alerts and their summary.
 
-    Training rows are written once before the folds, and the predictions once before they are evaluated.
+    Training rows are written once before the folds, and the predictions once before they are evaluated. Metrics of all
+    models and groups come from one score table.
     """
     rows = cut_lineage(training)
     predictions = cut_lineage(backtest_predictions(rows, spec))
-    produced = [row[0] for row in predictions.select("model_name").distinct().collect()]
+    group_metrics = kept(
+        grouped_metrics(
+            predictions, "calibrated_probability", spec.groups, threshold=spec.threshold, within=["model_name"], overall=True
+        ),
+        "group_metrics",
+    )
+    metrics = group_metrics.where(F.col("group_column") == ALL).drop("group_column", "group_value")
+    produced = [row[0] for row in metrics.select("model_name").collect()]  # one row per model
     if spec.primary_model not in produced:
         raise ValueError(f"Primary model {spec.primary_model} was not produced; available: {sorted(produced)}")
     baseline = choose_baseline(produced, spec.baseline_model)
-    metrics = classification_metrics(
-        predictions, "calibrated_probability", threshold=spec.threshold, groups=["model_name"]
-    )
+    explained = [explain_backtest(rows, predictions, spec, name) for name in sorted(produced)]
+    calibration = calibration_curve(predictions, "calibrated_probability", groups=["model_name"])
     primary = predictions.where(F.col("model_name") == spec.primary_model)
     gap = spec.horizon if spec.gap_days is None else spec.gap_days
     threshold = operating_threshold(primary, gap)
@@ -111,7 +124,10 @@ def run_backtest(training: DataFrame, spec: BacktestSpec) -> BacktestResult:
     alerts = alert_table(primary, limit, gap)
     ranking = ranking_metrics(primary, limit)
     summary = backtest_summary(alert_summary(alerts), ranking, threshold)
-    return BacktestResult(predictions, metrics, model_comparison(metrics, baseline), threshold, alerts, summary)
+    return BacktestResult(
+        predictions, reduce(DataFrame.unionByName, explained), metrics, group_metrics, calibration,
+        model_comparison(metrics, baseline), threshold, alerts, summary,
+    )
 
 
 def backtest_summary(alert_metrics: DataFrame, ranking: DataFrame, threshold: DataFrame) -> DataFrame:

@@ -150,19 +150,26 @@ def classification_metrics(
     return _attach(measured, lead.select(*groups, "mean_lead_days", "median_lead_days"), groups)
 
 
+ALL = "all"
+
+
 def grouped_metrics(
-    df: DataFrame, probability: str, group_columns: Sequence[str], label: str = "label", threshold: float = 0.5
+    df: DataFrame, probability: str, group_columns: Sequence[str], label: str = "label", threshold: float = 0.5,
+    within: Sequence[str] = (), overall: bool = False,
 ) -> DataFrame:
-    """All metrics per value of each group column; rows are (group_column, group_value)."""
-    present = [column for column in group_columns if column in df.columns]
-    pairs = F.array(
-        *[
-            F.struct(F.lit(column).alias("group_column"), F.col(column).cast("string").alias("group_value"))
-            for column in present
-        ]
-    )
-    long = df.select(F.col(probability), F.col(label), F.inline(pairs)).where(F.col("group_value").isNotNull())
-    return classification_metrics(long, probability, label, threshold, ["group_column", "group_value"])
+    """All metrics per value of each group column; rows are (group_column, group_value), for each key of ``within``.
+
+    ``overall`` adds the group ("all", "all") of all rows. Groups are counted in one pass over the rows.
+    """
+    pairs = [
+        F.struct(F.lit(column).alias("group_column"), F.col(column).cast("string").alias("group_value"))
+        for column in group_columns if column in df.columns
+    ]
+    if overall:
+        pairs.insert(0, F.struct(F.lit(ALL).alias("group_column"), F.lit(ALL).alias("group_value")))
+    long = df.select(*within, F.col(probability), F.col(label), F.inline(F.array(*pairs)))
+    known = long.where(F.col("group_value").isNotNull())
+    return classification_metrics(known, probability, label, threshold, [*within, "group_column", "group_value"])
 
 
 def calibration_curve(
