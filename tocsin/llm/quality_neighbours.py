@@ -8,7 +8,7 @@ and its cosine to every labelled vector is computed exactly, in blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,14 +66,23 @@ class Model:
         self.settings = settings
         self.prior = shares.get(1, 0.5)
         labels = np.array([label for _, _, label in rows], dtype=np.float64)
-        terms = np.zeros((len(rows), TERMS), dtype=np.float32)
-        for i, (index, value, _) in enumerate(rows):
-            terms[i, index] = value
-        df = (terms > 0).sum(axis=0)
+        df = np.zeros(TERMS, dtype=np.int64)
+        for index, _, _ in rows:
+            df[index] += 1  # a term stands once in a row's list
         self.idf = np.log((1 + len(rows)) / (1 + df)).astype(np.float32)
-        matrix = self.weighted(terms)
-        self.basis = _leading(matrix, settings.dimensions)
-        self.vectors = _unit(matrix @ self.basis)
+
+        def parts() -> Iterator[tuple[int, np.ndarray]]:
+            """The weighted rows in blocks, so that never more than a block of them is laid out in full."""
+            for at in range(0, len(rows), settings.block):
+                block = rows[at : at + settings.block]
+                terms = np.zeros((len(block), TERMS), dtype=np.float32)
+                for i, (index, value, _) in enumerate(block):
+                    terms[i, index] = value
+                yield at, self.weighted(terms)
+
+        self.basis = _leading(parts, len(rows), settings.dimensions)
+        vectors = [part @ self.basis for _, part in parts()]
+        self.vectors = _unit(np.concatenate(vectors)) if vectors else np.zeros((0, self.basis.shape[1]), np.float32)
         self.labels = labels
         # A vote counts as its class in all labelled rows, not as in the sample.
         self.vote = np.array([shares.get(int(y), 0.0) / max(1, (labels == y).sum()) for y in labels])
@@ -103,12 +112,15 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def _leading(matrix: np.ndarray, k: int) -> np.ndarray:
-    """Leading right singular vectors by subspace iteration from a fixed start."""
-    k = min(k, *matrix.shape) if matrix.size else 0
-    basis = np.random.default_rng(7).standard_normal((matrix.shape[1], k)).astype(np.float32)
+def _leading(parts: Callable[[], Iterator[tuple[int, np.ndarray]]], rows: int, k: int) -> np.ndarray:
+    """Leading right singular vectors by subspace iteration from a fixed start, over blocks of rows."""
+    k = min(k, rows, TERMS)
+    basis = np.random.default_rng(7).standard_normal((TERMS, k)).astype(np.float32)
     for _ in range(6 if k else 0):
-        basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis))
+        product = np.zeros((TERMS, k), dtype=np.float32)
+        for _, part in parts():
+            product += part.T @ (part @ basis)
+        basis, _ = np.linalg.qr(product)
     return np.ascontiguousarray(basis, dtype=np.float32)
 
 
