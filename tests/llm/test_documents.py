@@ -395,9 +395,12 @@ def test_bounds():
     assert jaccard_join.boundary({}) == 0 and 5 <= jaccard_join.boundary({n: 100 for n in range(1, 17)}) <= 16
 
 
-def test_components(spark):
+@pytest.mark.parametrize("least", [connected.HUB_LEAST, 2])
+def test_components(spark, monkeypatch, least):
+    """Also when nearly every node counts as a hub."""
     import random
 
+    monkeypatch.setattr(connected, "HUB_LEAST", least)
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500 + i, 501 + i) for i in range(40)] + [(900, i) for i in range(901, 990)]
     parent = {}
@@ -418,6 +421,23 @@ def test_components(spark):
         assert connected.components(spark.createDataFrame([], "a bigint, b bigint"), scratch).count() == 0
 
 
+def test_a_hub_of_50000_edges(spark):
+    """Its edges are met by a broadcast of the hubs: no row of it is left for the shuffled join."""
+    from pyspark.sql import functions as F
+
+    spokes = spark.range(50_000).select(F.lit(7).cast("long").alias("a"), (F.col("id") + 100).alias("b"))
+    pairs = spark.range(500).select((F.col("id") * 2 + 200_000).alias("a"), (F.col("id") * 2 + 200_001).alias("b"))
+    with Scratch(spark) as scratch:
+        found = connected.components(spokes.unionByName(pairs), scratch)
+        counts = dict(collected(found.groupBy("component").count(), "component", "count"))
+        assert counts[7] == 50_000 and len(counts) == 501 and set(counts.values()) == {1, 50_000}
+    edges = spokes.unionByName(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    known, least = connected._with_least(edges, max(connected.HUB_LEAST, 50_500 // connected.HUB_SHARE))
+    assert known.count() == 50_500 and least.count() == 501
+    plan = known._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan and known.where("u = 7 AND m = 100").count() == 50_000
+
+
 # personal data
 
 sys.set_int_max_str_digits(0)

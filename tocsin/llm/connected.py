@@ -8,17 +8,33 @@ from pyspark.sql import functions as F
 from tocsin.llm.common import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node with more than this share of all edges (and more than the least number) is met by a broadcast, the others by a
+#: shuffle. So at most 2,000 nodes are sent, and a task of the shuffle holds no node with many edges.
+HUB_SHARE, HUB_LEAST = 1_000, 64
+
+
+def _with_least(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The edges with the smallest neighbour v of their node u as m, and one row (u, m) per node."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = least.where(F.col("n") > limit).select(F.col("u").alias("hub"), F.col("m").alias("hub_m"))
+    tagged = edges.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")
+    of_hubs = tagged.where(F.col("hub").isNotNull()).select("u", "v", F.col("hub_m").alias("m"))
+    others = tagged.where(F.col("hub").isNull()).select("u", "v")
+    small = least.where(F.col("n") <= limit).select("u", "m")
+    return of_hubs.unionByName(others.join(small, "u").select("u", "v", "m")), least.select("u", "m")
+
+
+def _large_star(edges: DataFrame, limit: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    known = _with_least(both, limit)[0].withColumn("m", F.least("u", "m"))
+    return known.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, limit: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    out = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    known, least = _with_least(edges, limit)
+    out = known.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -27,8 +43,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     The result is read from scratch tables and ends with them.
 
-    Rounds end when the edge table no longer changes; it is written after each, so lineage stays short. A node with a
-    large share of all edges is met in sums with map-side partials and in equi-joins that adaptive execution splits.
+    Rounds end when the edge table no longer changes; it is written after each, so lineage stays short. A star
+    adds an edge for each node at most, so one limit for hubs serves both stars of a round.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, seen = scratch.written(now, "edges"), None
@@ -37,4 +53,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if tuple(row) == seen or not row[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = tuple(row)
-        now = scratch.written(_small_star(_large_star(now)), "edges")
+        limit = max(HUB_LEAST, row[0] // HUB_SHARE)
+        now = scratch.written(_small_star(_large_star(now, limit), limit), "edges")
