@@ -49,6 +49,28 @@ def test_marked_pages(spark):
     assert page_text.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part, kept", [
+    ('<h2 id="related-work">Head</h2>', "Head"), ('<section id="discussion"><p>Whole</p><p>text</p></section>', "Whole text"),
+    ('<section class="discussion">Points</section>', "Points"), ('<p class="notice">Please note</p>', "Please note"),
+    ('<div class="social-history">Of the town</div>', "Of the town"), ('<h3 class="comment">On method</h3>', "On method"),
+    ('<div class="related">Earlier <i>work</i> shows more than <a href=x>this</a></div>', "Earlier work shows more than this"),
+    ('<div class="related"><a href=x>Story one</a> <a href=y>Story two</a></div>', ""),
+    ('<ul class="menu"><li><a href=x>Home</a><li><a href=y>News</a></ul>', ""),
+    ('<div class="newsletter">Read us weekly<form><input></form></div>', ""),
+    ('<div class="newsletter">Read us weekly <button>Go</button></div>', ""),
+    ('<div class="share-bar">Tell others</div>', ""), ('<div class="cookie-notice">We bake</div>', ""),
+    ('<div class="ad">Buy</div>', ""), ('<p class="sponsored">Buy</p>', ""), ('<aside>Side</aside>', ""),
+    ('<div class="comments"><p>I liked it</p></div>', ""), ('<div id="comments"><div>I liked it</div></div>', ""),
+    ('<section id="comments-on-method">Ours</section>', "Ours"), ('<div class="notice">Open to the end', "Open to the end"),
+])
+def test_articles_keep_their_own_text(part, kept):
+    """Inside an article a class takes a second sign, and an id of a heading, section or paragraph takes nothing."""
+    for before, after in (("<p>One</p>", "<p>Two</p>"), ("", "")):
+        article, _, found = page_text.blocks_of(f"<body><article>{before}{part}{after}")
+        expected = " ".join(filter(None, ["One" * bool(before), kept, "Two" * bool(after)]))
+        assert found and " ".join(article) == expected
+
+
 def test_unmarked_pages_lose_what_the_host_repeats(spark):
     frame = "Welcome to our little site about many things please read the following with care"
     end = "All of this was written by hand in the year of the dragon and belongs to nobody"

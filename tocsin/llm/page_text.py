@@ -36,8 +36,23 @@ OUTSIDE_CLASSES = re.compile(
     r"navigation|menu|breadcrumb|breadcrumbs|sidebar|header|masthead|footer|cookie|cookies|consent|notice|popup|modal|"
     r"newsletter|subscribe|share|sharing|social|related|comment|comments|reply|replies|discussion|disqus)(?:$|[\s_-])"
 )
-#: Inside an article its header is part of it.
-INSIDE_CLASSES = re.compile(OUTSIDE_CLASSES.pattern.replace("header|masthead|", ""))
+#: Inside an article a class alone does not tell furniture from text about it ("social-history", "related-work"). Adverts
+#: and reader comments go by their class; the words below need a second sign. Fixed values.
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising promo sponsor sponsored".split())
+COMMENT_WORDS = frozenset("comment comments reply replies disqus".split())
+FURNITURE_WORDS = frozenset(
+    "banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent notice popup modal "
+    "newsletter subscribe share sharing social related".split()
+)
+#: Words that make one of those before them a part of the page's frame.
+FRAME_WORDS = FURNITURE_WORDS | frozenset(
+    "bar buttons button links link list box widget signup form icons toolbar panel posts articles stories".split()
+)
+#: Elements that are text themselves: only an advert's class takes them out of an article.
+PROSE = frozenset(
+    "h1 h2 h3 h4 h5 h6 p blockquote pre table tbody thead tr td th figure figcaption dl dt dd header hgroup address".split()
+)
+CONTROLS = frozenset("form button input select textarea".split())
 #: Class words that only say what else is on the page.
 _ABOUT = re.compile(r"(?i)(?:^|(?<=\s))(?:has|with|no|is|without)[-_][\w-]+")
 COMMENT_CLASSES = re.compile(r"(?i)(?:^|[\s_-])(?:comment|comments|reply|replies|discussion|disqus)(?:$|[\s_-])")
@@ -54,6 +69,8 @@ _TAG = re.compile(
 )
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _CLASS = re.compile(r"(?:\s|^)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_CLASS_ONLY = re.compile(r"(?:\s|^)class\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_ID_ONLY = re.compile(r"(?:\s|^)id\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WHITE = re.compile(r"[\x20\x09-\x0D]+")
 
 RUN = 8
@@ -64,20 +81,59 @@ LEAST_PAGES = 3
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(RUN + 1)], dtype=np.uint64)
 
 
+def _tokens(pattern: re.Pattern, rest: str) -> list[list[str]]:
+    """Words of each class or id of a tag."""
+    marks = _ABOUT.sub("", " ".join(m.strip("\"'") for m in pattern.findall(rest)))
+    return [re.split(r"[_-]+", token) for token in marks.lower().split()]
+
+
+def _inside_article(name: str, rest: str) -> str:
+    """Role of an element inside an article by its classes: article, outside, comments, or doubt.
+
+    A class of two frame words ("share-bar", "cookie-notice") is its own second sign; one word alone leaves a doubt that
+    the element's content settles. Ids say what a part is called and count only for comments, on plain boxes and lists.
+    """
+    classes = _tokens(_CLASS_ONLY, rest) if rest else []
+    if any(word in ADVERT_WORDS for words in classes for word in words):
+        return "outside"
+    if name in PROSE:
+        return "article"
+    ids = _tokens(_ID_ONLY, rest) if name in ("div", "ol", "ul") else []
+    if any(word in COMMENT_WORDS for words in classes + ids for word in words):
+        return "comments"
+    doubt = False
+    for words in classes:
+        first = next((k for k, word in enumerate(words) if word in FURNITURE_WORDS), None)
+        if first is not None:
+            if any(word in FRAME_WORDS for k, word in enumerate(words) if k != first):
+                return "outside"
+            doubt = True
+    return "doubt" if doubt else "article"
+
+
 def blocks_of(page: str) -> tuple[list[str], list[tuple[bool, str]], bool]:
     """(blocks of marked articles, other blocks with whether markup leaves open what they are, has articles)."""
     article: list[str] = []
     other: list[tuple[bool, str]] = []
     stack: list[tuple[str, str]] = []  # element, its role: article, outside, comments, unseen or nothing
     piece: list[str] = []
-    role, found, at, raw = "", False, 0, ""
+    role, found, at = "", False, 0
+    #: The open element in doubt: its place in the stack, blocks before it, characters, those in links, has controls.
+    doubt: list[int] = []
+
+    def settle() -> None:
+        """An element in doubt goes when at least half of its text is links, or when it holds controls."""
+        _, blocks, chars, linked, controls = doubt
+        if controls or 2 * linked >= max(chars, 1):
+            del article[blocks:]
+        doubt.clear()
 
     def flush() -> None:
         text = _WHITE.sub(" ", html.unescape("".join(piece))).strip(" ")
         piece.clear()
         if not text or role == "unseen":
             return
-        if role == "article":
+        if role in ("article", "doubt"):
             article.append(text)
         else:
             other.append((role == "", text))
@@ -86,6 +142,10 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[bool, str]], bool]:
         if tag.start() < at:
             continue
         piece.append(page[at : tag.start()])
+        if doubt and role == "doubt":
+            size = len(piece[-1].strip())
+            doubt[2] += size
+            doubt[3] += size if any(open_ == "a" for open_, _ in stack[doubt[0] :]) else 0
         at = tag.end()
         name = tag["name"]
         if name is None:
@@ -106,6 +166,8 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[bool, str]], bool]:
                     if after != role:
                         flush()
                     role = after
+                    if doubt and k <= doubt[0]:
+                        settle()
                     break
             continue
         marks = _ABOUT.sub("", " ".join(m.strip("\"'") for m in _CLASS.findall(rest))) if rest else ""
@@ -113,13 +175,17 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[bool, str]], bool]:
         if inside != "unseen":
             if name in UNSEEN:
                 inside = "unseen"
+            elif role in ("article", "doubt"):
+                if name in OUTSIDE:
+                    inside = "outside"
+                elif name not in ("html", "body", "article", "main"):
+                    inside = _inside_article(name, rest)
+                    inside = "doubt" if role == "doubt" and inside == "article" else inside
+                if doubt and name in CONTROLS:
+                    doubt[4] = 1
             elif COMMENT_CLASSES.search(marks):
                 inside = "comments"
-            elif (
-                name in OUTSIDE
-                or (name == "header" and role != "article")
-                or (INSIDE_CLASSES if role == "article" else OUTSIDE_CLASSES).search(marks)
-            ):
+            elif name in OUTSIDE or name == "header" or OUTSIDE_CLASSES.search(marks):
                 if name not in ("html", "body", "article", "main"):
                     inside = "comments" if role == "comments" else "outside"
             elif (name in ("article", "main") or re.search(r"(?:^|\s)main(?:$|\s)", marks)) and role != "comments":
@@ -127,6 +193,8 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[bool, str]], bool]:
         if inside != role:
             flush()
         if name not in VOID and not rest.endswith("/"):
+            if inside == "doubt" and not doubt:
+                doubt[:] = [len(stack), len(article), 0, 0, 0]
             stack.append((name, inside))
             role = inside
             if name in ("script", "style", "textarea", "title"):
@@ -134,6 +202,8 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[bool, str]], bool]:
                 at = end.start() if end else len(page)
     piece.append(page[at:])
     flush()
+    if doubt:
+        settle()
     return article, other, found
 
 
