@@ -53,13 +53,42 @@ def test_exact_dedup(spark, docs, crowded, small_docs):
         groups[bare(t)].append((-len(t or ""), d is None, d))
     expected = []
     for d, t, *_ in small_docs:
-        best = min(groups[bare(t)], key=lambda g: (g[0], g[1], g[2] if g[2] is not None else 0))[2]
-        expected.append((d, best, len(groups[bare(t)]), d == best, hashlib.sha256(bare(t).encode()).hexdigest()))
+        first = min(groups[bare(t)], key=lambda g: (g[0], g[1], g[2] if g[2] is not None else 0))
+        best = first[2]
+        expected.append((d, best, len(groups[bare(t)]), d == best and -len(t or "") == first[0], hashlib.sha256(bare(t).encode()).hexdigest()))
     columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert collected(exact_dedup.deduplicate(docs, new_index(spark)), *columns) == sorted(expected, key=repr)
     assert collected(exact_dedup.deduplicate(crowded, new_index(spark)), *columns) == sorted(expected, key=repr)
 
 
+def test_a_batch_may_be_run_again(spark):
+    """After its append too; counts of all batches add up, and of rows with one id the longest is kept."""
+    def rows(*texts):
+        return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+
+    def answers(df, batch):
+        return collected(exact_dedup.deduplicate(df, index, batch), "doc_id", "keep_id", "group_size", "kept")
+
+    index = new_index(spark)
+    one, two = rows("a", "a ", "b"), rows("a", "c", "a", " a")
+    first = answers(one, "one")
+    assert first == [(0, 1, 2, False), (1, 1, 2, True), (2, 2, 1, True)] == answers(one, "one")
+    second = answers(two, "two")
+    assert second == [(0, 1, 5, False), (1, 1, 1, True), (2, 1, 5, False), (3, 1, 5, False)] == answers(two, "two")
+    assert answers(rows("a"), "three") == [(0, 1, 6, False)]
+    assert index.rows().count() == 3 and index.all_rows().count() == 5
+    same = spark.createDataFrame([(7, "x y"), (7, "x  y"), (7, "x  y"), (None, "z")], "doc_id bigint, text string")
+    found = collected(exact_dedup.deduplicate(same, new_index(spark)), "doc_id", "keep_id", "kept")
+    assert found == sorted([(7, 7, False), (7, 7, True), (7, 7, True), (None, None, True)], key=repr)
+    assert [r["text"] for r in exact_dedup.keep_first_copies(same.where("doc_id = 7"), new_index(spark)).collect()] == ["x  y"]
+    path = index.path
+    index.drop()
+    assert not spark.catalog.tableExists(index.name)
+    import os
+
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
 def test_index_persists(spark, docs):
     name = f"index_{uuid.uuid4().hex}"
     first = exact_dedup.DigestIndex(spark, name, buckets=4)
@@ -135,6 +164,19 @@ def test_mixes_are_nested(docs):
     assert chosen[0] <= chosen[1] <= chosen[2] <= chosen[3] and chosen[1] < chosen[2]
 
 
+def test_ids_shared_by_sources(spark):
+    """Each source is taken as the mix says, though its rows have the ids, null too, of other sources' rows."""
+    rows = [(None if i == 0 else i, f"w{i} " * (5 + i % 3), s) for s in ("a", "b", "c") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    expected = sum(r["copies"] for r in mixing.mix(df).collect())
+    out = mixing.mixed_documents(df)
+    assert out.count() == expected
+    taken = collections.Counter()
+    for r in mixing._mixed(df, "mix", mixing.WEIGHTS, mixing.SHARE, mixing.MOST_REPEATS).collect():
+        taken[r["source"]] += r["copies"]
+    assert {r["source"]: r["count"] for r in out.groupBy("source").count().collect()} == dict(taken)
+
+
 def test_mixed_documents(crowded):
     out = mixing.mixed_documents(crowded)
     assert out.columns == crowded.columns
@@ -485,6 +527,7 @@ def test_base_spans(spark, docs, small_docs, crowded, no_docs):
     for r in rows:
         kept = [s for s in r["spans"].split(",") if s and not s.startswith("secret:")]
         assert len(r["spans"].split(",")) - len(kept) - (not r["spans"]) == r["n_secret"]
+        assert len(r["spans"].split(",")) - (not r["spans"]) == r["n_spans"]
         found.append((r["doc_id"], *(r[f"n_{k}"] for k in personal_data.KINDS), r["base_sha256"], ",".join(kept)))
     assert sorted(found, key=repr) == sorted(expected, key=repr)
     assert personal_data.find(crowded).count() == len(small_docs)

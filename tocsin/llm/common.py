@@ -31,6 +31,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder, wherever that lies."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write the rows once to the shared folder and go on from the written table.
 
@@ -68,5 +74,4 @@ class Scratch:
         return self
 
     def __exit__(self, *error) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.folder)

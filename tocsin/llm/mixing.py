@@ -113,24 +113,15 @@ def thresholds(sizes: DataFrame, budgets: DataFrame, bits: int = HASH_BITS, step
             .join(bound, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket_of") == F.col("bucket")), "left_semi")
             .select("source", "size", "hash")
         )
+        if left + width == bits:
+            open_rows = written(open_rows, "boundary")  # about one row in 4,096, read by all further rounds
     # The last bucket is one hash value; it is taken where that comes nearer to the budget than leaving it.
     nearer = (F.col("upto") - F.col("budget")) < (F.col("budget") - F.col("sum"))
     return after.select("source", (F.col("start") + F.coalesce(nearer, F.lit(False)).cast("long")).alias("below"))
 
 
-def mix(
-    docs: DataFrame,
-    seed: str = "mix",
-    weights: tuple[float, ...] = WEIGHTS,
-    share: float = SHARE,
-    most: int = MOST_REPEATS,
-) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken of every row.
-
-    Other columns of the input are not read, so their names cannot clash. A null source is a source of its own, the
-    last one. Null and empty texts have size 0 and are taken like others at no cost. Rows repeated with the same id
-    have the same hash and are taken together. An empty table gives no rows.
-    """
+def _mixed(docs: DataFrame, seed: str, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies of every row. Copies depend on the id and the source alone."""
     sizes = written(hashed_sizes(docs, seed), "sizes")
     targets = written(source_targets(sizes, weights, share, most), "targets")
     passes = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(
@@ -146,19 +137,43 @@ def mix(
     copies = F.col("passes") + F.when(
         (F.col("passes") < most) & (F.col("hash") < F.col("below")), F.lit(1)
     ).otherwise(F.lit(0))
-    return (
-        sizes.join(plan, sizes["source"].eqNullSafe(plan["of"]))
-        .withColumn("copies", copies)
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    joined = sizes.join(plan, sizes["source"].eqNullSafe(plan["of"])).withColumn("copies", copies)
+    return joined.select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def mix(
+    docs: DataFrame,
+    seed: str = "mix",
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: int = MOST_REPEATS,
+) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken of every row.
+
+    Other columns of the input are not read, so their names cannot clash. A null source is a source of its own, the
+    last one. Null and empty texts have size 0 and are taken like others at no cost. Rows repeated with the same id
+    have the same hash and are taken together. An empty table gives no rows.
+    """
+    found = _mixed(docs, seed, weights, share, most)
+    return found.select(
+        "doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns."""
-    copies = mix(docs, **settings).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__n"))
-    copies = copies.dropDuplicates(["__id"])
-    out = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+def mixed_documents(
+    docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS
+) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns.
+
+    Rows meet their copies by id and source, nulls included, so an id that several sources share is taken from each as
+    the mix says, and reruns agree.
+    """
+    found = _mixed(docs, seed, weights, share, most).where("copies > 0")
+    copies = found.select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("copies").cast("int").alias("__n")
+    ).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__of"))
+    return docs.join(copies, same).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 
 #: DuckDB SQL for mix() with the contract's numbers.

@@ -75,7 +75,9 @@ def op4_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document judged against a new, empty index."""
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return exact_dedup.deduplicate(table(spark, folder, "documents"), index)
+    judged = exact_dedup.deduplicate(table(spark, folder, "documents"), index)
+    index.drop()  # the result does not read it
+    return judged
 
 
 @query
