@@ -196,7 +196,7 @@ def _joined(spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_spans (all of them), base_sha256, spans of every row.
 
     Null counts as empty: no spans, and the digest of nothing. Texts are read whole. Spans of different kinds may
     overlap; at equal starts they come in the order of the kinds. Repeated rows get equal results. Other columns are
@@ -235,6 +235,7 @@ def find(docs: DataFrame) -> DataFrame:
         "doc_id",
         *(f"n_{kind}" for kind in KINDS),
         F.size(added).cast("long").alias("n_secret"),
+        (F.size("base") + F.size(added)).cast("long").alias("n_spans"),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("base", added))).alias("spans"),
     )
