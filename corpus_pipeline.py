@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tocsin.llm import exact_dedup, jaccard_join, mixing, quality_neighbours, sentence_pieces
-from tocsin.llm.common import table, written
+from tocsin.llm.common import remove, scratch_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text stays, judged against a new index."""
-    return exact_dedup.keep_first_copies(docs, exact_dedup.DigestIndex(spark, f"pipeline_index_{uuid.uuid4().hex}"))
+    """One row of each text stays, judged against a new index, which goes again."""
+    index = exact_dedup.DigestIndex(spark, f"pipeline_index_{uuid.uuid4().hex}")
+    kept = exact_dedup.keep_first_copies(docs, index)
+    index.drop()
+    return kept
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of a folder. A stage's rows are deleted when those of the next one are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        rows = stage(spark, docs, sf_dir)
+        path = scratch_path(spark, name)
+        rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
