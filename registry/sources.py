@@ -529,20 +529,18 @@ def news_event_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "news_document_files",
-    sql("""SELECT document_country_id, count(*) AS rows, round(sum(tone_score), 4) AS tone FROM typed_docs GROUP BY 1""",
-        typed_docs=DOCUMENTS_SQL),
+    sql("""SELECT gkg_record_id, document_country_id, tone_score, md5(regexp_replace(text, '[\\x09-\\x0D]', ' ', 'g')) AS digest
+           FROM typed_docs JOIN documents ON CAST(doc_id AS VARCHAR) = gkg_record_id""", typed_docs=DOCUMENTS_SQL),
 )
 def news_document_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Header-less document files; the texts (line breaks, tabs) stay out of them."""
+    """Header-less document files with their texts; tabs and line breaks, which such files cannot hold, become spaces."""
     path = _fresh(spark, "documents")
-    raw = raw_documents(spark, sf)
-    kept = [F.col(c) if c in raw.columns and c != "v2_themes" else F.lit(None).cast("string").alias(c)
-            for c in schemas.NEWS_DOCUMENT_COLUMNS]
-    raw.select(*kept).write.csv(path, sep="\t", header=False, quote="", emptyValue="")
-    typed = normalize.news_documents(readers.read_news_documents(spark, path), dictionary(spark, sf))
-    return typed.groupBy("document_country_id").agg(
-        F.count("*").alias("rows"), F.round(F.sum("tone_score"), 4).alias("tone")
+    raw = raw_documents(spark, sf).withColumn("v2_themes", F.regexp_replace("v2_themes", "[\\x09-\\x0D]", " "))
+    raw.write.csv(
+        path, sep="\t", header=False, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
+    typed = normalize.news_documents(readers.read_news_documents(spark, path), dictionary(spark, sf))
+    return typed.select("gkg_record_id", "document_country_id", "tone_score", F.md5("v2_themes").alias("digest"))
 
 
 @query("quoted_csv_files", "SELECT doc_id, md5(text) AS digest, source FROM documents")

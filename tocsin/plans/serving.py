@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tocsin.functions import scoring
 from tocsin.operators.entity_windows import latest_and_previous, latest_per_key
 from tocsin.operators.quality import require_columns
+from tocsin.session import kept
 
 # Label columns of each horizon.
 HORIZON_LABELS = {
@@ -165,6 +166,7 @@ def live_signals(events: DataFrame, documents: DataFrame, displacement: DataFram
         .agg(*[F.max(column).alias(column) for column in measures])
         .join(displacement, "country_id", "left")
     )
+    combined = kept(combined, "signals")  # one row per country, read by the score and its means
     scored = combined.withColumn("_calm", -F.coalesce("current_avg_document_tone", F.lit(0.0)))
     busy, calm, displaced = zscores_or_zero(scored, ["current_event_count", "_calm", "idps"])
     return scored.select(
