@@ -206,3 +206,17 @@ def test_posterior(spark):
         rate = alpha / (alpha + beta)
         assert found[h]["rate"] == pytest.approx(rate)
         assert found[h]["lower"] == pytest.approx(rate - 1.645 * math.sqrt(rate * (1 - rate) / (alpha + beta + 1)))
+
+
+def test_registered_domains(spark):
+    """Suffixes of two labels, ports, user parts and addresses."""
+    expected = {
+        "a.b.example.com": ("example.com", "com"), "example.com": ("example.com", "com"), "com": ("com", "com"),
+        "www.shop.co.uk": ("shop.co.uk", "co.uk"), "shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+        "me.github.io:8080": ("me.github.io", "github.io"), "user:pw@x.org:80": ("x.org", "org"), "x.org:": ("x.org", "org"),
+        "10.0.0.1:81": ("10.0.0.1", "[]"), "10.0.0.2": ("10.0.0.2", "[]"), "[::1]:80": ("[::1]", "[]"), "": ("", ""),
+        "1.2.3.4.5": ("4.5", "5"),
+    }
+    df = spark.createDataFrame([(h,) for h in expected], "host string")
+    rows = df.select("host", url_reputation.domain_of(F.col("host")), url_reputation.suffix_of(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == expected

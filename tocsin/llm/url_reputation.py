@@ -50,13 +50,35 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
     return out
 
 
+#: Suffixes of two labels under which the public registers names. Fixed values, the common ones; any other suffix is the
+#: last label.
+TWO_LABELS = (
+    "ac.at ac.jp ac.uk asn.au blogspot.com co.at co.id co.il co.in co.jp co.ke co.kr co.nz co.th co.uk co.za com.ar com.au "
+    "com.br com.cn com.co com.hk com.mx com.my com.ng com.pk com.sg com.tr com.tw com.ua com.vn edu.au edu.cn firebaseapp.com "
+    "github.io gitlab.io go.jp gov.au gov.br gov.cn gov.in gov.uk herokuapp.com ltd.uk me.uk ne.jp net.au net.br net.cn "
+    "net.nz netlify.app nhs.uk or.at or.jp or.kr org.au org.br org.cn org.nz org.uk org.za pages.dev plc.uk sch.uk vercel.app "
+    "web.app wordpress.com"
+).split()
+_ADDRESS = r"^(?:[0-9]{1,3}(?:[.][0-9]{1,3}){3}|\[.*)$"
+
+
+def site_of(host: Column) -> Column:
+    """A host without user part and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+    """The registered name: one label and the suffix. An address is its own."""
+    site = site_of(host)
+    two = F.substring_index(site, ".", -2)
+    return F.when(site.rlike(_ADDRESS), site).when(two.isin(*TWO_LABELS), F.substring_index(site, ".", -3)).otherwise(two)
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """What names are registered under; all addresses share one."""
+    site = site_of(host)
+    two = F.substring_index(site, ".", -2)
+    return F.when(site.rlike(_ADDRESS), "[]").when(two.isin(*TWO_LABELS), two).otherwise(F.substring_index(site, ".", -1))
 
 
 def _prior_weight(units: DataFrame, of: str) -> DataFrame:
@@ -155,15 +177,23 @@ def judge(
 
 #: DuckDB SQL for judge() with the contract's rules and the outcomes of the registered query.
 SQL = r"""
-WITH sites AS (
+WITH two AS (SELECT unnest(string_split('TWO_LABELS', ' ')) AS name),
+sites AS (
   SELECT page_id,
          translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
   FROM pages),
+named AS (
+  SELECT page_id, host, regexp_matches(site, '^([0-9]{1,3}([.][0-9]{1,3}){3}|\[.*)$') AS is_address, site,
+         string_split(site, '.') AS labels, array_to_string(string_split(site, '.')[-2:], '.') IN (SELECT name FROM two) AS is_two
+  FROM (SELECT page_id, host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site FROM sites)),
 u AS (
-  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+  SELECT host, CASE WHEN any_value(is_address) THEN any_value(site) ELSE array_to_string(any_value(
+           CASE WHEN is_two THEN labels[-3:] ELSE labels[-2:] END), '.') END AS domain,
+         CASE WHEN any_value(is_address) THEN '[]' WHEN any_value(is_two) THEN array_to_string(any_value(labels)[-2:], '.')
+              ELSE any_value(labels)[-1] END AS suffix,
          count(quality)::DOUBLE AS n, coalesce(sum(1 - quality), 0)::DOUBLE AS bad
-  FROM sites LEFT JOIN (SELECT doc_id, quality FROM labels WHERE quality IN (0, 1)) ON page_id = doc_id GROUP BY host),
+  FROM named LEFT JOIN (SELECT doc_id, quality FROM labels WHERE quality IN (0, 1)) ON page_id = doc_id GROUP BY host),
 kn AS (SELECT * FROM u WHERE n > 0),
 do_ AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM kn GROUP BY suffix, domain),
 su AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM do_ GROUP BY suffix),
@@ -199,4 +229,4 @@ SELECT page_id, host, path, rule,
                  WHEN 'org/fr/' THEN 'allow' ELSE CASE WHEN lower > 0.5 THEN 'block' ELSE 'allow' END END AS verdict,
        rate, lower
 FROM x
-"""
+""".replace("TWO_LABELS", " ".join(TWO_LABELS))
