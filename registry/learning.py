@@ -659,11 +659,12 @@ def backtest_predictions(spark: SparkSession, sf: str) -> DataFrame:
            WHERE model_name = 'prior_rate' OR (rate > 0 AND rate < 1)""", **FOLDS),
 )
 def backtest_explained(spark: SparkSession, sf: str) -> DataFrame:
-    """Drivers of every model, from a model fitted on all labeled rows."""
+    """Drivers of every model, from a model fitted on all labeled rows; a row whose features are all zero has none."""
     found = backtest.run_backtest(training_rows(spark, sf), BACKTEST).explained
     ordered = in_order("top_positive_drivers", 1) & in_order("top_negative_drivers", -1)
     empty = (F.size("top_positive_drivers") + F.size("top_negative_drivers")) == 0
-    fits = F.when(F.col("model_name") == "prior_rate", empty).otherwise(ordered & ~empty)
+    has_values = reduce(lambda a, b: a | b, [F.coalesce(F.col(name) != 0, F.lit(False)) for name in FEATURES])
+    fits = F.when(F.col("model_name") == "prior_rate", empty).otherwise(ordered & (has_values != empty))
     return found.select("entity_id", "forecast_date", "model_name", fits.alias("in_order"))
 
 
