@@ -173,3 +173,27 @@ def test_sketches_of_cells_merge(spark):
     assert "ObjectHashAggregate" in grid.sum_cells(rows, "e", "d", [], "c", plain=grid.sketch_columns(
         measures, "d", "c"))._jdf.queryExecution().executedPlan().toString()
     assert [m.name for m in plans.ActorSketch().measures()][0] == "acled_distinct_actor1_estimate_28d"
+
+
+def test_distinct_values_of_long_ranges_are_not_fanned_out(spark):
+    """Rows that overlap, touch and leave gaps, against a loop; no row is copied to each week of its range."""
+    days = [0, 0, 3, 10, 40, 400, 765, 766, 1500]
+    rows = [("A", datetime.date(2000, 1, 1) + datetime.timedelta(d), who) for d in days for who in ("x", "y")]
+    rows += [("A", datetime.date(2000, 3, 1), "z"), ("B", datetime.date(2000, 3, 6), "x"), (None, datetime.date(2000, 1, 1), "x"),
+             ("B", None, "x"), ("B", datetime.date(2000, 3, 6), None)]
+    df = spark.createDataFrame(rows, "e string, d date, who string")
+    for days in (grid.TRAILING_28D, grid.HISTORY_52W, grid.FUTURE_30D, grid.DayRange(2, 4)):
+        counted = grid.range_distinct(df, "e", "d", "who", days, "k")
+        found = sorted((r["entity_id"], r[grid.WEEK], r["k"]) for r in counted.collect())
+        held = {}
+        for entity, day, who in rows:
+            if entity is None or day is None or who is None:
+                continue
+            for back in range(days.lo, days.hi + 1):
+                monday = day - datetime.timedelta(back)
+                if monday.weekday() == 0:
+                    held.setdefault((entity, monday), set()).add(who)
+        assert found == sorted((*key, len(values)) for key, values in held.items())
+    plan = grid.range_distinct(df, "e", "d", "who", grid.HISTORY_52W, "k")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate"):]  # what is below the totals per week
+    assert "sequence(" not in below

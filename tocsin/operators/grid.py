@@ -360,13 +360,33 @@ def fan_out(rows: DataFrame, day: str, days: DayRange) -> DataFrame:
 def range_distinct(rows: DataFrame, entity: str, day: str, value: str, days: DayRange, name: str) -> DataFrame:
     """Distinct non-null values per entity and week over a day range.
 
-    Distinct counts do not add up over cells, so values are reduced to one row per (entity, day, value), fanned
-    out and counted exactly. The distinct aggregate shuffles by (entity, week, value) first, so a hot entity is
-    spread over its values.
+    Distinct counts do not add up over cells. Every row counts for a run of Mondays; of one entity and value, a run is cut
+    where the run before it ends, so that no Monday is held twice. A value then adds one where a run starts and takes one
+    away where it ends, and a running total over the weeks of an entity gives the number. A long range costs no more rows
+    than a short one. Rows are spread by entity and value; only their changes per week meet by entity.
     """
-    slim = (
+    at = F.col(day).cast("date")
+    runs = (
         rows.where(F.col(entity).isNotNull() & F.col(day).isNotNull() & F.col(value).isNotNull())
-        .select(F.col(entity).alias(ENTITY), F.col(day).cast("date").alias("_day"), F.col(value).alias("_value"))
+        .select(
+            F.col(entity).alias(ENTITY), F.col(value).alias("_value"),
+            closing_monday(F.date_sub(at, days.hi)).alias("_first"), week_start(F.date_sub(at, days.lo)).alias("_last"),
+        )
+        .where(F.col("_first") <= F.col("_last"))
         .distinct()
     )
-    return fan_out(slim, "_day", days).groupBy(ENTITY, WEEK).agg(F.count_distinct("_value").alias(name))
+    # Both ends grow with the day: the run before ends last of all earlier ones.
+    before = F.lag("_last").over(Window.partitionBy(ENTITY, "_value").orderBy("_first", "_last"))
+    start = F.coalesce(F.greatest(F.col("_first"), F.date_add(before, 7)), F.col("_first"))
+    cut = runs.select(ENTITY, start.alias("_first"), "_last").where(F.col("_first") <= F.col("_last"))
+    borders = F.array(
+        F.struct(F.col("_first").alias(WEEK), F.lit(1).cast("long").alias("_change")),
+        F.struct(F.date_add("_last", 7).alias(WEEK), F.lit(-1).cast("long").alias("_change")),
+    )
+    changes = cut.select(ENTITY, F.inline(borders)).groupBy(ENTITY, WEEK).agg(F.sum("_change").alias("_change"))
+    weeks = Window.partitionBy(ENTITY).orderBy(WEEK)
+    counted = changes.select(
+        ENTITY, WEEK, F.sum("_change").over(weeks).alias(name), F.lead(WEEK).over(weeks).alias("_until")
+    ).where(F.col(name) > 0)
+    held = F.sequence(F.col(WEEK), F.date_sub("_until", 7), F.expr("interval 7 days"))
+    return counted.select(ENTITY, F.explode(held).alias(WEEK), name)
