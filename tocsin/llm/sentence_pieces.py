@@ -21,7 +21,8 @@ import hashlib
 import heapq
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,17 @@ def _drops(key: int, start: int, rank: int, below: int) -> bool:
     return (((h ^ (h >> 31)) * 0x94D049BB133111EB) & _MASK) >> 32 < below
 
 
+class _Merged(NamedTuple):
+    """Runs merged together: all ids in a row, ids and skipped candidates of each run; without dropout also the terms
+    that places and ranks of the candidates add to a hash, in the order in which they come up, and their number."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    skipped: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+
+
 class PieceModel:
     """Ranks and ids of a merge-type model file."""
 
@@ -154,19 +166,21 @@ class PieceModel:
     def tables(self) -> _PairTables:
         return _PairTables(self)
 
-    def merge_many(self, runs: list[str], keys: np.ndarray, drop_below: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        """Ids and skipped candidates of many short runs of about the same length, merged step by step together.
+    def merge_many(self, runs: list[str], keys: np.ndarray | None, drop_below: int) -> _Merged:
+        """Many short runs of about the same length, merged step by step together.
 
         Column k of all tables belongs to run k, row i to the character at place i: the agenda of a run is its column
         of ranks. Every step takes the best candidate of each run, the first of equals, as merge_short() does.
         """
         t, none, n = self.tables, self.none, len(runs)
-        lengths = np.array([len(run) for run in runs])
+        lengths = np.fromiter(map(len, runs), dtype=np.int64, count=n)
         depth = int(lengths.max())
-        text = "".join(run.replace(SPACE, "\uffff").replace(" ", SPACE).ljust(depth, "\uffff") for run in runs)
-        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).reshape(n, depth).T
-        sym = t.symbol[points]
         place = np.arange(depth)[:, None]
+        points = np.full((n, depth), 0xFFFF, dtype=np.uint32)
+        points[place.T < lengths[:, None]] = np.frombuffer("".join(runs).encode("utf-32-le"), dtype=np.uint32)
+        mark, space = points == ord(SPACE), points == ord(" ")
+        points[mark], points[space] = 0xFFFF, ord(SPACE)
+        sym = t.symbol[points.T]
         alive = np.broadcast_to(place < lengths, sym.shape).copy()
         after = np.broadcast_to(place + 1, sym.shape).astype(np.int16)
         before = np.broadcast_to(place - 1, sym.shape).astype(np.int16)
@@ -176,6 +190,7 @@ class PieceModel:
             rank[i], into[i] = t.look_up(sym[i], sym[i + 1])
         rank[np.broadcast_to(place + 1 >= lengths, sym.shape)] = none
         skipped = np.zeros(n, dtype=np.int64)
+        owners, terms = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
         open_ = np.arange(n)
         while len(open_):
             part = rank[:, open_]
@@ -184,8 +199,12 @@ class PieceModel:
             more = best < none
             open_, p, r = open_[more], at[more], best[more]
             c = open_
-            if drop_below:
-                h = keys[c] ^ (p.astype(np.uint64) * _PLACE + r.astype(np.uint64) * _RANK)
+            term = p.astype(np.uint64) * _PLACE + r.astype(np.uint64) * _RANK
+            if not drop_below:
+                owners.append(c)
+                terms.append(term)
+            else:
+                h = keys[c] ^ term
                 h = (h ^ (h >> np.uint64(31))) * _SPREAD
                 gone = (h >> np.uint64(32)) < np.uint64(drop_below)
                 rank[p[gone], c[gone]] = none
@@ -207,16 +226,20 @@ class PieceModel:
             ak, ck = ahead[ok], c[ok]
             rank[ak, ck], into[ak, ck] = t.look_up(sym[ak, ck], piece[ok])
         alive = alive.T
-        flat = sym.T[alive].tolist()
-        ends = np.concatenate([[0], np.cumsum(alive.sum(axis=1))]).tolist()
-        unknown = (alive & (sym.T == t.unknown)).any(axis=1).tolist()
-        for k, run in enumerate(runs):
-            found = tuple(flat[ends[k] : ends[k + 1]])
-            if unknown[k]:
-                starts = [*np.flatnonzero(alive[k]).tolist(), len(run)]
-                symbols = self.symbols(run)
+        flat, sizes = sym.T[alive], alive.sum(axis=1)
+        unknown = np.flatnonzero((alive & (sym.T == t.unknown)).any(axis=1)).tolist()
+        if unknown:
+            parts = np.split(flat, np.cumsum(sizes)[:-1])
+            for k in unknown:
+                starts = [*np.flatnonzero(alive[k]).tolist(), len(runs[k])]
+                symbols = self.symbols(runs[k])
                 found = self.ids(["".join(symbols[a:b]) for a, b in zip(starts, starts[1:])])
-            yield found, int(skipped[k])
+                parts[k], sizes[k] = np.array(found, dtype=np.int32), len(found)
+            flat = np.concatenate(parts)
+        owner = np.concatenate(owners)
+        return _Merged(
+            flat, sizes, skipped, np.concatenate(terms)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n)
+        )
 
     def ids(self, pieces: list[str]) -> tuple[int, ...]:
         try:
@@ -263,6 +286,22 @@ class _PairTables:
         return np.where(self.keys[at] == key, self.ranks[at], self.none), self.pieces[at]
 
 
+#: Short runs that are merged together.
+MERGED_TOGETHER = 4096
+
+
+def _alike(runs: Iterable[str]) -> Iterator[list[str]]:
+    """Runs of about the same length, so many as are merged together."""
+    ordered = sorted(runs, key=len)
+    for at in range(0, len(ordered), MERGED_TOGETHER):
+        yield ordered[at : at + MERGED_TOGETHER]
+
+
+def _stretches(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of stretches of the given sizes, one after the other."""
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
 class _Variant(dict):
     """Segmentations of runs under one variant; emptied when full, which changes no result."""
 
@@ -272,15 +311,12 @@ class _Variant(dict):
 
     def learn(self, runs: set[str]) -> None:
         """Segment the runs of this set that are not known, those of about the same length together."""
-        groups: dict[int, list[str]] = {}
-        for run in runs:
-            if run not in self and len(run) <= 48:
-                groups.setdefault((len(run) + 3) // 4, []).append(run)
-        for group in groups.values():
-            for at in range(0, len(group), 4096):
-                part = group[at : at + 4096]
-                keys = np.array([xxhash.xxh3_64_intdigest(run, self.seed) for run in part], dtype=np.uint64)
-                self.update(zip(part, self.model.merge_many(part, keys, self.drop_below)))
+        for part in _alike(run for run in runs if run not in self and len(run) <= 48):
+            keys = np.array([xxhash.xxh3_64_intdigest(run, self.seed) for run in part], dtype=np.uint64)
+            merged = self.model.merge_many(part, keys, self.drop_below)
+            ids, ends = merged.ids.tolist(), [0, *np.cumsum(merged.sizes).tolist()]
+            found = [tuple(ids[a:b]) for a, b in zip(ends, ends[1:])]
+            self.update(zip(part, zip(found, merged.skipped.tolist())))
 
     def __missing__(self, run: str):
         key = xxhash.xxh3_64_intdigest(run, self.seed)
@@ -302,72 +338,70 @@ class _Fresh:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids: list[tuple[int, ...]] = []
-        self.first = self.count = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.int32)
+        self.start = self.size = self.first = self.count = np.zeros(0, dtype=np.int64)
         self.terms = np.zeros(0, dtype=np.uint64)
 
-    def learn(self, runs: set[str]) -> None:
+    def learn(self, runs: Iterable[str]) -> None:
         """The merges of new runs without dropout, as the terms that a candidate's place and rank add to its hash."""
-        get, none = self.model.rank.get, self.model.none
-        terms: list[int] = []
-        count: list[int] = []
-        for run in runs:
-            symbols, before = self.model.symbols(run), len(terms)
-            ranks = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]
-            starts = list(range(len(symbols)))
-            while ranks:
-                r = min(ranks)
-                if r == none:
-                    break
-                i = ranks.index(r)
-                terms.append((starts[i] * 0x9E3779B97F4A7C15 + r * 0xD6E8FEB86659FD93) & _MASK)
-                piece = symbols[i] + symbols[i + 1]
-                symbols[i] = piece
-                del symbols[i + 1], starts[i + 1], ranks[i]
-                if i < len(ranks):
-                    ranks[i] = get(piece + symbols[i + 1], none)
-                if i:
-                    ranks[i - 1] = get(symbols[i - 1] + piece, none)
-            self.index[run] = len(self.ids)
-            self.ids.append(self.model.ids(symbols))
-            count.append(len(terms) - before)
-        added = np.array(count, dtype=np.int64)
-        self.first = np.concatenate([self.first, len(self.terms) + np.cumsum(added) - added])
-        self.count = np.concatenate([self.count, added])
-        self.terms = np.concatenate([self.terms, np.array(terms, dtype=np.uint64)])
+        ids, sizes, terms, counts = [self.ids], [self.size], [self.terms], [self.count]
+        for part in _alike(runs):
+            self.index.update(zip(part, itertools.count(len(self.index))))
+            merged = self.model.merge_many(part, None, 0)
+            for known, added in zip((ids, sizes, terms, counts), (merged.ids, merged.sizes, merged.terms, merged.counts)):
+                known.append(added)
+        self.ids, self.size = np.concatenate(ids), np.concatenate(sizes)
+        self.terms, self.count = np.concatenate(terms), np.concatenate(counts)
+        self.start, self.first = np.cumsum(self.size) - self.size, np.cumsum(self.count) - self.count
+
+    def _places(self, runs: Iterable[str], n: int) -> np.ndarray:
+        return np.fromiter(map(self.index.get, runs, itertools.repeat(-1)), dtype=np.int64, count=n)
 
     def find(self, runs: list[str], keys: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         """Ids and skipped candidates of each run under its own key."""
-        out: list = [None] * len(runs)
+        ids, sizes, skipped = self.draw(runs, keys)
+        ends = [0, *np.cumsum(sizes).tolist()]
+        return [(tuple(ids[a:b].tolist()), s) for a, b, s in zip(ends, ends[1:], skipped.tolist())]
+
+    def draw(self, runs: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of ids and of skipped candidates of each run under its own key."""
         if len(self.index) > self.most:
             self.forget()
-        new = {run for run in runs if len(run) <= 48} - self.index.keys()
-        if new:
-            self.learn(new)
-        at = np.fromiter((self.index.get(run, -1) for run in runs), dtype=np.int64, count=len(runs))
+        at = self._places(runs, len(runs))
+        missing = np.flatnonzero(at < 0)
+        self.learn(dict.fromkeys(run for run in map(runs.__getitem__, missing.tolist()) if len(run) <= 48))
+        at[missing] = self._places(map(runs.__getitem__, missing.tolist()), len(missing))
         known = np.flatnonzero(at >= 0)
         u = at[known]
         count = self.count[u]
         owner = np.repeat(np.arange(len(known)), count)
-        step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[u], count)
-        h = keys[known][owner] ^ self.terms[step]
+        h = keys[known][owner] ^ self.terms[_stretches(self.first[u], count)]
         h = (h ^ (h >> np.uint64(31))) * _SPREAD
         gone = np.bincount(owner[(h >> np.uint64(32)) < np.uint64(self.drop_below)], minlength=len(known)) > 0
-        groups: dict[int, list[int]] = {}
-        for k, i, dropped in zip(known.tolist(), u.tolist(), gone.tolist()):
-            if dropped:
-                groups.setdefault((len(runs[k]) + 3) // 4, []).append(k)
-            else:
-                out[k] = (self.ids[i], 0)
-        for group in groups.values():
-            for start in range(0, len(group), 4096):
-                part = group[start : start + 4096]
-                for k, found in zip(part, self.model.merge_many([runs[k] for k in part], keys[part], self.drop_below)):
-                    out[k] = found
+        # Runs by number, their ids in a row and the number of ids of each.
+        kept = u[~gone]
+        found = [(known[~gone], self.ids[_stretches(self.start[kept], self.size[kept])], self.size[kept])]
+        skipped = np.zeros(len(runs), dtype=np.int64)
+        redo = known[gone]
+        lengths = np.fromiter(map(len, map(runs.__getitem__, redo.tolist())), dtype=np.int64, count=len(redo))
+        redo = redo[np.argsort(lengths, kind="stable")]
+        for start in range(0, len(redo), MERGED_TOGETHER):
+            part = redo[start : start + MERGED_TOGETHER]
+            merged = self.model.merge_many([runs[k] for k in part.tolist()], keys[part], self.drop_below)
+            found.append((part, merged.ids, merged.sizes))
+            skipped[part] = merged.skipped
         for k in np.flatnonzero(at < 0).tolist():
-            pieces, skipped = self.model.merge(self.model.symbols(runs[k]), int(keys[k]), self.drop_below)
-            out[k] = (self.model.ids(pieces), skipped)
-        return out
+            pieces, skipped[k] = self.model.merge(self.model.symbols(runs[k]), int(keys[k]), self.drop_below)
+            ids = np.array(self.model.ids(pieces), dtype=np.int32)
+            found.append((np.array([k]), ids, np.array([len(ids)])))
+        sizes = np.zeros(len(runs), dtype=np.int64)
+        for part, _, own in found:
+            sizes[part] = own
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), dtype=np.int32)
+        for part, ids, own in found:
+            out[_stretches(starts[part], own)] = ids
+        return out, sizes, skipped
 
 
 def _run_keys(base: int, n: int) -> np.ndarray:
@@ -430,13 +464,13 @@ class Encoder:
             if len(runs) < RUNS_TOGETHER and k + 1 < len(texts):
                 continue
             every, found = np.concatenate(keys), []
-            for at in range(0, len(runs), RUNS_TOGETHER):
-                found += self.fresh.find(runs[at : at + RUNS_TOGETHER], every[at : at + RUNS_TOGETHER])
-            at = 0
-            for n in waiting:
-                mine = found[at : at + n]
-                at += n
-                yield list(itertools.chain.from_iterable(ids for ids, _ in mine)), sum(s for _, s in mine)
+            for at in range(0, max(len(runs), 1), RUNS_TOGETHER):
+                found.append(self.fresh.draw(runs[at : at + RUNS_TOGETHER], every[at : at + RUNS_TOGETHER]))
+            ids, sizes, skipped = (np.concatenate(parts) for parts in zip(*found))
+            ends = np.cumsum([0, *waiting])
+            ends_ids, ends_skipped = (np.concatenate([[0], np.cumsum(x)])[ends].tolist() for x in (sizes, skipped))
+            for a, b, low, high in zip(ends_ids, ends_ids[1:], ends_skipped, ends_skipped[1:]):
+                yield ids[a:b].tolist(), high - low
             waiting, runs, keys = [], [], []
 
     def _encode(self, runs: list[str], name: str) -> tuple[list[int], int]:
