@@ -643,3 +643,46 @@ def test_whole_license_texts(spark):
     assert [(path, found[k]["license"]) for k, (_, path, _) in enumerate(cases)] == [(path, name) for name, path, _ in cases]
     for k, name in enumerate(full):
         assert found[k]["license_file"] and found[1000 + k]["inherited"] == name
+
+
+def test_each_star_is_planned_alone(spark):
+    """The driver plans one star at a time: no written table of a round joins more than the hubs and the others."""
+    joins = []
+
+    class Watched(Scratch):
+        def written(self, df, name):
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+            return super().written(df, name)
+
+    edges = [(i, i + 1) for i in range(40)]
+    with Watched(spark) as scratch:
+        found = connected.components(spark.createDataFrame(edges, "a bigint, b bigint"), scratch)
+        assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(1, 41)]
+    assert max(joins) <= 3
+
+
+def test_components_are_sought_again_only_for_new_links(spark, monkeypatch):
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame(
+        [(1, words + " a"), (2, words + " b"), (3, "another text of other words than these")], "doc_id bigint, text string"
+    )
+    calls = []
+    monkeypatch.setattr(jaccard_join, "components", lambda *given: calls.append(1) or connected.components(*given))
+    rows = sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect())
+    assert rows == [(1, 1), (2, 1), (3, 3)] and len(calls) == 1
+
+
+def test_new_runs_are_learned_together(piece_model, monkeypatch):
+    """Runs without unknown characters are not merged one by one; each gets what its own key gives."""
+    runs = [" international", " of", "zebra", " 2024", " naïve", "\ttab", " x" * 20, " ▁ 😀"] * 50
+    runs += [f" word{i}" for i in range(300)]
+    keys = sentence_pieces._run_keys(9, len(runs))
+    encoder = sentence_pieces.Encoder(piece_model, "s", 0.3)
+    expected = []
+    for run, key in zip(runs, keys.tolist()):
+        pieces, skipped = piece_model.merge_short(piece_model.symbols(run), key, encoder.fresh.drop_below)
+        expected.append((piece_model.ids(pieces), skipped))
+    split, alone = piece_model.symbols, []
+    monkeypatch.setattr(piece_model, "symbols", lambda run: alone.append(run) or split(run))
+    assert encoder.fresh.find(runs, keys) == expected
+    assert not {run for run in alone if run.startswith((" word", " of", "zebra"))}

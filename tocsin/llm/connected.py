@@ -43,7 +43,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     The result is read from scratch tables and ends with them.
 
-    Rounds end when the edge table no longer changes; it is written after each, so lineage stays short. A star
+    Rounds end when the edge table no longer changes. Every star is written, so lineage stays short and the driver plans
+    one star at a time: a star reads its edges several times, and a plan of both would hold the first that often. A star
     adds an edge for each node at most, so one limit for hubs serves both stars of a round.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -54,4 +55,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = tuple(row)
         limit = max(HUB_LEAST, row[0] // HUB_SHARE)
-        now = scratch.written(_small_star(_large_star(now, limit), limit), "edges")
+        tied = scratch.written(_large_star(now, limit), "stars")
+        now = scratch.written(_small_star(tied, limit), "edges")

@@ -286,7 +286,9 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     first = scratch.written(links(central_pairs(lists), whole), "links")
     found = components(first, scratch)
     rest = scratch.written(links(crossing_pairs(lists, found, scratch), whole), "links")
-    found = components(first.unionByName(rest), scratch)
+    if not rest.isEmpty():  # the components found so far are stars by now
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = components(stars.unionByName(rest), scratch)
     labels = names.join(found, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
     )
